@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this subpackage that has ``query`` and perhaps ``ORACLE_SQL``
 MODULES = {
+    "op3_hash_tree_sharding": "sharding",
+    "op4_secret_scan": "secrets",
+    "op7_source_mixing": "mixing",
     "op8_simhash_near_dedup": "simhash",
+    "op9_quality_cascade": "quality",
 }
 
 
