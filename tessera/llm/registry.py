@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name -> module of this subpackage that has ``query`` and perhaps ``ORACLE_SQL``
 MODULES = {
+    "op1_language_id": "language",
     "op3_hash_tree_sharding": "sharding",
     "op4_secret_scan": "secrets",
+    "op5_token_counts": "tokens",
     "op7_source_mixing": "mixing",
     "op8_simhash_near_dedup": "simhash",
     "op9_quality_cascade": "quality",
+    "op10_hilbert_packing": "packing",
 }
 
 
