@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this subpackage that has ``query`` and perhaps ``ORACLE_SQL``
 MODULES = {
     "op1_language_id": "language",
+    "op2_histogram_top_k": "search",
     "op3_hash_tree_sharding": "sharding",
     "op4_secret_scan": "secrets",
     "op5_token_counts": "tokens",
+    "op6_id_files": "idfile",
     "op7_source_mixing": "mixing",
     "op8_simhash_near_dedup": "simhash",
     "op9_quality_cascade": "quality",
