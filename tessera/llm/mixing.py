@@ -68,16 +68,19 @@ def thresholds(sized: DataFrame, budgets: DataFrame, n_sources: int) -> DataFram
     return found
 
 
-def mix(docs: DataFrame, most: int = 3, rounds: int = 3, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 7) -> DataFrame:
-    """(id_col, size, source_size, target, taken, copies) of every row of ``docs``.
+def _hash(id_col: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 64 - BITS * LEVELS)
 
-    ``size`` counts words; null, empty and blank texts have 0 and are taken 0 times their
-    size. Null is a source of its own. Rows with an equal id share a hash, and so are taken
-    alike; a null id hashes like any value. A document that does not fit into what is left
+
+def plan_mix(sized: DataFrame, most: int = 3, rounds: int = 3) -> tuple[DataFrame, int]:
+    """The mix of ``sized`` (source, size, hash) as a row per source, and how many there are.
+
+    (source, source_size, target, times, rounds, one): a document is taken ``times`` times,
+    and once more if ``once_more`` says so. A document that does not fit into what is left
     of its source's budget is passed over: each further round finds a threshold among the
-    hashes behind the last one, for documents that fit. An empty table gives no rows.
+    hashes behind the last one, for documents that fit. ``one`` is the hash of a last
+    document that brings its source nearer to the target.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 64 - BITS * LEVELS).alias("hash")))
     totals = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     n = totals.count()
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -90,17 +93,47 @@ def mix(docs: DataFrame, most: int = 3, rounds: int = 3, text: str = "text", sou
         end = F.coalesce("edge", F.lit(1 << BITS * LEVELS))
         step = F.struct("after", end.alias("edge"), F.col("budget").alias("fits"))
         plan = cut(plan.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "times", (F.col("budget") - F.coalesce("low", F.lit(0))).alias("budget"), end.alias("after"), F.concat("rounds", F.array(step)).alias("rounds")))
-    # What still misses its target by more than some document's size is nearer to it with that document.
-    extra = lambda: F.exists("rounds", lambda r: (F.col("hash") > r["after"]) & (F.col("hash") < r["edge"]) & (F.col("size") <= r["fits"]))
     off = F.abs(F.col("size") - F.col("budget"))
-    spare = sized.where("size > 0").alias("d").join(_known(plan, n).alias("p"), same).where(~extra() & (F.col("times") < most) & (off < F.col("budget")))
+    spare = sized.where("size > 0").alias("d").join(_known(plan, n).alias("p"), same).where(~_under() & (F.col("times") < most) & (off < F.col("budget")))
     best = spare.groupBy("d.source").agg(F.min(F.struct(off.alias("off"), "hash", "size")).alias("best"))
-    plan = cut(plan.join(best.select(F.col("source").alias("of"), F.col("best.hash").alias("one")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"))
-    more = extra() | F.coalesce(F.col("hash") == F.col("one"), F.lit(False))
-    joined = sized.alias("d").join(_known(plan, n).alias("p"), same).select("id", "size", "source_size", "target", (F.col("times") + more.cast("bigint")).alias("copies"))
+    return cut(plan.join(best.select(F.col("source").alias("of"), F.col("best.hash").alias("one")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "budget", "after")), n
+
+
+def _under(hash: str = "hash", size: str = "size", rounds: str = "rounds") -> Column:
+    """Whether a document lies under one of its source's thresholds."""
+    return F.exists(rounds, lambda r: (F.col(hash) > r["after"]) & (F.col(hash) < r["edge"]) & (F.col(size) <= r["fits"]))
+
+
+def copies(hash: str = "hash", size: str = "size", plan: str = "p") -> Column:
+    """How often the mix takes a document."""
+    more = _under(hash, size, f"{plan}.rounds") | F.coalesce(F.col(hash) == F.col(f"{plan}.one"), F.lit(False))
+    return F.col(f"{plan}.times") + more.cast("bigint")
+
+
+def mix(docs: DataFrame, most: int = 3, rounds: int = 3, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 7) -> DataFrame:
+    """(id_col, size, source_size, target, taken, copies) of every row of ``docs``.
+
+    ``size`` counts words; null, empty and blank texts have 0 and are taken 0 times their
+    size. Null is a source of its own. Rows with an equal id share a hash, and so are taken
+    alike; a null id hashes like any value. Other columns are not read. An empty table gives
+    no rows.
+    """
+    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _hash(id_col, seed).alias("hash")))
+    plan, n = plan_mix(sized.select("source", "size", "hash"), most, rounds)
+    joined = sized.alias("d").join(_known(plan, n).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("id", "size", "source_size", "target", copies().alias("copies"))
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def mixed(docs: DataFrame, most: int = 3, rounds: int = 3, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 7) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with its columns as they are."""
+    sized = cut(docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _hash(id_col, seed).alias("hash")))
+    plan, n = plan_mix(sized, most, rounds)
+    marked = docs.withColumns({"_mix_size": n_words(F.col(text)), "_mix_hash": _hash(id_col, seed), "_mix_source": F.col(source).cast("string")})
+    joined = marked.join(_known(plan, n).alias("p"), F.col("_mix_source").eqNullSafe(F.col("p.source")))
+    own = [marked[c] for c in docs.columns]
+    return joined.where((copies("_mix_hash", "_mix_size") > 0) & (F.col("_mix_size") > 0)).select(*own, F.explode(F.array_repeat(F.lit(0), copies("_mix_hash", "_mix_size").cast("int"))).alias("_mix_copy")).drop("_mix_copy")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: every document's share in the mix."""
     return mix(documents(spark, sf_dir))

@@ -55,13 +55,13 @@ def statistics(docs: DataFrame, text: str = "text", window: int = 8) -> DataFram
         ),
     )
     split = bind(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
-    return docs.withColumn("_w", made).withColumn("_l", split).withColumn(
+    return docs.withColumn("_quality_w", made).withColumn("_quality_l", split).withColumn(
         "quality",
         F.struct(
-            F.col("_w.n_words"), F.length(_without(t, SPACES)).cast("bigint").alias("word_chars"), (F.length(t) - F.length(_without(t, SYMBOLS))).cast("bigint").alias("n_symbols"),
-            F.col("_l.n_dup_lines"), F.col("_w.n_repeat_words"), F.col("_l.n_lines"),
+            F.col("_quality_w.n_words"), F.length(_without(t, SPACES)).cast("bigint").alias("word_chars"), (F.length(t) - F.length(_without(t, SYMBOLS))).cast("bigint").alias("n_symbols"),
+            F.col("_quality_l.n_dup_lines"), F.col("_quality_w.n_repeat_words"), F.col("_quality_l.n_lines"),
         ),
-    ).drop("_w", "_l")
+    ).drop("_quality_w", "_quality_l")
 
 
 def rules(text: str = "text") -> dict[str, Column]:

@@ -113,8 +113,8 @@ def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     return F.when(text.rlike(pattern), bind(found, placed)).otherwise(empty)
 
 
-def scan(docs: DataFrame, weights: list[float], least: float = 0.8, text: str = "text") -> DataFrame:
-    """``docs`` with ``secrets``: array of (s, kind, e), by start and then by the order of ``KINDS``.
+def scan(docs: DataFrame, weights: list[float], least: float = 0.8, text: str = "text", into: str = "secrets") -> DataFrame:
+    """``docs`` with the column ``into``: array of (s, kind, e), by start and then by the order of ``KINDS``.
 
     The patterns' spans always stay, and may overlap those of other kinds. A token is added
     under ``markov`` if its ratio is ``least`` or more, it has a digit and a letter, and no
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, weights: list[float], least: float = 0.8, text: str =
     )
     guess = _spans(t, TOKEN, 3, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (ratio(m, weights) >= least))
     free = lambda g, b: F.filter(g, lambda x: ~F.exists(b, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    return docs.withColumn("secrets", bind(base, lambda b: F.sort_array(F.concat(b, free(guess, b)))))
+    return docs.withColumn(into, bind(base, lambda b: F.sort_array(F.concat(b, free(guess, b)))))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
