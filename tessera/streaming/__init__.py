@@ -1,0 +1,48 @@
+"""Structured Streaming: spike detection as keyed state, metrics sinks, event-time windows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState
+
+from tessera.operators.telemetry import Spikes
+
+STATE = "recent array<bigint>, cooldown int, skipped bigint, halted boolean"
+
+
+def spike_stream(series: DataFrame, threshold: float, start_step: int, skip_steps: int, window: int, most: int) -> DataFrame:
+    """The batch operator's rows, from a stream of (run_id, step, loss, norm) whose steps come in order."""
+
+    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = Spikes(threshold, start_step, skip_steps, window, most)
+        if state.exists:
+            recent, s.cooldown, s.skipped, s.halted = state.get
+            s.recent = list(recent)
+        rows = pd.concat(list(batches)).sort_values("step")
+        got = [s.see(int(k), a, b) for k, a, b in zip(rows["step"], rows["loss"], rows["norm"], strict=True)]
+        state.update((s.recent, s.cooldown, s.skipped, s.halted))
+        yield pd.DataFrame({"run_id": key[0], "step": rows["step"], "skipped": [x[0] for x in got], "fresh": [x[1] for x in got], "halted": [x[2] for x in got]})
+
+    kind = series.schema["run_id"].dataType.simpleString()
+    return series.groupBy("run_id").applyInPandasWithState(one, f"run_id {kind}, step bigint, skipped boolean, fresh boolean, halted boolean", STATE, "append", "NoTimeout")
+
+
+def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
+    """Counts and sums of events by tumbling event-time window and type, late ones dropped beyond the watermark."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def metrics_sink(stream: DataFrame, path: str, checkpoint: str):
+    """Appends each micro-batch of a metrics stream to JSON lines, once."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that a finite stream gives, as a table in memory: for tests and small reports."""
+    spark: SparkSession = stream.sparkSession
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
