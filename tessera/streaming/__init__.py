@@ -32,7 +32,7 @@ def spike_stream(series: DataFrame, threshold: float, start_step: int, skip_step
 
 def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """Counts and sums of events by tumbling event-time window and type, late ones dropped beyond the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def metrics_sink(stream: DataFrame, path: str, checkpoint: str):
