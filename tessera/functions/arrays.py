@@ -27,28 +27,27 @@ def tree_blocks(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def tree_sum(values: Column) -> Column:
+def tree_sum(values: Column, levels: int = 24) -> Column:
     """The sum of an ordered array by balanced pairs in power-of-two blocks, the blocks' sums from the left.
 
-    The array is halved level by level with array expressions; the number of levels is that
-    of a 32-bit length.
+    Kept like a binary counter: slot k holds the sum of a finished block of 2**k values, and
+    a value carries upward through the slots that are taken, the earlier sum on the left.
+    Arrays of up to ``2 ** levels - 1`` values; an empty one gives null.
     """
-
-    def halved(a: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(a), F.lit(2)).cast("int") - 1), lambda i: F.get(a, 2 * i) + F.get(a, 2 * i + 1))
-
-    def block(a: Column, size: int) -> Column:
-        for _ in range(size.bit_length() - 1):
-            a = F.transform(F.array(a), halved)[0]
-        return a[0]
-
-    def whole(a: Column, most: int = 12) -> Column:
-        n, at, out = F.size(a), F.lit(1), F.lit(None).cast("double")
-        for b in range(most - 1, -1, -1):
-            has = F.getbit(n, F.lit(b)) == 1
-            part = F.when(has, block(F.slice(a, at, F.lit(1 << b)), 1 << b))
-            out = F.when(has, F.when(out.isNull(), part).otherwise(out + part)).otherwise(out)
-            at = F.when(has, at + (1 << b)).otherwise(at)
-        return out
-
-    return F.transform(F.array(values), lambda a: whole(a, 6))[0]
+    none = F.lit(None).cast("double")
+
+    def put(slots: Column, value: Column) -> Column:
+        start = F.struct(F.array().cast("array<double>").alias("out"), value.cast("double").alias("carry"))
+        return F.aggregate(
+            slots,
+            start,
+            lambda s, x: F.struct(
+                F.concat(s["out"], F.array(F.when(s["carry"].isNull(), x).when(x.isNull(), s["carry"]))).alias("out"),
+                F.when(s["carry"].isNotNull() & x.isNotNull(), x + s["carry"]).alias("carry"),
+            ),
+            lambda s: s["out"],
+        )
+
+    full = F.aggregate(values, F.array_repeat(none, levels), put)
+    blocks = F.filter(F.reverse(full), lambda x: x.isNotNull())
+    return F.aggregate(blocks, none, lambda a, x: F.when(a.isNull(), x).otherwise(a + x))

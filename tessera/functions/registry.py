@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F, types as T
 
 
 class Registry:
@@ -36,7 +36,7 @@ class Registry:
         return name in self._known
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def blake2b_hex(values: pd.Series) -> pd.Series:
     """BLAKE2b with 32 bytes of each binary value, as hexadecimal digits; null stays null."""
     return values.map(lambda v: None if v is None else hashlib.blake2b(v, digest_size=32).hexdigest())
@@ -45,7 +45,7 @@ def blake2b_hex(values: pd.Series) -> pd.Series:
 def decoder(charset: str = "utf-8"):
     """A function of binary values to text in ``charset``, bad bytes replaced."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decode(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else bytes(v).decode(charset, errors="replace"))
 
@@ -55,7 +55,7 @@ def decoder(charset: str = "utf-8"):
 def bpe_encoder(tokenizer: str):
     """A function of texts to the ids of a tokenizers file; one tokenizer a process."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
@@ -67,7 +67,7 @@ def bpe_encoder(tokenizer: str):
 
 
 def bpe_decoder(tokenizer: str, skip_special_tokens: bool = False):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.functions.text import non_empty
@@ -36,8 +37,6 @@ def segments(spark: SparkSession, path: str, workers: int) -> DataFrame:
 
     Files are read whole lines at a time from Spark's binary source, so each is one task's.
     """
-    import pandas as pd
-
     def run(batches):
         for b in batches:
             for content in b["content"]:
@@ -69,9 +68,7 @@ def write_jsonl(texts: DataFrame, path: str, compression: str = "none") -> None:
     """One JSON object a line with the key ``text``; anything beyond ASCII is escaped."""
     import json
 
-    import pandas as pd
-
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def line(t: pd.Series) -> pd.Series:
         return t.map(lambda x: json.dumps({"text": x}))
 
