@@ -261,8 +261,8 @@ def predict(texts: Sequence[str], vocab: Vocabulary, names: Sequence[str], probs
     return [names[k] if ok else "und" for k, ok in zip(best, words.has_letter, strict=True)], score
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str = "piece_bpe_32k.model", text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of every row with ``lang_pred`` and ``score``.
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str = "piece_bpe_32k.model", text: str = "text", keep: Sequence[str] = ("doc_id",), pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row with its language in ``pred`` and how sure that is in ``score``.
 
     Whole texts are scored. Null, empty and letterless texts are ``und`` with score 0, as are
     all texts under a model without languages. Equal likelihoods go to the language that
@@ -270,17 +270,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str =
     """
     names, probs = model
     sent = docs.sparkSession.sparkContext.broadcast((names, probs))
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    kept = docs.select(*keep, F.col(text).alias("_tessera_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, probs = sent.value
-        for b in _bytes.pieces(batches, "_text"):
-            texts = ["" if t is None else t for t in b.column("_text").to_pylist()]
-            lang, score = predict(texts, vocabulary(vocab), names, probs)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*b.schema.names[:-1], "lang_pred", "score"])
+        for b in _bytes.pieces(batches, "_tessera_text"):
+            texts = ["" if t is None else t for t in b.column("_tessera_text").to_pylist()]
+            lang, sure = predict(texts, vocabulary(vocab), names, probs)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*b.schema.names[:-1], pred, score])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return kept.mapInArrow(run, f"{kinds}, `{pred}` string, `{score}` double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -101,7 +101,8 @@ def judge(docs: DataFrame, sample_rows: int = 512, text: str = "text", id_col: s
 
     Null, empty and blank texts have no words and fail the base rule. The sample is about
     ``sample_rows`` documents, by a hash of the id; it decides nothing but the order of the
-    rules. An empty table gives no rows. ``docs`` must not have a column ``quality``.
+    rules. An empty table gives no rows. Columns of these
+    three names are replaced; all others stay.
     """
     slim = docs.select(id_col, text)
     every = max(1, slim.count() // sample_rows)
