@@ -13,8 +13,8 @@ ORACLE_SQL = None
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, by a model of the labelled ones: no letter or no clear language goes."""
-    found = language.identify(docs, language.train(docs), keep=docs.columns)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    found = language.identify(docs, language.train(docs), keep=docs.columns, pred="_pipeline_lang", score="_pipeline_score")
+    return found.where((F.col("_pipeline_lang") != "und") & (F.col("_pipeline_score") >= 0.5)).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their texts replaced by a mark; texts without one stay as they are."""
-    found = secrets.scan(docs.select("*"), secrets.train(secrets.training_sample(spark)), into="_found")
-    clean = secrets.redacted(F.col("text"), F.col("_found"))
-    changed = F.size("_found") > 0
+    found = secrets.scan(docs.select("*"), secrets.train(secrets.training_sample(spark)), into="_pipeline_found")
+    clean = secrets.redacted(F.col("text"), F.col("_pipeline_found"))
+    changed = F.size("_pipeline_found") > 0
     return found.withColumn("n_chars", F.when(changed, F.length(clean).cast("bigint")).otherwise(F.col("n_chars"))).withColumn("text", clean).select(*docs.columns)
 
 
