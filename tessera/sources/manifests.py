@@ -41,7 +41,7 @@ class Manifest:
 
         with open(path) as f:
             got = yaml.safe_load(f)
-        got["shards"] = [{"bin_blake2b": "", "idx_blake2b": "", **s} for s in got.get("shards", [])]
+        got["shards"] = [s | {k: s.get(k, "") for k in ("bin_blake2b", "idx_blake2b")} for s in got.get("shards", [])]
         return cls(**{k: v for k, v in got.items() if k in cls.__dataclass_fields__})
 
     def rows(self, spark: SparkSession) -> DataFrame:
