@@ -117,3 +117,24 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: every document's counts and verdict."""
     done = judge(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", *[F.col(f"quality.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", F.col("rejected_by").isNull().alias("kept"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS ls FROM documents
+), win AS (
+  SELECT doc_id, k, ws[k:k+7] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS k FROM w WHERE len(ws) >= 8)
+), cov AS (
+  SELECT doc_id, count(DISTINCT k + i) AS n FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win), range(8) r(i) WHERE c > 1 GROUP BY doc_id
+), s AS (
+  SELECT w.doc_id, t, ls, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_symbols * 10 > n_words * 3) AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words)
+  AND NOT (len(ls) >= 5 AND n_dup_lines * 10 > len(ls) * 3) AND NOT (length(regexp_replace(t, '[^\p{L}]+', '', 'g')) * 2 < word_chars)
+  AND NOT (len(list_filter(ls, lambda x: suffix(rtrim(x), '...'))) * 10 > len(ls) * 3) AS kept
+FROM b
+"""

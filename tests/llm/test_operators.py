@@ -438,3 +438,8 @@ def test_base_digest(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(r.text))
         assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_quality_matches_its_sql(spark, sf_dir):
+    got = quality.query(spark, sf_dir).toPandas()
+    assert oracle.rows(got) == oracle.rows(oracle.connect(sf_dir).sql(quality.ORACLE_SQL).df())
