@@ -92,3 +92,13 @@ def runs(df: DataFrame, group: Sequence[str], order: str, same: Column) -> DataF
     w = W.partitionBy(*group).orderBy(order) if group else W.orderBy(order)
     changed = (~same.eqNullSafe(F.lag(same).over(w))).cast("int")
     return df.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w)).drop("_c")
+
+
+def skip(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """All but the first ``n`` rows in order. Only the last of those is looked for, so nothing is numbered."""
+    edge = df.orderBy(*order).limit(n).select(*order).orderBy(*[F.col(c).desc() for c in order]).limit(1)
+    last = edge.first() if n > 0 else None
+    if last is None:
+        return df
+    rows, full = F.struct(*[F.col(c) for c in order]), F.struct(*[F.lit(last[c]).alias(c) for c in order])
+    return df.where(rows > full)

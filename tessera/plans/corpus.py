@@ -253,3 +253,32 @@ def _(spark, d):
 def _(spark, d):
     e = T(spark, d, "events").where("props is not null")
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.lit("OBJECT").alias("kind"))
+
+
+@query("skip_rows", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE r > 150")
+def _(spark, d):
+    """What is left of a scan behind its first rows, by the rows' numbers."""
+    return O.skip(T(spark, d, "documents").select("doc_id"), ["doc_id"], 150)
+
+
+@query("head_inspect", "SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT 7")
+def _(spark, d):
+    from tessera.sources.runs import head
+
+    return head(T(spark, d, "documents"), 7, "doc_id").select("doc_id", "source", "n_chars")
+
+
+@query("raw_digest_union", "SELECT source AS file, max(sha256(lang)) AS digest, count(*) AS workers FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source HAVING count(DISTINCT lang) >= 1")
+def _(spark, d):
+    """Workers' raw digests united; the greatest stands for one file's."""
+    raw = T(spark, d, "documents").select(F.col("source").alias("file"), F.sha2("lang", 256).alias("digest")).distinct()
+    return raw.groupBy("file").agg(F.max("digest").alias("digest"), F.count("*").alias("workers"))
+
+
+@query("manifest_state", "SELECT source AS file, CASE WHEN source = 'src1' THEN 'missing' WHEN source = 'src2' THEN 'mismatch' ELSE 'ok' END AS state FROM (SELECT DISTINCT source FROM documents)")
+def _(spark, d):
+    """A manifest's digests against those found: ok, mismatch or missing."""
+    names = T(spark, d, "documents").select(F.col("source").alias("file")).distinct()
+    found = names.where("file <> 'src1'").select("file", F.sha2("file", 256).alias("digest"))
+    stated = names.select("file", F.when(F.col("file") == "src2", F.sha2(F.lit("x"), 256)).otherwise(F.sha2("file", 256)).alias("digest"))
+    return idx.verified(found, stated).select("file", "state")

@@ -208,3 +208,33 @@ def _(spark, d):
 def _(spark, d):
     a, b = canonical(spark, 150, 300), canonical(spark, 0, 300).where("draw >= 150")
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+
+
+def stream(spark, d):
+    """A canonical stream over two of the table's sources, their documents in shards of five."""
+    from tessera.operators.stream import CanonicalStream
+
+    at = sized(spark, d).where("source in ('src1', 'src2') and n_tokens > 0")
+    lengths = at.select("source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint").alias("global_doc"), "n_tokens")
+    count = {r["source"]: r["count"] for r in lengths.groupBy("source").count().collect()}
+    shards = {s: [5] * (n // 5) + ([n % 5] if n % 5 else []) for s, n in sorted(count.items())}
+    return CanonicalStream(spark, lengths, shards, [0.6, 0.4], SEQ, 7)
+
+
+@query("stream_spans")
+def _(spark, d):
+    return stream(spark, d).spans(40)
+
+
+@query("stream_resume", "SELECT CAST(0 AS BIGINT) AS differences")
+def _(spark, d):
+    """Spans of windows 15 to 39 after a resume, against the continuous stream's: those of documents drawn since."""
+    s = stream(spark, d)
+    at = s.position(15)
+    a, b = s.spans(25, at), s.spans(40).where((F.col("global_window") >= 15) & (F.col("draw") >= at.draws))
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+
+
+@query("stream_refs")
+def _(spark, d):
+    return stream(spark, d).refs(20)

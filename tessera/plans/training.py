@@ -183,3 +183,29 @@ def _(spark, d):
     return p.select("label", "vec_id", (F.rank().over(by.orderBy(F.col("x").desc())) <= 5).alias("in_top_k"), ((F.col("rn") == 1) | (cum <= 0.9)).alias("in_nucleus"), (F.col("rn") == 1).alias("greedy"))
 
 
+
+
+@query("interval_bytes", "SELECT o_orderkey // 1000 AS chunk, count(*) AS steps, CAST(sum(o_custkey * 4) AS BIGINT) AS bytes FROM orders GROUP BY 1")
+def _(spark, d):
+    return T(spark, d, "orders").groupBy(F.expr("o_orderkey div 1000").alias("chunk")).agg(F.count("*").alias("steps"), F.sum(F.col("o_custkey") * 4).alias("bytes"))
+
+
+@query("moments_by_parameter", "SELECT p.p_partkey, p.p_name, s.s_acctbal AS moment, s.s_suppkey IS NULL AS untouched FROM part p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey * 2")
+def _(spark, d):
+    """Each parameter with its moment; one that has none is null, which is not zero."""
+    moments = T(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("moment"))
+    return T(spark, d, "part").join(moments, F.col("s_suppkey") == F.col("p_partkey") * 2, "left").select("p_partkey", "p_name", "moment", F.col("s_suppkey").isNull().alias("untouched"))
+
+
+@query("tokens_per_second", "SELECT event_id // 100 AS block, round(count(*) * 4096 / greatest(epoch(max(ts)) - epoch(min(ts)), 1e-9), 4) AS tokens_per_sec FROM events GROUP BY 1")
+def _(spark, d):
+    at = F.col("ts").cast("timestamp").cast("double")
+    return T(spark, d, "events").groupBy(F.expr("event_id div 100").alias("block")).agg(F.round(F.count("*") * 4096 / F.greatest(F.max(at) - F.min(at), F.lit(1e-9)), 4).alias("tokens_per_sec"))
+
+
+@query("metrics_long", "SELECT event_id AS step, 'value' AS key, value FROM events WHERE value IS NOT NULL UNION ALL SELECT event_id, 'user', CAST(user_id AS DOUBLE) FROM events WHERE user_id % 3 <> 0")
+def _(spark, d):
+    from tessera.sources.runs import metrics_long
+
+    log = T(spark, d, "events").select(F.col("event_id").alias("step"), "value", F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("double")).alias("user"))
+    return metrics_long(log)
