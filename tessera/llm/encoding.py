@@ -108,10 +108,22 @@ class Encoder:
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
+    def _keep(self, pieces: list[bytes]) -> None:
+        """Forgets all but ``pieces``."""
+        at = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+        size, begin, flat = self.size[at], self.begin[at], self.flat
+        self.forget()
+        total = int(size.sum())
+        self.begin = np.cumsum(size) - size
+        self.flat = flat[np.arange(total) + np.repeat(begin - self.begin, size)]
+        self.size, self.used, self.slot = size, total, dict(zip(pieces, range(len(pieces)), strict=True))
+        if not total:
+            self.forget()
+
     def _learn(self, found: list[bytes]) -> np.ndarray:
         """The slots of distinct pieces."""
         if len(self.slot) > self.most:
-            self.forget()
+            self._keep([x for x in found if x in self.slot])
         slot = self.slot
         new = [x for x in found if x not in slot]
         if new:

@@ -32,75 +32,95 @@ from tessera.llm import _bytes
 from tessera.llm._store import documents, shared_dir
 from tessera.llm.encoding import encoder
 
-LANES, BLOCK, SEGMENT = 128, 1 << 17, 1 << 22
+LANES, BLOCK, SEGMENT = 512, 1 << 18, 1 << 22
+#: Blocks that are coded in step; their tables fit a core's cache.
+GROUP = 8
 #: Order 0 deals out 2**16 slots; so do the two candidates and what they leave over.
 SLOTS = 1 << 16
-LEAST, FRESH = 2048, 12000
+LEAST, FRESH, STALE = 2048, 12000, 9000
 _U = np.uint64
 
 
 class _Model:
-    """The mixed predictions in each lane of some blocks; the same steps for coder and decoder."""
+    """The mixed predictions in each lane of some blocks; the same steps for coder and decoder.
+
+    Row 0 of the paired arrays is order 2 and row 1 order 1. A context's entry holds its
+    candidate and how far that is trusted, an id's entry its slots' first and number.
+    """
 
     def __init__(self, blocks: int, bits: int, slots: bool):
-        block = np.repeat(np.arange(blocks), LANES)
-        self.blocks, self.bits, self.block, self.base, self.base2 = blocks, bits, block, block << bits, block << 16
-        self.guess = [np.zeros(blocks << bits, np.int32), np.zeros(blocks << 16, np.int32)]
-        self.trust = [np.zeros(blocks << bits, np.int32), np.zeros(blocks << 16, np.int32)]
-        self.recent = [np.zeros(len(block), np.int32) for _ in range(2)]
-        self.before = [np.zeros(len(block), np.int64) for _ in range(2)]
-        self.counts = np.zeros((blocks, 1 << bits), np.int64)
+        lanes = np.repeat(np.arange(blocks), LANES)
+        self.blocks, self.bits = blocks, bits
+        wide = max(bits, 16)
+        self.base, self.base2 = lanes << bits, lanes << 16
+        self.bases = np.stack((lanes << wide, (lanes + blocks) << wide))
+        self.context = np.zeros(2 * blocks << wide, np.uint32 if bits <= 16 else np.uint64)
+        self.recent = np.zeros((2, len(lanes)), np.int32)
+        self.one = self.two = np.zeros(len(lanes), np.int64)
+        self.counts = np.zeros(blocks << bits, np.int32)
         self.distinct = np.zeros(blocks, np.int64)
+        self.entry = np.zeros(blocks << bits, np.uint32)
+        self.new = np.full(len(lanes), SLOTS - 1, np.uint32)  # the escape's entry; its slots are the last
         self.slot = np.full(blocks << 16, -1, np.int32) if slots else None
         self.pending: list[np.ndarray] = []
         self.step, self.rebuild_at = 0, 1
-        self.frequency, self.below = np.zeros(blocks << bits, np.int64), np.zeros(blocks << bits, np.int64)
-        self.escape = np.zeros(blocks, np.int64)  # where the escape's slots begin; they go to the end
+        self.at = np.empty((2, len(lanes)), np.int64)
 
     def predict(self) -> None:
-        """Sets the candidates c1 and c2, and the widths f1, f2 and rest of the three intervals, which sum to SLOTS."""
-        one, two = self.before
-        self.at = (self.base + one, self.base2 + (((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) & 0xFFFF))
-        self.c1, self.c2 = (g[i] for g, i in zip(self.guess, self.at, strict=True))
-        self.k1, self.k2 = (t[i] for t, i in zip(self.trust, self.at, strict=True))
-        self.f2 = np.minimum((self.k2 + self.recent[1]) >> 1, SLOTS - 2 * LEAST).astype(np.int64) + 1
-        self.f1 = (((self.k1 + self.recent[0]) >> 1) * (SLOTS - LEAST - self.f2) >> 16) + 1
-        self.rest = SLOTS - self.f1 - self.f2
-
-    def update(self, ids: np.ndarray) -> None:
-        for k, (c, trust) in enumerate(((self.c1, self.k1), (self.c2, self.k2))):
-            hit = c == ids
-            trust = np.where(hit, trust + ((65535 - trust) >> 3), trust - (trust >> 2))
-            anew = ~hit & (trust < FRESH >> 1)
-            self.guess[k][self.at[k]] = np.where(anew, ids, c)
-            self.trust[k][self.at[k]] = np.where(anew, FRESH, trust)
-            self.recent[k] += (hit * np.int32(65535) - self.recent[k]) >> 5
-        self.before = [ids, self.before[0]]
+        """Sets the candidates, and the widths f2, f1 and rest of the three intervals, which sum to SLOTS."""
+        np.add(self.bases[0], ((self.one * 0x9E3779B1 + self.two * 0x85EBCA6B) >> 7) & 0xFFFF, out=self.at[0])
+        np.add(self.bases[1], self.one, out=self.at[1])
+        entry = self.context[self.at]
+        self.guess, self.trust = (entry >> 16).astype(np.int32), (entry & 0xFFFF).astype(np.int32)
+        sure = (self.trust + self.recent) >> 1
+        self.f2 = np.minimum(sure[0], SLOTS - 2 * LEAST) + 1
+        self.f1 = (sure[1].astype(np.int64) * (SLOTS - LEAST - self.f2) >> 16) + 1
+        self.both = (self.f1 + self.f2).astype(np.uint64)
+        self.rest = _U(SLOTS) - self.both
+
+    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """``hit``: whether each order's candidate was the id."""
+        goal = hit * np.int32(65535)
+        trust = self.trust + ((goal - self.trust) >> 3)
+        anew = ((trust < STALE) & ~hit).astype(np.int32)  # arithmetic, as no processor foresees these
+        guess = self.guess + (ids.astype(np.int32) - self.guess) * anew
+        trust += (FRESH - trust) * anew
+        self.context[self.at] = (guess.astype(self.context.dtype) << 16) | trust.astype(self.context.dtype)
+        self.recent += (goal - self.recent) >> 5
+        self.two, self.one = self.one, ids
         self.pending.append(self.base + ids)
         self.step += 1
         if self.step == self.rebuild_at:
             self._rebuild()
-            self.rebuild_at += max(1, self.step // 2)
+            self.rebuild_at += max(1, self.step * 3 // 4)
 
     def _rebuild(self) -> None:
         """Order 0 anew from all ids so far; the escape is as wide as new ids were common since the last time."""
-        fresh = np.bincount(np.concatenate(self.pending), minlength=self.counts.size).reshape(self.counts.shape)
-        since = fresh.sum(axis=1)
-        self.counts += fresh
+        since = len(self.pending) * LANES
+        self.counts += np.bincount(np.concatenate(self.pending), minlength=len(self.counts)).astype(np.int32)
         self.pending = []
-        distinct = (self.counts > 0).sum(axis=1)
-        wish = SLOTS * (distinct - self.distinct + 1) // (since + 2)
-        free = np.maximum(SLOTS - distinct - np.minimum(np.maximum(wish, 16), SLOTS // 2), 0)
+        least, seen = 1, np.flatnonzero(self.counts)
+        while (distinct := np.bincount(seen >> self.bits, minlength=self.blocks)).max() > SLOTS // 2:  # rare ids stay with the escape
+            least += 1
+            seen = np.flatnonzero(self.counts >= least)
+        block = seen >> self.bits
+        wish = SLOTS * (distinct - self.distinct + 1) // (since + 2) if least == 1 else np.full(self.blocks, SLOTS // 2)
+        free = np.maximum(SLOTS - 1 - distinct - np.clip(wish, 16, SLOTS // 2), 0)
         self.distinct = distinct
-        n = self.counts.sum(axis=1)
-        share = np.where(self.counts > 0, 1 + self.counts * free[:, None] // n[:, None], 0)
-        upto = np.cumsum(share, axis=1)
-        self.frequency, self.below, self.escape = share.ravel(), (upto - share).ravel(), upto[:, -1]
+        share = 1 + self.counts[seen] * free[block] // (self.step * LANES)
+        upto = np.cumsum(share)
+        ends = np.cumsum(distinct)
+        total = np.diff(np.concatenate(([0], upto))[np.concatenate(([0], ends))])
+        below = upto - share - (np.cumsum(total) - total)[block]
+        if least > 1:
+            self.entry[:] = 0
+        self.entry[seen] = (below << 16) | share
+        self.new = np.repeat((total << 16) | (SLOTS - total), LANES).astype(np.uint32)
         if self.slot is not None:
             for b in range(self.blocks):
-                seen = np.flatnonzero(share[b])
-                self.slot[b << 16 : (b << 16) + self.escape[b]] = np.repeat(seen, share[b][seen])
-                self.slot[(b << 16) + self.escape[b] : (b + 1) << 16] = -1
+                lo, hi = ends[b] - distinct[b], ends[b]
+                self.slot[b << 16 : (b << 16) + total[b]] = np.repeat(seen[lo:hi] - (b << self.bits), share[lo:hi])
+                self.slot[(b << 16) + total[b] : (b + 1) << 16] = -1
 
 
 def _laid_out(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,21 +138,29 @@ class _Coder:
     def __init__(self, width: int):
         self.low, self.range = np.zeros(width, np.uint64), np.full(width, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, start: np.ndarray, size: np.ndarray, bits: int, rows=slice(None)) -> None:
+    def narrow(self, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        self.range >>= _U(bits)
+        self.low += self.range * start
+        self.range *= size
+
+    def spell(self, ids: np.ndarray, bits: int, rows: np.ndarray) -> None:
+        """An id as one of ``2 ** bits``, in some lanes."""
         unit = self.range[rows] >> _U(bits)
-        self.low[rows] += unit * start.astype(np.uint64)
-        self.range[rows] = unit * size.astype(np.uint64)
+        self.low[rows] += unit * ids.astype(np.uint64)
+        self.range[rows] = unit
 
     def ready(self, rows: np.ndarray | None = None) -> np.ndarray:
         """Lanes whose first 16 bits are settled, having cut short those whose interval is too narrow to go on."""
         low, wide = (self.low, self.range) if rows is None else (self.low[rows], self.range[rows])
         settled = (low ^ (low + wide)) < _U(1 << 48)
-        narrow = ~settled & (wide < _U(1 << 40))
-        out = np.flatnonzero(settled | narrow)
+        narrow = wide < _U(1 << 40)
+        narrow &= ~settled
         if narrow.any():
             cut = np.flatnonzero(narrow)
             at = cut if rows is None else rows[cut]
             self.range[at] = (_U(0) - low[cut]) & _U((1 << 40) - 1)
+            settled |= narrow
+        out = np.flatnonzero(settled)
         return out if rows is None else rows[out]
 
     def move(self, rows: np.ndarray) -> None:
@@ -140,10 +168,23 @@ class _Coder:
         self.range[rows] <<= _U(16)
 
 
+def _intervals(model: _Model, entry: np.ndarray, two: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size, of 2**32, of each lane's id: its candidate's interval in the lanes ``two`` and ``one``, else its slots of the rest."""
+    size = (entry & 0xFFFF) * model.rest
+    start = (entry >> 16) * model.rest + (model.both << _U(16))
+    start[two] = 0
+    size[two] = model.f2[two].astype(np.uint64) << _U(16)
+    start[one] = model.f2[one].astype(np.uint64) << _U(16)
+    size[one] = model.f1[one].astype(np.uint64) << _U(16)
+    return start, size
+
+
 def encode(ids: np.ndarray, bits: int) -> list[bytes]:
     """The coded blocks of ``ids`` (all under ``2 ** bits``)."""
-    if not len(ids):
-        return []
+    return [b for lo in range(0, len(ids), GROUP * BLOCK) for b in _encode(ids[lo : lo + GROUP * BLOCK], bits)]
+
+
+def _encode(ids: np.ndarray, bits: int) -> list[bytes]:
     sizes = np.diff(np.append(np.arange(0, len(ids), BLOCK), len(ids)))
     first, count = _laid_out(sizes)
     width, steps = len(first), int(count.max())
@@ -155,89 +196,96 @@ def encode(ids: np.ndarray, bits: int) -> list[bytes]:
     def emit() -> None:
         rows = coder.ready()
         while rows.size:
-            out[rows, fill[rows]] = coder.low[rows] >> _U(48)
-            fill[rows] += 1
+            at = fill[rows]
+            out[rows, at] = coder.low[rows] >> _U(48)
+            fill[rows] = at + 1
             coder.move(rows)
             rows = coder.ready(rows)
 
     for t in range(steps):
         symbol = padded[np.where(t < count, first + t, len(ids))]  # a lane that is done codes zeros
         model.predict()
-        two, one = symbol == model.c2, symbol == model.c1
-        flat = model.base + symbol
-        share, below = model.frequency[flat], model.below[flat]
-        new = share == 0
-        edge = model.escape[model.block]
-        share, below = np.where(new, SLOTS - edge, share), np.where(new, edge, below)
-        start = np.where(two, 0, np.where(one, model.f2 << 16, ((model.f1 + model.f2) << 16) + below * model.rest))
-        size = np.where(two, model.f2 << 16, np.where(one, model.f1 << 16, share * model.rest))
-        coder.narrow(start, size, 32)
+        hit = model.guess == symbol
+        entry = model.entry[model.base + symbol]
+        new = entry == 0
+        rows = np.flatnonzero(new)
+        entry[rows] = model.new[rows]
+        coder.narrow(*_intervals(model, entry, np.flatnonzero(hit[0]), np.flatnonzero(hit[1] & ~hit[0])), 32)
         emit()
-        rows = np.flatnonzero(new & ~two & ~one)
+        rows = np.flatnonzero(new & ~hit[0] & ~hit[1])
         if rows.size:
-            coder.narrow(symbol[rows], np.ones(rows.size, np.int64), bits, rows)
+            coder.spell(symbol[rows], bits, rows)
             emit()
-        model.update(symbol)
-    for k in range(4):
-        out[np.arange(width), fill + k] = (coder.low >> _U(48 - 16 * k)) & _U(0xFFFF)
-    fill += 4
+        model.update(symbol, hit)
+    last = coder.low + coder.range - _U(1)  # two words of it lie in the interval, whatever follows them
+    out[np.arange(width), fill] = last >> _U(48)
+    out[np.arange(width), fill + 1] = (last >> _U(32)) & _U(0xFFFF)
+    fill += 2
     blocks = []
     for k, size in enumerate(sizes):
-        lanes = range(k * LANES, (k + 1) * LANES)
-        head = np.array([size, bits, *fill[lanes.start : lanes.stop]], "<u4").tobytes()
-        blocks.append(head + b"".join(out[i, : fill[i]].astype("<u2").tobytes() for i in lanes))
+        lanes = slice(k * LANES, (k + 1) * LANES)
+        used = np.arange(out.shape[1])[None, :] < fill[lanes, None]
+        blocks.append(np.array([size, bits], "<u4").tobytes() + fill[lanes].astype("<u2").tobytes() + out[lanes][used].astype("<u2").tobytes())
     return blocks
 
 
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of coded blocks, all of one ``bits``."""
-    if not blocks:
-        return np.zeros(0, np.uint32)
-    heads = [np.frombuffer(b, "<u4", 2 + LANES) for b in blocks]
-    sizes, bits = np.array([h[0] for h in heads], np.int64), int(heads[0][1])
-    fill = np.concatenate([h[2:] for h in heads]).astype(np.int64)
-    data = np.frombuffer(b"".join(b[4 * (2 + LANES) :] for b in blocks), "<u2").astype(np.uint64)
+    parts = [_decode(blocks[lo : lo + GROUP]) for lo in range(0, len(blocks), GROUP)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _decode(blocks: list[bytes]) -> np.ndarray:
+    sizes = np.array([np.frombuffer(b, "<u4", 1)[0] for b in blocks], np.int64)
+    bits = int(np.frombuffer(blocks[0], "<u4", 2)[1])
+    fill = np.concatenate([np.frombuffer(b, "<u2", LANES, 8) for b in blocks]).astype(np.int64)
+    data = np.frombuffer(b"".join(b[8 + 2 * LANES :] for b in blocks) + bytes(4), "<u2").astype(np.uint64)
     at = np.cumsum(fill) - fill
+    end = at + fill
+    last = len(data) - 1  # a zero, read behind a lane's end
     first, count = _laid_out(sizes)
     width, steps = len(first), int(count.max())
     model, coder = _Model(len(sizes), bits, slots=True), _Coder(width)
-    code = (data[at] << _U(48)) | (data[at + 1] << _U(32)) | (data[at + 2] << _U(16)) | data[at + 3]
-    at = at + 4
-    last = len(data) - 1
+    code = np.zeros(width, np.uint64)
+    for _ in range(4):
+        code = (code << _U(16)) | data[np.where(at < end, at, last)]
+        at = at + 1
     out = np.zeros(int(sizes.sum()) + 1, np.uint32)
 
     def take() -> None:
         rows = coder.ready()
         while rows.size:
             coder.move(rows)
-            code[rows] = (code[rows] << _U(16)) | data[np.minimum(at[rows], last)]
-            at[rows] += 1
+            here = at[rows]
+            code[rows] = (code[rows] << _U(16)) | data[np.where(here < end[rows], here, last)]
+            at[rows] = here + 1
             rows = coder.ready(rows)
 
     for t in range(steps):
         model.predict()
-        value = np.minimum((code - coder.low) // (coder.range >> _U(32)), _U(0xFFFFFFFF)).astype(np.int64)
-        both = (model.f1 + model.f2) << 16
-        two = value < model.f2 << 16
-        one = ~two & (value < both)
-        slot = np.maximum(value - both, 0) // model.rest
+        value = np.minimum((code - coder.low) // (coder.range >> _U(32)), _U(0xFFFFFFFF))
+        edge = model.both << _U(16)
+        candidate = value < edge
+        # whole numbers under 2**32 by such under 2**17: the quotient of doubles has the right floor
+        slot = ((np.maximum(value, edge) - edge).astype(np.float64) / model.rest.astype(np.float64)).astype(np.int64)
         symbol = model.slot[model.base2 + slot].astype(np.int64)
         new = symbol < 0
-        flat = model.base + np.maximum(symbol, 0)
-        edge = model.escape[model.block]
-        share, below = np.where(new, SLOTS - edge, model.frequency[flat]), np.where(new, edge, model.below[flat])
-        start = np.where(two, 0, np.where(one, model.f2 << 16, both + below * model.rest))
-        size = np.where(two, model.f2 << 16, np.where(one, model.f1 << 16, share * model.rest))
-        coder.narrow(start, size, 32)
+        rows = np.flatnonzero(new)
+        symbol[rows] = 0
+        entry = model.entry[model.base + symbol]
+        entry[rows] = model.new[rows]
+        two = value < model.f2.astype(np.uint64) << _U(16)
+        one, two = np.flatnonzero(candidate & ~two), np.flatnonzero(two)
+        coder.narrow(*_intervals(model, entry, two, one), 32)
         take()
-        rows = np.flatnonzero(new & ~two & ~one)
+        rows = np.flatnonzero(new & ~candidate)
         if rows.size:
             plain = np.minimum((code[rows] - coder.low[rows]) // (coder.range[rows] >> _U(bits)), _U((1 << bits) - 1)).astype(np.int64)
-            coder.narrow(plain, np.ones(rows.size, np.int64), bits, rows)
+            coder.spell(plain, bits, rows)
             take()
             symbol[rows] = plain
-        symbol = np.where(two, model.c2, np.where(one, model.c1, symbol))
-        model.update(symbol)
+        symbol[two], symbol[one] = model.guess[0][two], model.guess[1][one]
+        model.update(symbol, model.guess == symbol)
         out[np.where(t < count, first + t, len(out) - 1)] = symbol
     return out[:-1]
 
