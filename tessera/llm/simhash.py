@@ -136,21 +136,23 @@ def with_fingerprint(docs: DataFrame, words: int = 3, text: str = "text", id_col
 
 
 def forest(fps: np.ndarray, distance: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smallest member of its component) among one group's fingerprints."""
-    label = np.arange(len(fps))
-    edges = []
-    for i in range(0, len(fps), block):
-        near = np.bitwise_count(fps[i : i + block, None] ^ fps[None, :]) <= distance
-        edges.append(np.argwhere(near) + (i, 0))
-    a, b = np.concatenate(edges).T
+    """Links (member, smallest member of its component) among one group's fingerprints.
+
+    Labels sink to the least of their neighbours' until none changes; neighbours are found
+    anew each round, ``block`` members at a time, so that no list of links is held.
+    """
+    n = len(fps)
+    label = np.arange(n)
     while True:
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
+        low = np.empty_like(label)
+        for i in range(0, n, block):
+            near = np.bitwise_count(fps[i : i + block, None] ^ fps[None, :]) <= distance
+            low[i : i + block] = np.where(near, label, n).min(axis=1)
         low = np.minimum(low, low[low])
         if (low == label).all():
             break
         label = low
-    rows = np.flatnonzero(label != np.arange(len(fps)))
+    rows = np.flatnonzero(label != np.arange(n))
     return fps[rows], fps[label[rows]]
 
 
