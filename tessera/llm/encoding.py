@@ -89,7 +89,7 @@ def word_level_starts(points: np.ndarray, kind: np.ndarray, border: np.ndarray)
 class Encoder:
     """Ids as the tokenizers library gives them for a vocabulary file, without added special tokens."""
 
-    def __init__(self, path: str, cache_pieces: int = 600_000):
+    def __init__(self, path: str, cache_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -32,8 +32,8 @@ from tessera.llm import _bytes
 from tessera.llm._store import documents, shared_dir
 from tessera.llm.encoding import encoder
 
-LANES, BLOCK, SEGMENT = 512, 1 << 18, 1 << 22
-#: Blocks that are coded in step; their tables fit a core's cache.
+LANES, BLOCK, SEGMENT = 512, 1 << 18, 1 << 23
+#: About so many blocks are coded in step; their tables fit a core's cache.
 GROUP = 8
 #: Order 0 deals out 2**16 slots; so do the two candidates and what they leave over.
 SLOTS = 1 << 16
@@ -181,7 +181,13 @@ def _intervals(model: _Model, entry: np.ndarray, two: np.ndarray, one: np.ndarra
 
 def encode(ids: np.ndarray, bits: int) -> list[bytes]:
     """The coded blocks of ``ids`` (all under ``2 ** bits``)."""
-    return [b for lo in range(0, len(ids), GROUP * BLOCK) for b in _encode(ids[lo : lo + GROUP * BLOCK], bits)]
+    return [b for lo, hi in _groups(-(-len(ids) // BLOCK)) for b in _encode(ids[lo * BLOCK : hi * BLOCK], bits)]
+
+
+def _groups(blocks: int) -> list[tuple[int, int]]:
+    """Blocks dealt evenly to groups, so that none is left over to run all steps by itself."""
+    n = max(1, round(blocks / GROUP))
+    return [(blocks * k // n, blocks * (k + 1) // n) for k in range(n if blocks else 0)]
 
 
 def _encode(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -231,7 +237,7 @@ def _encode(ids: np.ndarray, bits: int) -> list[bytes]:
 
 def decode(blocks: list[bytes]) -> np.ndarray:
     """The ids of coded blocks, all of one ``bits``."""
-    parts = [_decode(blocks[lo : lo + GROUP]) for lo in range(0, len(blocks), GROUP)]
+    parts = [_decode(blocks[lo:hi]) for lo, hi in _groups(len(blocks))]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 

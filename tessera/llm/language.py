@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, probs = sent.value
-        for b in _bytes.pieces(batches, "_tessera_text"):
+        for b in _bytes.pieces(batches, "_tessera_text", 1 << 20):
             texts = ["" if t is None else t for t in b.column("_tessera_text").to_pylist()]
             lang, sure = predict(texts, vocabulary(vocab), names, probs)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*b.schema.names[:-1], pred, score])
