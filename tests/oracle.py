@@ -19,7 +19,8 @@ def plain(v):
         return str([plain(x) for x in v])
     if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return None
-    return v.item() if hasattr(v, "item") else v
+    v = v.item() if hasattr(v, "item") else v
+    return int(v) if isinstance(v, float) and v.is_integer() else v  # pandas makes whole columns with nulls floats
 
 
 def rows(df):
