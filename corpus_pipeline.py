@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import language, mixing, packing, secrets, simhash
-from tessera.llm._store import documents, written
+from tessera.llm import language, mixing, packing, secrets, similar
+from tessera.llm._store import cut, documents, written
 
 #: SQL has no form for the tokenizer, the fingerprints and the language model; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -18,15 +18,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id.
+    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id.
 
     Rows that share an id are one document, of which one row stays; rows without an id
     cannot be told apart and stay.
     """
-    named = docs.where("doc_id is not null")
-    keep = simhash.near_duplicates(named).where("doc_id = component_id").groupBy("doc_id").count()
-    kept = named.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if not keep.where("count > 1").isEmpty():
+    named = docs.where("doc_id is not null").withColumn("_pipeline_tid", similar.text_key(F.col("text")))
+    keys = named.select(F.col("_pipeline_tid").alias("tid"), F.xxhash64(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    root = similar.roots(keys, words=5, least=0.8)
+    rows = named.select("doc_id", "_pipeline_tid").join(root, F.col("_pipeline_tid") == F.col("node"), "left")
+    keep = cut(rows.groupBy(F.coalesce("root", "_pipeline_tid").alias("root")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    kept = named.join(keep, "doc_id", "left_semi")
+    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

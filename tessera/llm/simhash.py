@@ -106,8 +106,8 @@ def majority(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nda
     return out
 
 
-def fingerprints(texts: pa.Array, words: int = 3) -> np.ndarray:
-    """The fingerprint of each text. Null and texts without a word have 0."""
+def shingle_hashes(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' word shingles one behind the other, and how many each text has."""
     data, off = _bytes.raw(texts)
     data = data + ((data - np.uint8(65)) < 26).astype(np.uint8) * np.uint8(32)
     starts, ends, first = _bytes.word_spans(data, off)
@@ -120,7 +120,12 @@ def fingerprints(texts: pa.Array, words: int = 3) -> np.ndarray:
     row = own[begins]
     last = np.where(n[row] >= words, begins + words - 1, first[row + 1] - 1)
     h = xxh64(plain, at[begins], at[last] + length[last] - at[begins])
-    shingles = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+    return h, np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+
+
+def fingerprints(texts: pa.Array, words: int = 3) -> np.ndarray:
+    """The fingerprint of each text. Null and texts without a word have 0."""
+    h, shingles = shingle_hashes(texts, words)
     return majority(h, np.concatenate(([0], np.cumsum(shingles)))[:-1], shingles)
 
 
