@@ -25,6 +25,8 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: What the models look at: whole runs of the alphabet, of this length at least.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: What joins a secret to a name or a path in one run, and the length of the windows that look for it there.
+JOINTS, WINDOW = "=/_-", 20
 
 #: Parts of ordinary identifiers, words of several languages among them.
 PARTS = (
@@ -91,6 +93,39 @@ def ratio(token: Column, weights: list[float]) -> Column:
     return bind(place, score) / F.length(token)
 
 
+def _hidden(m: Column, at: Column, weights: list[float], least: float) -> Column:
+    """(s, kind, e) of the parts of a run that look random by themselves; ``at`` is the place of the run.
+
+    Every window that does not cross a "=" is scored as a token of its own. Windows that
+    meet, or that no joint parts, are one; it is marked out to the joints around it.
+    """
+    n = len(ALPHABET) + 1
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in weights)), ",").cast("array<double>")
+    codes = F.transform(F.split(m, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    steps = lambda p: F.transform(p, lambda c, i: F.when(i > 0, F.get(table, F.get(p, i - 1) * n + c)).otherwise(0.0))
+    flat = F.translate(m, JOINTS, "=" * len(JOINTS))
+    empty = F.array().cast("array<struct<s:int,e:int>>")
+
+    def hits(p: Column, w: Column) -> Column:
+        score = lambda i: F.get(table, F.get(p, i)) + F.aggregate(F.slice(w, i + 2, WINDOW - 1), F.lit(0.0), lambda a, x: a + x)
+        return F.filter(F.sequence(F.lit(0), F.length(m) - WINDOW), lambda i: (score(i) >= least * WINDOW) & ~F.contains(F.substr(m, i + 1, F.lit(WINDOW)), F.lit("=")))
+
+    def joined(runs: Column, i: Column) -> Column:
+        last = F.element_at(runs, -1)
+        one = lambda s: F.array(F.struct(s.cast("int").alias("s"), (i + WINDOW).cast("int").alias("e")))
+        return F.when(F.size(runs) == 0, one(i)).when((i <= last["e"]) | ~F.contains(F.substr(flat, last["e"] + 1, i - last["e"]), F.lit("=")), F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), one(last["s"]))).otherwise(F.concat(runs, one(i)))
+
+    def widened(x: Column) -> Column:
+        s = x["s"] - F.length(F.substring_index(F.substr(flat, F.lit(1), x["s"]), "=", -1))
+        e = x["e"] + F.length(F.substring_index(F.substr(flat, x["e"] + 1), "=", 1))
+        return F.struct(s.alias("s"), e.alias("e"))
+
+    runs = bind(codes, lambda p: bind(steps(p), lambda w: F.aggregate(hits(p, w), empty, joined)))
+    part = lambda x: F.substr(m, x["s"] + 1, x["e"] - x["s"])
+    kept = F.filter(F.transform(runs, widened), lambda x: part(x).rlike("[0-9]") & part(x).rlike("[A-Za-z]"))
+    return F.transform(kept, lambda x: F.struct((at + x["s"]).alias("s"), F.lit(3).alias("kind"), (at + x["e"]).alias("e")))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
     """(s, kind, e) of the matches that ``keep`` accepts, in order; code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -118,7 +153,8 @@ def scan(docs: DataFrame, weights: list[float], least: float = 0.8, text: str =
 
     The patterns' spans always stay, and may overlap those of other kinds. A token is added
     under ``markov`` if its ratio is ``least`` or more, it has a digit and a letter, and no
-    pattern's span overlaps it. Null is taken as the empty text, which has no spans.
+    pattern's span overlaps it. Of a token with a lower ratio the parts are added that reach
+    ``least`` by themselves, such as a secret behind a name or in a path. Null is taken as the empty text, which has no spans.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(
@@ -126,7 +162,9 @@ def scan(docs: DataFrame, weights: list[float], least: float = 0.8, text: str =
         _spans(t, ACCESS, 1, lambda m: F.lit(True)),
         _spans(t, HEX, 2, lambda m: F.lit(True)),
     )
-    guess = _spans(t, TOKEN, 3, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (ratio(m, weights) >= least))
+    mixed = _spans(t, TOKEN, 3, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
+    inside = lambda x: bind(F.substr(t, x["s"] + 1, x["e"] - x["s"]), lambda m: F.when(ratio(m, weights) >= least, F.array(x)).otherwise(_hidden(m, x["s"], weights, least)))
+    guess = F.when(F.size(mixed) > 0, F.flatten(F.transform(mixed, inside))).otherwise(mixed)
     free = lambda g, b: F.filter(g, lambda x: ~F.exists(b, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
     return docs.withColumn(into, bind(base, lambda b: F.sort_array(F.concat(b, free(guess, b)))))
 
