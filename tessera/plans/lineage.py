@@ -211,30 +211,35 @@ def _(spark, d):
 
 
 def stream(spark, d):
-    """A canonical stream over two of the table's sources, their documents in shards of five."""
+    """A canonical stream over the table's sources by their token shares, their documents in shards of five, and the windows its tokens fill."""
     from tessera.operators.stream import CanonicalStream
 
-    at = sized(spark, d).where("source in ('src1', 'src2') and n_tokens > 0")
+    at = sized(spark, d).where("n_tokens > 0")
     lengths = at.select("source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint").alias("global_doc"), "n_tokens")
-    count = {r["source"]: r["count"] for r in lengths.groupBy("source").count().collect()}
-    shards = {s: [5] * (n // 5) + ([n % 5] if n % 5 else []) for s, n in sorted(count.items())}
-    return CanonicalStream(spark, lengths, shards, [0.6, 0.4], SEQ, 7)
+    told = {r["source"]: r for r in lengths.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
+    shards = {s: [5] * (r["docs"] // 5) + ([r["docs"] % 5] if r["docs"] % 5 else []) for s, r in sorted(told.items())}
+    total = sum(r["tokens"] for r in told.values())
+    windows = (total + sum(r["docs"] for r in told.values())) // (SEQ + 1)
+    return CanonicalStream(spark, lengths, shards, [told[s]["tokens"] / total for s in shards], SEQ, 7), windows
 
 
 @query("stream_spans")
 def _(spark, d):
-    return stream(spark, d).spans(40)
+    s, windows = stream(spark, d)
+    return s.spans(windows)
 
 
 @query("stream_resume", "SELECT CAST(0 AS BIGINT) AS differences")
 def _(spark, d):
-    """Spans of windows 15 to 39 after a resume, against the continuous stream's: those of documents drawn since."""
-    s = stream(spark, d)
-    at = s.position(15)
-    a, b = s.spans(25, at), s.spans(40).where((F.col("global_window") >= 15) & (F.col("draw") >= at.draws))
+    """Spans of the later windows after a resume, against the continuous stream's: those of documents drawn since."""
+    s, windows = stream(spark, d)
+    first = windows * 3 // 8
+    at = s.position(first)
+    a, b = s.spans(windows - first, at), s.spans(windows).where((F.col("global_window") >= first) & (F.col("draw") >= at.draws))
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences"))
 
 
 @query("stream_refs")
 def _(spark, d):
-    return stream(spark, d).refs(20)
+    s, windows = stream(spark, d)
+    return s.refs(windows)
