@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tessera.llm import _bytes
 from tessera.llm._store import documents, shared_dir
@@ -35,6 +35,8 @@ from tessera.llm.encoding import encoder
 LANES, BLOCK, SEGMENT = 512, 1 << 18, 1 << 23
 #: About so many blocks are coded in step; their tables fit a core's cache.
 GROUP = 8
+#: Up to so many segments (24 bytes each) their places in the whole are sent to all executors.
+BROADCAST_ROWS = 1_000_000
 #: Order 0 deals out 2**16 slots; so do the two candidates and what they leave over.
 SLOTS = 1 << 16
 LEAST, FRESH, STALE = 2048, 12000, 9000
@@ -296,14 +298,15 @@ def _decode(blocks: list[bytes]) -> np.ndarray:
     return out[:-1]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, bytes_a_part: int = 12 << 20, text: str = "text", id_col: str = "doc_id") -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, bytes_a_part: int = 12 << 20, most_parts: int = 20_000, text: str = "text", id_col: str = "doc_id") -> None:
     """The ids of all documents, each followed by ``end_id``, to ``path`` in ascending id order.
 
     Null texts count as empty and have the end id alone; null ids come first; equal ids lie
-    together, by text. An empty table gives files without segments.
+    together, by text. An empty table gives files without segments. Beyond ``most_parts``
+    parts they grow, and have more segments each.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = max(1, -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_a_part))
+    parts = min(most_parts, max(1, -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_a_part)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -322,7 +325,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
 
         for b in _bytes.pieces(batches, "text"):
             part, id_type = b.column("part")[0].as_py(), b.schema.field("id").type
-            found, upto = enc.encode(b.column("text").to_pylist())
+            found, upto = enc.encode(b.column("text"))
             at, n = 0, b.num_rows
             named = b.column("id").to_pylist()
             while at < n:  # whole documents until the segment is full
@@ -349,11 +352,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     A block whose ids do not have its CRC is an error that names it.
     """
     table = spark.read.parquet(path)
-    starts, upto = {}, 0
-    for part, segment, n in sorted(tuple(x) for x in table.select("part", "segment", "n_ids").collect()):  # a row for each SEGMENT ids
-        starts[part, segment] = upto
-        upto += n
-    sent = spark.sparkContext.broadcast(starts)
+    heads = table.select("part", "segment", "n_ids")  # a row for each SEGMENT ids
+    parts = heads.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum("n_ids").over(W.partitionBy("part").orderBy("segment").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_ids")
+    starts = heads.join(before, "part").select("part", "segment", (F.col("before") + inside).alias("start"))
+    few = heads.count() <= BROADCAST_ROWS
+    placed = table.join(F.broadcast(starts) if few else starts, ["part", "segment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -367,11 +372,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 lengths = row.column("lengths")[0].values.to_numpy()
                 off = np.concatenate(([0], np.cumsum(lengths)))
                 blob = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                out = pa.RecordBatch.from_arrays([row.column("docs")[0].values, pa.array(sent.value[part, segment] + off[:-1]), pa.array(lengths), blob], ["doc_id", "start", "n_tokens", "ids"])
+                out = pa.RecordBatch.from_arrays([row.column("docs")[0].values, pa.array(row.column("start")[0].as_py() + off[:-1]), pa.array(lengths), blob], ["doc_id", "start", "n_tokens", "ids"])
                 yield from _bytes.pieces([out], "ids", 8 << 20)
 
     kind = table.schema["docs"].dataType.elementType.simpleString()
-    return table.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
+    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, ids binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

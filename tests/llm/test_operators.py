@@ -443,3 +443,43 @@ def test_base_digest(spark, sf_dir):
 def test_quality_matches_its_sql(spark, sf_dir):
     got = quality.query(spark, sf_dir).toPandas()
     assert oracle.rows(got) == oracle.rows(oracle.connect(sf_dir).sql(quality.ORACLE_SQL).df())
+
+
+def test_ids_of_texts_beyond_one_batch_and_forgotten_pieces(texts):
+    """Texts of megabytes, and a cache that is forgotten at every call."""
+    import random
+
+    rng = random.Random(8)
+    big = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 22))) for _ in range(120_000))
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = encoding.encoder(name)
+        want = e.library.encode(big, add_special_tokens=False).ids
+        assert e.encode(["x", big, ""])[0].tolist()[-len(want) :] == want
+        assert tokens.count(e, ["a b", big, big * 2]).tolist()[1] == len(want)
+        small = encoding.Encoder(__import__("public_tokenizers").path(name), cache_pieces=50)
+        some = [t or "" for _, t, _, _ in texts]
+        for _ in range(3):
+            for t in some:
+                assert small.encode([t])[0].tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
+def test_many_special_strings():
+    e = encoding.encoder("byte_bpe_50k.json")
+    t = "a<|endoftext|>" * 50_000 + "<|endof"
+    assert tokens.count(e, [t, "text|>"]).tolist() == [len(e.library.encode(x, add_special_tokens=False).ids) for x in (t, "text|>")]
+
+
+def test_id_files_of_several_segments_a_part(spark, docs, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(idfile, "SEGMENT", 500)
+    docs = docs.coalesce(1)
+    idfile.write_ids(docs, str(tmp_path / "one"), bytes_a_part=20_000, most_parts=2)
+    table = spark.read.parquet(str(tmp_path / "one"))
+    assert table.select("part").distinct().count() == 2
+    at = 0
+    for few in (0, 1_000_000):
+        monkeypatch.setattr(idfile, "BROADCAST_ROWS", few)
+        rows, at = idfile.read_ids(spark, str(tmp_path / "one")).orderBy("start").collect(), 0
+        assert [r.doc_id for r in rows] == sorted((i for i, *_ in texts), key=lambda i: (i is not None, i))
+        for r in rows:
+            assert r.start == at
+            at += r.n_tokens
