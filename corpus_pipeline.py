@@ -18,20 +18,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id.
+    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 or more) one row.
 
-    Rows that share an id are one document, of which one row stays; rows without an id
-    cannot be told apart and stay.
+    It is the row with the smallest id, null ids last, and of rows that share it the one
+    whose columns hash lowest; equal rows are one. Rows that share an id but not a group are
+    documents of their own. Null, empty and blank texts are one group.
     """
-    named = docs.where("doc_id is not null").withColumn("_pipeline_tid", similar.text_key(F.col("text")))
-    keys = named.select(F.col("_pipeline_tid").alias("tid"), F.xxhash64(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    root = similar.roots(keys, words=5, least=0.8)
-    rows = named.select("doc_id", "_pipeline_tid").join(root, F.col("_pipeline_tid") == F.col("node"), "left")
-    keep = cut(rows.groupBy(F.coalesce("root", "_pipeline_tid").alias("root")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    kept = named.join(keep, "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    key = {"_pipeline_tid": similar.text_key(F.col("text")), "_pipeline_row": F.xxhash64(*docs.columns)}
+    marked = docs.withColumns(key)
+    slim = marked.select("doc_id", F.col("_pipeline_tid").alias("tid"), F.col("_pipeline_row").alias("row"))
+    root = similar.roots(marked.select(F.col("_pipeline_tid").alias("tid"), F.col("_pipeline_row").alias("row"), F.col("text").cast("string").alias("text")), words=5, least=0.8)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "tid", F.col("rows")))
+    distinct = slim.groupBy("tid", "row", "doc_id").agg(F.count("*").alias("rows"))
+    stay = distinct.join(root, F.col("tid") == F.col("node"), "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(first.alias("first"))
+    stay = cut(stay.select(F.col("first.tid").alias("_pipeline_tid"), F.col("first.row").alias("_pipeline_row"), F.col("first.rows").alias("_pipeline_rows")))
+    kept = marked.join(stay, list(key))
+    once = kept.where("_pipeline_rows = 1")
+    if not stay.where("_pipeline_rows > 1").isEmpty():
+        once = once.unionByName(kept.where("_pipeline_rows > 1").dropDuplicates(list(key)))
+    return once.select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

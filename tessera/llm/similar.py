@@ -1,13 +1,20 @@
-"""Exact near copies: all pairs of texts whose sets of word shingles have a Jaccard similarity of ``least`` or more.
+"""Near copies by SimHash, completed: all pairs of texts whose word shingles have a Jaccard similarity of ``least`` or more.
+
+Fingerprints of the same shingles, linked by the deletion-variant signatures of ``simhash``,
+bring the nearest copies together at once; each such link is verified on the whole sets.
+Fingerprints at most 2 bits apart, however, miss most pairs that are just above 0.8, and a
+radius that reached them all would link whatever has a common passage. Hence the rest is
+found by prefix filtering.
 
 Prefix filtering: under one order of all shingles, two such sets share one of the first
 ``n - ceil(least * n) + 1`` shingles of either, so an equality grouping on those brings
 every such pair together and none is missed, whatever the order. The order puts the
 shingles that are common in a sample last, so that a common passage makes no large groups.
 
-Groups are not expanded into pairs at once. First each text meets one text alone, of those
-that lead its groups the one it shares most with; what these links join is not compared again, and only pairs that still lie
-in different components follow. Each pair is decided by the whole sets of both texts.
+Groups are not expanded into pairs at once. First each text meets one text alone: the one
+that its fingerprint links it to or, of those that lead its groups, the one it shares most
+with. What these links join is not compared again, and only pairs that still lie in
+different components follow. Each pair is decided by the whole sets of both texts.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import _bytes
 from tessera.llm._store import cut
-from tessera.llm.simhash import components, shingle_hashes
+from tessera.llm.simhash import components, links, shingle_hashes, with_fingerprint
 
 _LAST = np.uint64(1 << 63)
 #: One text in so many is looked at for common shingles, and so many of these are put last.
@@ -69,8 +76,8 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     some = docs.where(F.pmod("tid", F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h bigint, n bigint")
-    top = some.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h = np.array([r.h for r in reversed(top)], np.uint64)
+    top = some.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow()
+    h = top.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     return np.stack((h[order], order.astype(np.uint64)))
 
@@ -129,6 +136,16 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.concatenate((begin, [len(key)])))
 
 
+def alike(docs: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b) of text keys with a link between their fingerprints; a key is ``b`` once at most."""
+    marked = cut(with_fingerprint(docs, words, "text", "tid").groupBy("id").agg(F.first("fp").alias("fp")))
+    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    linked = links(marked.select("fp").distinct()).where("a <> b").groupBy(F.greatest("a", "b").alias("fp")).agg(F.min(F.least("a", "b")).alias("other"))
+    equal = marked.join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    other = least.select(F.col("fp").alias("other"), F.col("least").alias("a"))
+    return equal.unionByName(linked.join(least, "fp").join(other, "other").select("a", F.col("least").alias("b")))
+
+
 def stars(keys: DataFrame, least: float) -> DataFrame:
     """(h, tid, n, pos, hub) of the members of groups of two or more; ``hub`` is the group's text each could meet first."""
 
@@ -209,12 +226,14 @@ def roots(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     keyed = docs.select("tid", "text")
     members = cut(stars(prefixes(keyed, words, least, common_shingles(keyed, words)), least))
     met = members.where("tid <> hub").groupBy("tid", "hub").count()
-    pairs = cut(met.groupBy("tid").agg(F.min_by("hub", F.struct(-F.col("count"), "hub")).alias("a")).select("a", F.col("tid").alias("b")))
-    links = verified(pairs, docs, rows, words, least)
-    now = cut(components(links))
+    near = cut(alike(keyed, words))
+    led = met.groupBy("tid").agg(F.min_by("hub", F.struct(-F.col("count"), "hub")).alias("a")).select("a", F.col("tid").alias("b"))
+    pairs = cut(near.unionByName(led.join(near.select("b"), "b", "left_anti").select("a", "b")))
+    found = verified(pairs, docs, rows, words, least)
+    now = cut(components(found))
     left = rest(members.join(now, F.col("tid") == F.col("node"), "left").select("h", "tid", "n", "pos", F.coalesce("root", "tid").alias("root")), least)
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = cut(left.join(done, ["a", "b"], "left_anti"))
     if left.isEmpty():
         return now
-    return components(links.unionByName(verified(left, docs, rows, words, least)))
+    return components(found.unionByName(verified(left, docs, rows, words, least)))

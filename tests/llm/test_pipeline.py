@@ -1,24 +1,30 @@
 from collections import Counter
 
 import corpus_pipeline as C
-from tessera.llm import secrets, simhash
+from tessera.llm import secrets
 from tessera.llm._store import written
-from tests.llm.test_operators import base_spans, brute_components, brute_fingerprint
+from tests.llm.conftest import SCHEMA
+from tests.llm.test_operators import base_spans
+from tests.llm.test_similar import brute_roots
 
-import numpy as np
 from pyspark.sql import functions as F
 
 
+def brute_kept(rows):
+    """The ids that one row of each group of near copies has."""
+    groups = {}
+    for r, root in zip(rows, brute_roots([r.text for r in rows])):
+        groups.setdefault(root, []).append(r)
+    return Counter(min((r.doc_id is None, r.doc_id or 0, r.doc_id) for r in g)[2] for g in groups.values())
+
+
 def test_stages_on_odd_rows(spark, docs, none):
     now = docs
     for name, stage in C.STAGES:
         before, now = now, written(stage(spark, now, None), name)
         assert now.columns == docs.columns or name == "packing"
         if name == "near_dedup":
-            rows = [r for r in before.collect() if r.doc_id is not None]
-            fps = np.array([brute_fingerprint(r.text) for r in rows], np.uint64)
-            keep = {c for c in brute_components(fps, [r.doc_id for r in rows])}
-            assert Counter(r.doc_id for r in now.collect() if r.doc_id is not None) == Counter(keep)
+            assert Counter(r.doc_id for r in now.collect()) == brute_kept(before.collect())
         if name == "secret_scan":
             assert now.count() == before.count()
             texts = {r.doc_id: r.text for r in before.collect()}
@@ -36,6 +42,19 @@ def test_run(spark, sf_dir):
     assert one.count() >= docs.where(F.col("text").rlike(r"\p{L}")).count() * 0.98
     got = C.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    kept = {r.doc_id for r in simhash.near_duplicates(one).where("doc_id = component_id").collect()}
+    kept = set(brute_kept(one.collect()))
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} <= kept
     assert secrets.KINDS[0] == "assign"
+
+
+def test_repeated_and_null_ids_lose_their_copies(spark, texts):
+    """A third of all rows under one id, copies without an id, an id with two texts, and equal rows."""
+    prose = [t for _, t, _, _ in texts if t and len(t.split()) > 20]
+    rows = [(7, prose[k % 5], "en", "s0") for k in range(30)] + [(None, prose[k % 4 + 3], "en", "s1") for k in range(12)]
+    rows += [(3, prose[6], "en", "s0"), (5, prose[6], "en", "s0"), (5, prose[7], "en", "s0"), (9, None, None, None), (None, "", None, None)]
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *[0] * (len(SCHEMA.split(",")) - 5)) for r in rows], SCHEMA).repartition(4)
+    first = sorted((str(r.doc_id), str(r.text)) for r in C.without_copies(spark, docs, None).collect())
+    again = sorted((str(r.doc_id), str(r.text)) for r in C.without_copies(spark, docs.repartition(7), None).collect())
+    assert first == again
+    assert Counter(i for i, _ in first) == Counter({str(k): n for k, n in brute_kept(docs.collect()).items()})
+    assert len({t for _, t in first}) == len(first)

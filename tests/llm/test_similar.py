@@ -4,10 +4,11 @@ import corpus_pipeline as C
 from pyspark.sql import functions as F
 
 from tessera.llm import similar
+from tests.llm.test_operators import WORD, lower
 
 
 def brute_sets(t, k=5):
-    w = (t or "").lower().split()
+    w = WORD.findall(lower(t))
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
 
 
