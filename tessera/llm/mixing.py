@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 40-bit hash. A source that is to give ``target`` words takes
+Every document has a fixed 40-bit hash of its id and text; equal rows are numbered, and the
+number is hashed too. A source that is to give ``target`` words takes
 each of its documents a whole number of times, and once more those whose hash lies under
 the source's threshold. The thresholds are found without sorting: sizes are summed by
 source and hash bucket (partial sums first, so a source with a third of all rows is no
@@ -68,17 +69,43 @@ def thresholds(sized: DataFrame, budgets: DataFrame, n_sources: int) -> DataFram
     return found
 
 
-def _hash(id_col: str, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 64 - BITS * LEVELS)
+def _hash(id_col: str, text: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text), F.lit(seed)), 64 - BITS * LEVELS)
 
 
-def plan_mix(sized: DataFrame, most: int = 3, rounds: int = 3) -> tuple[DataFrame, int]:
+def twins(sized: DataFrame) -> DataFrame:
+    """(hash, part, before): where rows share a hash, how many of them lie in the partitions before ``part``."""
+    per = sized.groupBy("hash", "part").agg(F.count("*").alias("rows"))
+    many = per.groupBy("hash").agg(F.sum("rows").alias("all")).where("all > 1").select("hash")
+    before = F.sum("rows").over(W.partitionBy("hash").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    return cut(per.join(many, "hash").select("hash", "part", F.coalesce(before, F.lit(0)).alias("before")))
+
+
+def told_apart(rows: DataFrame, found: DataFrame, hash: str = "hash", part: str = "part") -> DataFrame:
+    """``rows`` with a hash of their own for those that share one, by their number among them.
+
+    They are numbered within their partitions, so that a third of all rows may be equal; which
+    of equal rows has which number is all the same.
+    """
+    n = found.count()
+    if not n:
+        return rows
+    on = found.select(F.col("hash").alias("_twin_hash"), F.col("part").alias("_twin_part"), F.col("before").alias("_twin_before"))
+    joined = rows.join(_known(on, n), (F.col(hash) == F.col("_twin_hash")) & (F.col(part) == F.col("_twin_part")), "left")
+    number = F.col("_twin_before") + F.row_number().over(W.partitionBy(hash, part).orderBy(F.lit(0)))
+    own = F.shiftrightunsigned(F.xxhash64(hash, number), 64 - BITS * LEVELS)
+    more = joined.where("_twin_before is not null").withColumn(hash, own)
+    return joined.where("_twin_before is null").unionByName(more).select(*rows.columns)
+
+
+def plan_mix(sized: DataFrame, most: int = 3) -> tuple[DataFrame, int]:
     """The mix of ``sized`` (source, size, hash) as a row per source, and how many there are.
 
     (source, source_size, target, times, rounds, one): a document is taken ``times`` times,
     and once more if ``once_more`` says so. A document that does not fit into what is left
     of its source's budget is passed over: each further round finds a threshold among the
-    hashes behind the last one, for documents that fit. ``one`` is the hash of a last
+    hashes behind the last one, for documents that fit, until none does. What is left is
+    less than the document that crossed, so rounds are few. ``one`` is the hash of a last
     document that brings its source nearer to the target.
     """
     totals = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -87,8 +114,10 @@ def plan_mix(sized: DataFrame, most: int = 3, rounds: int = 3) -> tuple[DataFram
     taken = F.array().cast("array<struct<after:bigint,edge:bigint,fits:double>>")
     plan = cut(targets(totals, most).withColumn("times", times).select("*", (F.col("target") - F.col("times") * F.col("source_size")).alias("budget"), F.lit(-1).cast("bigint").alias("after"), taken.alias("rounds")))
     same = F.col("d.source").eqNullSafe(F.col("p.source"))
-    for _ in range(rounds):
+    while True:
         fit = sized.alias("d").join(_known(plan.select("source", "budget", "after"), n).alias("p"), same & (F.col("hash") > F.col("after")) & F.col("size").between(1, F.col("budget"))).select("d.source", "size", "hash")
+        if fit.isEmpty():
+            break
         edge = thresholds(fit, plan.select("source", "budget"), n).select(F.col("source").alias("of"), "edge", "low")
         end = F.coalesce("edge", F.lit(1 << BITS * LEVELS))
         step = F.struct("after", end.alias("edge"), F.col("budget").alias("fits"))
@@ -110,28 +139,39 @@ def copies(hash: str = "hash", size: str = "size", plan: str = "p") -> Column:
     return F.col(f"{plan}.times") + more.cast("bigint")
 
 
-def mix(docs: DataFrame, most: int = 3, rounds: int = 3, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, most: int = 3, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 7) -> DataFrame:
     """(id_col, size, source_size, target, taken, copies) of every row of ``docs``.
 
     ``size`` counts words; null, empty and blank texts have 0 and are taken 0 times their
-    size. Null is a source of its own. Rows with an equal id share a hash, and so are taken
-    alike; a null id hashes like any value. Other columns are not read. An empty table gives
-    no rows.
+    size. Null is a source of its own. A null id hashes like any value; of rows equal in id
+    and text, as many are taken as their hashes say. Other columns are not read. An empty
+    table gives no rows.
     """
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _hash(id_col, seed).alias("hash")))
-    plan, n = plan_mix(sized.select("source", "size", "hash"), most, rounds)
+    sized = _sized(docs, text, source, id_col, seed)
+    sized = cut(told_apart(sized, twins(sized)))
+    plan, n = plan_mix(sized.select("source", "size", "hash"), most)
     joined = sized.alias("d").join(_known(plan, n).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("id", "size", "source_size", "target", copies().alias("copies"))
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
-def mixed(docs: DataFrame, most: int = 3, rounds: int = 3, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 7) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with its columns as they are."""
-    sized = cut(docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _hash(id_col, seed).alias("hash")))
-    plan, n = plan_mix(sized, most, rounds)
-    marked = docs.withColumns({"_mix_size": n_words(F.col(text)), "_mix_hash": _hash(id_col, seed), "_mix_source": F.col(source).cast("string")})
-    joined = marked.join(_known(plan, n).alias("p"), F.col("_mix_source").eqNullSafe(F.col("p.source")))
-    own = [marked[c] for c in docs.columns]
-    return joined.where((copies("_mix_hash", "_mix_size") > 0) & (F.col("_mix_size") > 0)).select(*own, F.explode(F.array_repeat(F.lit(0), copies("_mix_hash", "_mix_size").cast("int"))).alias("_mix_copy")).drop("_mix_copy")
+def _sized(docs: DataFrame, text: str, source: str, id_col: str, seed: int) -> DataFrame:
+    return cut(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _hash(id_col, text, seed).alias("hash"), F.spark_partition_id().alias("part")))
+
+
+def mixed(docs: DataFrame, most: int = 3, text: str = "text", source: str = "source", id_col: str = "doc_id", seed: int = 7) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with its columns as they are.
+
+    ``docs`` is read twice and should come in the same partitions (a table in files does).
+    """
+    sized = _sized(docs, text, source, id_col, seed)
+    same = twins(sized)
+    plan, n = plan_mix(cut(told_apart(sized, same)).select("source", "size", "hash"), most)
+    own = [F.col(c).alias(f"_mix_{i}") for i, c in enumerate(docs.columns)]
+    marked = docs.select(*own, n_words(F.col(text)).alias("_size"), _hash(id_col, text, seed).alias("_hash"), F.col(source).cast("string").alias("_source"), F.spark_partition_id().alias("_part"))
+    joined = told_apart(marked, same, "_hash", "_part").join(_known(plan, n).alias("p"), F.col("_source").eqNullSafe(F.col("p.source")))
+    times = copies("_hash", "_size")
+    taken = joined.where((times > 0) & (F.col("_size") > 0)).select(*[f"_mix_{i}" for i in range(len(own))], F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_copy"))
+    return taken.select(*[F.col(f"_mix_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -342,6 +342,37 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(r.target - want[r.source]) < 1e-6 and abs(r.taken - r.target) <= max(3, 0.02 * r.target)
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    """A source of rows without an id, one of rows under one id, one of equal rows; a third of all rows each."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, words(k, 10), "a") for k in range(400)] + [(5, words(k, 10), "b") for k in range(400)] + [(6, "w " * 10, "c") for _ in range(400)]
+    rows += [(k, words(k, 7), f"d{k % 3}") for k in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    named = df.repartition(5).withColumn("d", F.lit(1)).withColumn("p", F.lit(2)).withColumn("one", F.lit(3)).withColumn("target", F.lit(4)).withColumn("source_size", F.lit(5))
+    full = Counter()
+    for r in mixing.mixed(named).collect():
+        full[r.source] += len(r.text.split())
+        assert (r.d, r.p, r.one, r.target, r.source_size) == (1, 2, 3, 4, 5)
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[round(r.target, 6)] += r.taken
+    assert all(abs(full[s] - t) <= max(10, 0.02 * t) for s, t in want.items()), (full, want)
+    assert sum(taken.values()) == pytest.approx(sum(want.values()), rel=0.02)
+    one = sorted(map(str, mixing.mix(df).collect()))
+    assert one == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+
+
+def test_mix_takes_small_documents_behind_huge_ones(spark):
+    rows = [(k, "w " * 5000, "a") for k in range(8)] + [(100 + k, "w " * 9, "a") for k in range(3000)] + [(10_000 + k, "w " * 11, "b") for k in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    for r in got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 11
+
+
 # 8
 
 
