@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._native import bind
+from tessera.llm._native import bind, running
 from tessera.llm._store import documents
 
 #: The base patterns, with the least length of the part that counts.
@@ -126,26 +126,40 @@ def _hidden(m: Column, at: Column, weights: list[float], least: float) -> Column
     return F.transform(kept, lambda x: F.struct((at + x["s"]).alias("s"), F.lit(3).alias("kind"), (at + x["e"]).alias("e")))
 
 
+SPAN = "array<struct<s:int,kind:int,e:int>>"
+#: Texts are rebuilt in blocks of so many characters, as a part's place is found by counting from the front.
+BLOCK = 1 << 14
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """(s, m) of the matches of ``pattern``, in order; code points."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def placed(m: Column, gaps: Column) -> Column:
+        ends = running(F.transform(m, lambda x, i: F.length(F.get(gaps, i)) + F.length(x)), lambda a, x: a + x)
+        return bind(ends, lambda e: F.transform(m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("s"), x.alias("m"))))
+
+    empty = F.array().cast("array<struct<s:int,m:string>>")
+    return F.when(text.rlike(pattern), bind(found, lambda m: bind(between, lambda gaps: placed(m, gaps)))).otherwise(empty)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """(s, kind, e) of the matches that ``keep`` accepts, in order; code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-    def placed(m: Column) -> Column:
-        return bind(
-            F.split(text, pattern, -1),
-            lambda between: F.aggregate(
-                F.sequence(F.lit(0), F.size(m) - 1),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,kind:int,e:int>>").alias("out")),
-                lambda a, i: bind(
-                    F.struct((a["at"] + F.length(F.get(between, i))).alias("s"), (a["at"] + F.length(F.get(between, i)) + F.length(F.get(m, i))).alias("e")),
-                    lambda x: F.struct(x["e"].alias("at"), F.when(keep(F.get(m, i)), F.concat(a["out"], F.array(F.struct(x["s"].alias("s"), F.lit(kind).alias("kind"), x["e"].alias("e"))))).otherwise(a["out"]).alias("out")),
-                ),
-                lambda a: a["out"],
-            ),
-        )
-
-    empty = F.array().cast("array<struct<s:int,kind:int,e:int>>")
-    return F.when(text.rlike(pattern), bind(found, placed)).otherwise(empty)
+    """(s, kind, e) of the matches that ``keep`` accepts."""
+    kept = F.filter(_matches(text, pattern), lambda x: keep(x["m"]))
+    return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).cast("int").alias("e")))
+
+
+def _free(base: Column, guess: Column) -> Column:
+    """``base`` and those of ``guess`` that overlap none of it, sorted: the greatest end before and the least start behind tell."""
+    far = F.lit(2**31 - 1)
+
+    def told(all_: Column) -> Column:
+        before = running(F.transform(all_, lambda x: F.when(x["kind"] < 3, x["e"]).otherwise(0)), F.greatest)
+        behind = F.reverse(running(F.reverse(F.transform(all_, lambda x: F.when(x["kind"] < 3, x["s"]).otherwise(far))), F.least))
+        return bind(before, lambda b: bind(behind, lambda n: F.filter(all_, lambda x, i: (x["kind"] < 3) | ((F.get(b, i) <= x["s"]) & (F.get(n, i) >= x["e"])))))
+
+    both = F.sort_array(F.concat(base, guess))
+    return F.when((F.size(guess) > 0) & (F.size(base) > 0), bind(both, told)).otherwise(both)
 
 
 def scan(docs: DataFrame, weights: list[float], least: float = 0.8, text: str = "text", into: str = "secrets") -> DataFrame:
@@ -154,32 +168,54 @@ def scan(docs: DataFrame, weights: list[float], least: float = 0.8, text: str =
     The patterns' spans always stay, and may overlap those of other kinds. A token is added
     under ``markov`` if its ratio is ``least`` or more, it has a digit and a letter, and no
     pattern's span overlaps it. Of a token with a lower ratio the parts are added that reach
-    ``least`` by themselves, such as a secret behind a name or in a path. Null is taken as the empty text, which has no spans.
+    ``least`` by themselves, such as a secret behind a name or in a path. Null is taken as the
+    empty text, which has no spans. Repeated rows are scanned alike, a text of any length
+    whole, in time that hardly grows faster than its length and hits; an empty table gives no
+    rows. A column ``into`` is replaced, all others stay.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = F.concat(
         _spans(t, ASSIGN, 0, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8),
         _spans(t, ACCESS, 1, lambda m: F.lit(True)),
         _spans(t, HEX, 2, lambda m: F.lit(True)),
     )
-    mixed = _spans(t, TOKEN, 3, lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
-    inside = lambda x: bind(F.substr(t, x["s"] + 1, x["e"] - x["s"]), lambda m: F.when(ratio(m, weights) >= least, F.array(x)).otherwise(_hidden(m, x["s"], weights, least)))
-    guess = F.when(F.size(mixed) > 0, F.flatten(F.transform(mixed, inside))).otherwise(mixed)
-    free = lambda g, b: F.filter(g, lambda x: ~F.exists(b, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    return docs.withColumn(into, bind(base, lambda b: F.sort_array(F.concat(b, free(guess, b)))))
+    mixed = F.filter(_matches(t, TOKEN), lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]"))
+    whole = lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("kind"), (x["s"] + F.length(x["m"])).cast("int").alias("e"))
+    inside = lambda x: F.when(ratio(x["m"], weights) >= least, F.array(whole(x))).otherwise(_hidden(x["m"], x["s"], weights, least))
+    guess = bind(mixed, lambda found: F.when(F.size(found) > 0, F.flatten(F.transform(found, inside))).otherwise(F.array().cast(SPAN)))
+    return docs.withColumn(into, bind(base, lambda b: bind(guess, lambda g: _free(b, g))))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with every run of overlapping ``spans`` replaced by ``mark``."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["s"] < a["at"], F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(x["e"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark)).alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """``text`` with every run of overlapping ``spans`` (sorted) replaced by ``mark``."""
+
+    def merged(xs: Column) -> Column:
+        """(s, e) of the runs: one begins where a span starts at or behind all ends before it."""
+
+        def runs(ends: Column) -> Column:
+            heads = F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x["s"] >= F.get(ends, i - 1)), i)), lambda i: i.isNotNull())
+            return bind(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(xs, i)["s"].alias("s"), F.get(ends, F.coalesce(F.get(h, k + 1), F.size(xs)) - 1).alias("e"))))
+
+        return bind(running(F.transform(xs, lambda x: x["e"]), F.greatest), runs)
+
+    def block(rs: Column, k: Column) -> Column:
+        """What is left of the block's characters, with a mark for each run that begins in it."""
+        lo, hi = k * BLOCK, k * BLOCK + BLOCK
+        here = F.filter(rs, lambda r: (r["e"] > lo) & (r["s"] < hi))
+        cut = lambda part, a, b: F.substr(part, a - lo + 1, F.greatest(b - a, F.lit(0)))
+
+        def pieces(part: Column, h: Column) -> Column:
+            before = lambda x, i: cut(part, F.when(i == 0, lo).otherwise(F.get(h, i - 1)["e"]), x["s"])
+            held = F.transform(h, lambda x, i: F.concat(before(x, i), F.when(x["s"] >= lo, F.lit(mark)).otherwise(F.lit(""))))
+            tail = F.when(F.size(h) == 0, part).otherwise(F.substr(part, F.element_at(h, -1)["e"] - lo + 1))
+            return F.concat(F.array_join(held, ""), tail)
+
+        return bind(F.substr(text, lo + 1, F.lit(BLOCK)), lambda part: bind(here, lambda h: pieces(part, h)))
+
+    def rebuilt(rs: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int")), lambda k: block(rs, k)), "")
+
+    return F.when(F.size(spans) > 0, bind(bind(spans, merged), rebuilt)).otherwise(text)
 
 
 def _named(x: Column) -> Column:

@@ -177,6 +177,78 @@ def test_secret_models_tell_labels_apart(spark):
     assert right / n > 0.97
 
 
+def brute_ratio(token, w):
+    n, at, total = len(secrets.ALPHABET) + 1, 0, 0.0
+    for c in token:
+        now = secrets.ALPHABET.index(c) + 1
+        total, at = total + w[at * n + now], now
+    return total / len(token)
+
+
+def test_ratio_is_that_of_a_plain_chain(spark):
+    w = secrets.train(secrets.training_sample(spark, 500))
+    some = [r.token for r in secrets.training_sample(spark, 40).collect()]
+    some = ["".join(c for c in t if c in secrets.ALPHABET) for t in some]
+    got = spark.createDataFrame([(t,) for t in some], "t string").select("t", secrets.ratio(F.col("t"), w).alias("r")).collect()
+    assert all(r.r == pytest.approx(brute_ratio(r.t, w), abs=1e-5) for r in got)
+
+
+def test_running_folds_are_those_of_a_loop(spark):
+    import itertools
+
+    from tessera.llm._native import running
+
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(0, 1000, n).tolist()) for k, n in enumerate([0, 1, 31, 32, 33, 5000])]
+    df = spark.createDataFrame(rows, "k int, x array<int>")
+    for r in df.select("x", running(F.col("x"), lambda a, x: a + x).alias("s"), running(F.col("x"), F.greatest).alias("m")).collect():
+        assert r.s == list(itertools.accumulate(r.x)) and r.m == list(itertools.accumulate(r.x, max))
+
+
+def brute_redacted(t, spans):
+    out, at = "", 0
+    for s, _, e in sorted(spans):
+        if s >= at:
+            out += t[at:s] + "[secret]"
+        at = max(at, e)
+    return out + t[at:]
+
+
+def test_a_hundred_thousand_hits_in_one_text(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    t = " ".join(rng.choice([f"token={key(12)}", f"AKIA{key(16).upper()}", "0123456789abcdef" * 2, key(24), "é", "secret: " + "ab" * 20]) for _ in range(130_000))
+    w = secrets.train(secrets.training_sample(spark))
+    began = time.perf_counter()
+    r = secrets.scan(spark.createDataFrame([(t,)], "text string"), w, into="found").select("found", secrets.redacted(F.col("text"), F.col("found")).alias("clean")).first()
+    assert time.perf_counter() - began < 90
+    assert [(x.s, x.kind, x.e) for x in r.found if x.kind < 3] == base_spans(t)
+    assert sum(x.kind == 3 for x in r.found) > 10_000 and len(r.found) > 100_000
+    assert r.clean == brute_redacted(t, [tuple(x) for x in r.found])
+
+
+def test_planted_tokens_are_found_in_documents(spark, sf_dir):
+    """Unlabelled random tokens in a document's text each: recall; and whatever else is added: false alarms."""
+    import random
+
+    rng, w = random.Random(6), secrets.train(secrets.training_sample(spark))
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    docs = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text]
+    rows = []
+    for r in docs:
+        at = rng.choice([m.start() for m in re.finditer(r"(?<=\s)", r.text)] or [0])
+        secret = "".join(rng.choice(alphabet) for _ in range(rng.choice([20, 24, 32, 40])))
+        rows.append((r.doc_id, r.text[:at] + f" {secret} " + r.text[at:], at + 1, at + 1 + len(secret)))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, s int, e int"), w, into="found").collect()
+    hit = [any(x.s <= r.s and r.e <= x.e for x in r.found) for r in got]
+    other = sum(x.kind == 3 and not (x.s <= r.s and r.e <= x.e) for r in got for x in r.found)
+    print("recall", sum(hit) / len(hit), "other", other, "of", len(got))
+    assert sum(hit) >= 0.97 * len(hit) and other <= 0.01 * len(got)
+
+
 # 5, 6, 10
 
 
