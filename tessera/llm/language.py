@@ -7,9 +7,10 @@ The probabilities are fitted by expectation maximisation, whose expected counts
 the same lattice, on a bounded sample of labelled documents per language.
 
 Words are runs of letters and marks in lower case, each with the vocabulary's word mark
-before it; a run of over ``LONGEST`` letters is scored as several words, which keeps the
-lattice bounded for any text. All distinct words of a batch go through the lattice side
-by side, position by position.
+before it (pieces with capitals can therefore not occur, and are left out). All distinct
+words of a batch go through the lattice side by side, position by position. A run of over
+``LONGEST`` letters, as in scripts without blanks, is first cut where no piece reaches over:
+there the sum is a product, and the cut exact. What stays longer is walked alone, rescaled.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tessera.llm import _bytes
 from tessera.llm._store import cut, documents
 
 MARK = 0x2581
+#: The probabilities of so many characters have a product that a double holds.
 LONGEST = 23
 #: The probability of a character that no piece covers, in any language.
 UNKNOWN = 1e-9
@@ -50,12 +52,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary:
     """The vocabulary's pieces (lower case, ordinary ones), found by a hash of their characters."""
 
-    def __init__(self, path: str, longest: int = 16):
+    def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         all_ids = range(sp.get_piece_size())
-        pieces = sorted({p for i in all_ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (p := sp.id_to_piece(i)) == p.lower() and len(p) <= longest})
+        pieces = sorted({p for i in all_ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (p := sp.id_to_piece(i)) == p.lower()})
         self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
         self.bits = 20
         self.keys, self.ids = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
@@ -122,11 +124,6 @@ class Words:
         before[1:], after[:-1] = inside[:-1], inside[1:]
         starts = np.flatnonzero(inside & (~before | border[:-1]))
         ends = np.flatnonzero(inside & (~after | border[1:])) + 1
-        parts = -(-(ends - starts) // LONGEST)
-        if (parts > 1).any():
-            k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-            starts, ends = np.repeat(starts, parts) + k * LONGEST, np.repeat(ends, parts)
-            ends = np.minimum(ends, starts + LONGEST)
         self.row = np.searchsorted(border_at, starts, "right") - 1
         self.has_letter = np.add.reduceat(np.append(letter[points], False).astype(np.int64), border_at[:-1]) > 0 if len(texts) else np.zeros(0, bool)
         self.has_letter &= np.diff(border_at) > 0
@@ -146,9 +143,48 @@ class Words:
         return len(self.off) - 1
 
 
+def stretches(vocab: Vocabulary, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' ends and, in those of over ``LONGEST`` letters, all places that no piece reaches over; and the word of each stretch."""
+    far = np.flatnonzero(np.diff(off) > LONGEST + 1)
+    if not far.size:
+        return off, np.arange(len(off) - 1)
+    cuts = [off]
+    for w in far:
+        own = points[off[w] : off[w + 1]]
+        sums, over = vocab.sums(own), np.zeros(len(own) + 1, np.int64)
+        for n in range(2, min(vocab.longest, len(own)) + 1):
+            at = np.flatnonzero(vocab.find(vocab.hashes(own, np.arange(len(own) - n + 1), n, sums)) >= 0)
+            over[at + 1] += 1
+            over[at + n] -= 1
+        cuts.append(off[w] + np.flatnonzero(np.cumsum(over)[1:-1] == 0) + 1)
+    ends = np.unique(np.concatenate(cuts))
+    return ends, np.searchsorted(off, ends[:-1], "right") - 1
+
+
+def walked(vocab: Vocabulary, probs: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """log P(points) in each language by the forward algorithm, rescaled as it goes; only the last positions are held."""
+    sums, n = vocab.sums(points), len(points)
+    found = [vocab.find(vocab.hashes(points, np.arange(n - k + 1), k, sums)).tolist() for k in range(1, min(vocab.longest, n) + 1)]
+    window, log = [np.ones(probs.shape[1])], np.zeros(probs.shape[1])
+    for end in range(1, n + 1):
+        now = window[-1] * probs[found[0][end - 1]]
+        for k in range(2, len(window) + 1):
+            if k <= len(found) and (piece := found[k - 1][end - k]) >= 0:
+                now = now + window[-k] * probs[piece]
+        window = [*window[1 - vocab.longest :], now] if vocab.longest > 1 else [now]
+        if now.min() < 1e-100:
+            log += np.log(now)
+            window = [x / now for x in window]
+    return log + np.log(window[-1])
+
+
 def lattice(vocab: Vocabulary, points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, np.ndarray, np.ndarray]]]:
-    """The words by falling length, their lengths, and for each (end, start) the words that have a piece there, with the piece (-1: an uncovered character)."""
+    """The words by falling length, their lengths, and for each (end, start) the words that have a piece there, with the piece (-1: an uncovered character).
+
+    Those of over ``LONGEST`` letters and a mark count as empty.
+    """
     length = np.diff(off)
+    length = np.where(length > LONGEST + 1, 0, length)
     order = np.argsort(-length, kind="stable")
     head, length = off[:-1][order], length[order]
     sums, arcs = vocab.sums(points), []
@@ -174,24 +210,33 @@ def forward(probs: np.ndarray, length: np.ndarray, arcs: list) -> list[np.ndarra
 
 def log_likelihood(vocab: Vocabulary, probs: np.ndarray, words: Words, block: int = 1 << 21) -> np.ndarray:
     """log P(word) of each distinct word in each language, summed over all segmentations."""
-    out = np.zeros((len(words), probs.shape[1]))
+    ends, owner = stretches(vocab, words.points, words.off)
+    each = np.zeros((len(owner), probs.shape[1]))
     step = max(1, block // ((LONGEST + 2) * probs.shape[1]))
-    for lo in range(0, len(words), step):
-        off = words.off[lo : lo + step + 1]
+    for lo in range(0, len(owner), step):
+        off = ends[lo : lo + step + 1]
         order, length, arcs = lattice(vocab, words.points[off[0] : off[-1]], off - off[0])
         alpha = forward(probs, length, arcs)
         total = np.empty((len(length), probs.shape[1]))
         for n, a in enumerate(alpha):
             here = np.searchsorted(-length, -n, "left"), np.searchsorted(-length, -n, "right")
             total[here[0] : here[1]] = a[here[0] : here[1]]
-        out[lo + order] = np.log(np.maximum(total, 1e-300))
-    return out
+        each[lo + order] = np.log(np.maximum(total, 1e-300))
+    for k in np.flatnonzero(np.diff(ends) > LONGEST + 1):
+        each[k] = walked(vocab, probs, words.points[ends[k] : ends[k + 1]])
+    if len(owner) == len(words):
+        return each
+    return np.stack([np.bincount(owner, each[:, k], len(words)) for k in range(probs.shape[1])], axis=1)
 
 
 def fit(vocab: Vocabulary, words: Words, rounds: int = 3, smooth: float = 0.05) -> np.ndarray:
-    """Piece probabilities of one language from its words, by expectation maximisation."""
-    times = np.bincount(words.index, minlength=len(words)).astype(float)
-    order, length, arcs = lattice(vocab, words.points, words.off)
+    """Piece probabilities of one language from its words, by expectation maximisation.
+
+    Stretches of over ``LONGEST`` letters that cannot be cut exactly are not learned from.
+    """
+    ends, owner = stretches(vocab, words.points, words.off)
+    times = np.bincount(words.index, minlength=len(words)).astype(float)[owner]
+    order, length, arcs = lattice(vocab, words.points, ends)
     times = times[order]
     counts = np.zeros(vocab.size + 1)
     for _, _, rows, piece in arcs:  # to begin with: as often as it occurs
@@ -215,24 +260,21 @@ def fit(vocab: Vocabulary, words: Words, rounds: int = 3, smooth: float = 0.05)
     return probs
 
 
-def training_rows(docs: DataFrame, docs_per_language: int, id_col: str, lang: str, learn: Column) -> DataFrame:
-    """About ``docs_per_language`` rows of each language, or all it has, chosen by a hash of the id."""
-    rows = docs.where(learn & F.col(lang).isNotNull())
-    share = {x[lang]: min(1.0, docs_per_language / x["count"]) for x in rows.groupBy(lang).count().collect()}
-    if not share:
-        return rows.limit(0)
-    cases = F.lit(0.0)
-    for name, part in share.items():
-        cases = F.when(F.col(lang) == name, part).otherwise(cases)
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1_000_000)) < cases * 1_000_000)
+def training_rows(docs: DataFrame, shares: DataFrame, id_col: str, lang: str) -> DataFrame:
+    """The rows of ``docs`` that a hash of their id puts into their language's share."""
+    named = shares.select(F.col("lang").alias("_share_lang"), F.col("share").alias("_share"))
+    joined = docs.join(F.broadcast(named), F.col(lang) == F.col("_share_lang"))
+    return joined.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
 
 
 def train(docs: DataFrame, vocab: str = "piece_bpe_32k.model", docs_per_language: int = 400, text: str = "text", lang: str = "lang", id_col: str = "doc_id", learn: Column | None = None, most_mb: int = 256) -> tuple[list[str], np.ndarray]:
     """The languages in order, and the (piece, language) probabilities.
 
-    The sample bound is per language, so the model is fitted alike at every size; the model
-    that comes to the driver has one number per piece and language, and is refused beyond
-    ``most_mb``. No labelled row: no language.
+    About ``docs_per_language`` rows of each language, or all it has, are learned from; the
+    bound is per language, so the model is fitted alike at every size. The model that comes
+    to the driver has one number per piece and language; a column of so many languages that
+    it would take more than ``most_mb`` is refused before anything is collected. No labelled
+    row: no language.
     """
     import pandas as pd
 
@@ -240,11 +282,12 @@ def train(docs: DataFrame, vocab: str = "piece_bpe_32k.model", docs_per_language
         probs = fit(vocabulary(vocab), Words(list(rows["text"])))
         return pd.DataFrame({"lang": [key[0]], "probs": [probs.astype("<f8").tobytes()]})
 
-    rows = training_rows(docs, docs_per_language, id_col, lang, F.lit(True) if learn is None else learn)
-    models = rows.select(F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("text")).groupBy("lang").applyInPandas(one, "lang string, probs binary")
+    rows = docs.where((F.lit(True) if learn is None else learn) & F.col(lang).isNotNull())
+    shares = cut(rows.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.least(F.lit(1.0), F.lit(docs_per_language) / F.count("*")).alias("share")))
+    if (n := shares.count()) * 8 * (vocabulary(vocab).size + 1) > most_mb << 20:
+        raise ValueError(f"the model of {n} languages takes more than {most_mb} MB")
+    models = training_rows(rows, shares, id_col, lang).select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")).groupBy("lang").applyInPandas(one, "lang string, probs binary")
     got = sorted((x["lang"], x["probs"]) for x in models.collect())
-    if sum(len(p) for _, p in got) > most_mb << 20:
-        raise ValueError(f"the model of {len(got)} languages takes more than {most_mb} MB")
     return [x for x, _ in got], np.stack([np.frombuffer(p) for _, p in got], axis=1) if got else np.zeros((0, 0))
 
 
@@ -266,7 +309,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str =
 
     Whole texts are scored. Null, empty and letterless texts are ``und`` with score 0, as are
     all texts under a model without languages. Equal likelihoods go to the language that
-    sorts first. Other columns of ``docs`` are neither read nor returned.
+    sorts first. Repeated rows are told alike; an empty table gives no rows. Other columns of ``docs`` are neither read nor returned.
     """
     names, probs = model
     sent = docs.sparkSession.sparkContext.broadcast((names, probs))
