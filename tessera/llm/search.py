@@ -40,12 +40,24 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def scores(queries: np.ndarray, some: np.ndarray, exact: bool) -> np.ndarray:
-    """Inner products as integers. ``exact``: doubles hold every partial sum; else Python's integers, kept within a long."""
-    if exact:
-        return (queries @ some.T).astype(np.int64)
-    whole = np.array([[int(x) for x in q] for q in queries], object).reshape(queries.shape) @ np.array([[int(x) for x in c] for c in some], object).reshape(some.shape).T
-    return np.clip(whole, -LONG, LONG - 1).astype(np.int64)
+def scores(queries: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Inner products as integers, within a long.
+
+    Doubles hold every partial sum of a pair unless its vectors are very large; such pairs
+    alone are summed in Python's integers.
+    """
+    dims = queries.shape[1]
+    q, c = (np.abs(x).max(axis=1, initial=0) for x in (queries, some))
+    far = np.flatnonzero(dims * c * q.max(initial=0) >= 1 << 53)
+    with np.errstate(all="ignore"):
+        out = (queries @ some.T).astype(np.int64)
+    if far.size:
+        row, col = np.nonzero(dims * q[:, None] * c[far] >= 1 << 53)
+        whole = lambda x: [[int(v) for v in r] for r in x]
+        left, right = dict(zip(u := np.unique(row), whole(queries[u]))), dict(zip(u := np.unique(far[col]), whole(some[u])))
+        for i, j in zip(row, far[col]):
+            out[i, j] = min(max(sum(a * b for a, b in zip(left[i], right[j])), -LONG), LONG - 1)
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -69,7 +81,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096, i
         return spark.createDataFrame([], schema)
     dims, most = max(1, told[0]), int(256 * (told[1] or 0)) + 1
     bound = min(dims * most * most, LONG - 1)
-    exact = dims * most * most < 1 << 53
     blocks = -(-n // block)
     parts = []
     for part in range(blocks):
@@ -78,24 +89,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = 4096, i
             continue
         ids = got.column("id").to_numpy().astype(np.int64)
         sent = spark.sparkContext.broadcast((ids, _matrix(got.column("v").combine_chunks(), dims)))
-        parts.append(cut(_block(slim, sent, ids, dims, bound, exact, k)))
+        parts.append(cut(_block(slim, sent, ids, dims, bound, k)))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _scored(batches: Iterator[pa.RecordBatch], sent, dims: int, exact: bool, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _scored(batches: Iterator[pa.RecordBatch], sent, dims: int, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, scores by query, whether it counts) of the candidates, ``step`` at a time."""
     ids, queries = sent.value
     for b in batches:
         for at in range(0, b.num_rows, step):
             some = b.slice(at, step)
             own = some.column("id").to_numpy()
-            yield own, scores(queries, _matrix(some.column("v"), dims), exact), ids[:, None] != own[None, :]
+            yield own, scores(queries, _matrix(some.column("v"), dims)), ids[:, None] != own[None, :]
 
 
-def _block(slim: DataFrame, sent, ids: np.ndarray, dims: int, bound: int, exact: bool, k: int) -> DataFrame:
+def _block(slim: DataFrame, sent, ids: np.ndarray, dims: int, bound: int, k: int) -> DataFrame:
     low = [-bound] * len(ids)
     need = np.full(len(ids), k)
     left = (2 * bound + 1).bit_length()
@@ -108,7 +119,7 @@ def _block(slim: DataFrame, sent, ids: np.ndarray, dims: int, bound: int, exact:
         def counts(batches: Iterator[pa.RecordBatch], state=state, shift=shift, bins=bins) -> Iterator[pa.RecordBatch]:
             low, need = state.value
             total = np.zeros((len(low), bins), np.int64)
-            for _, s, ok in _scored(batches, sent, dims, exact):
+            for _, s, ok in _scored(batches, sent, dims):
                 ok &= s >= low[:, None]
                 place = (s.view(np.uint64) - low[:, None].view(np.uint64)) >> np.uint64(shift)
                 ok &= place < bins
@@ -139,7 +150,7 @@ def _block(slim: DataFrame, sent, ids: np.ndarray, dims: int, bound: int, exact:
         ids, _ = sent.value
         ties = [np.zeros(0, np.int64)] * len(ids)
         out = []
-        for own, s, ok in _scored(batches, sent, dims, exact):
+        for own, s, ok in _scored(batches, sent, dims):
             q, c = np.nonzero(ok & ((s > low[:, None]) | short[:, None]))
             out.append((q, own[c], s[q, c]))
             q, c = np.nonzero(ok & (s == low[:, None]) & ~short[:, None])
