@@ -7,9 +7,10 @@ Since a child's draw depends on nothing but the id, its own name and its own wei
 change of weight moves rows only into (or out of) the subtrees on whose path it lies: no
 row moves between two children whose weights stay.
 
-The layout for a plain shard count is the 16-leaf tree of two regions of two racks of
-four shards; each later shard opens a region of its own. So one more shard changes no
-weight that existed, and takes rows only into itself: law ``key``.
+The layout for a plain shard count has a core, by default of up to 16 leaves, in regions
+of two racks of four shards; each later shard opens a region of its own. So, with the core
+as it is, one more shard changes no weight that existed, and takes rows only into itself:
+law ``key``.
 """
 
 from __future__ import annotations
@@ -25,16 +26,14 @@ from tessera.llm._store import cut, documents
 Tree = Mapping[str, Mapping[str, Mapping[int, float]]]
 
 
-def layout(shards: int, racks: int = 2, per_rack: int = 4, regions: int = 2) -> Tree:
-    """The tree of ``shards`` equal shards: a fixed core, then one region for each further shard."""
+def layout(shards: int, core: int | None = None, racks: int = 2, per_rack: int = 4) -> Tree:
+    """The tree of ``shards`` equal shards: the first ``core`` (16, or all if fewer) in racks, then one region for each further shard."""
     if shards < 1:
         raise ValueError("one shard at least")
+    core = min(shards, 16) if core is None else min(core, shards)
     tree: dict[str, dict[str, dict[int, float]]] = {}
     for s in range(shards):
-        if s < regions * racks * per_rack:
-            region, rack = f"r{s // (racks * per_rack)}", f"k{s // per_rack % racks}"
-        else:
-            region, rack = f"r{regions + s - regions * racks * per_rack}", "k0"
+        region, rack = (f"r{s // (racks * per_rack)}", f"k{s // per_rack % racks}") if s < core else (f"s{s}", "k0")
         tree.setdefault(region, {}).setdefault(rack, {})[s] = 1.0
     return tree
 
@@ -71,21 +70,26 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return _choose(key, "", regions)
 
 
-def assign(docs: DataFrame, shards: int = 16, rows_a_bucket: int = 50_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, core: int | None = None, rows_a_bucket: int = 50_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
-    The id alone decides the shard, so rows with equal ids share one and equal texts need
-    not; a null id is a key like any other. Null and empty texts have size 1 and the CRC
-    of no bytes. Slots are gapless in each shard: rows are numbered in hash buckets of a
-    shard, whose sizes are summed from the ids beforehand, so no task holds a whole shard.
+    The id and the shard count (and ``core``, see ``layout``) alone decide the shard, so rows
+    with equal ids share one and equal texts need not; a null id is a key like any other.
+    Null and empty texts have size 1 and the CRC of no bytes. Slots are gapless in each shard:
+    rows are numbered in buckets of a shard, by hash and by partition, whose sizes are summed
+    beforehand; so no task holds a whole shard, nor all of many equal rows. Which of equal
+    rows has which slot is open. Other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text).withColumn("key", F.coalesce(F.xxhash64("id"), F.lit(0)))
-    n_buckets = max(1, docs.count() // (shards * rows_a_bucket) + 1)
-    placed = rows.withColumn("shard", shard_of(F.col("key"), layout(shards))).withColumn("bucket", F.pmod(F.xxhash64("key", F.lit("slot")), F.lit(n_buckets)).cast("int"))
-    counts = cut(placed.groupBy("shard", "bucket").count())
-    base = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    core = min(shards, 16) if core is None else core
+    key = F.coalesce(F.xxhash64(id_col), F.lit(0))
+    size, crc = n_bytes(F.col(text)) + 1, F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    slim = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size"), crc.alias("text_crc32")).withColumns({"shard": shard_of(F.col("key"), layout(shards, core)), "grown_shard": shard_of(F.col("key"), layout(shards + 1, core))})
+    slim = cut(slim)
+    n_buckets = max(1, slim.count() // (shards * rows_a_bucket) + 1)
+    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("key", "text_crc32", F.spark_partition_id()), F.lit(n_buckets)).cast("int"))
+    counts = slim.groupBy("shard", "bucket").count()
+    base = cut(counts.select("shard", "bucket", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")))
     base = F.broadcast(base) if shards * n_buckets <= 100_000 else base
-    slim = placed.select("id", "shard", "bucket", (n_bytes(F.col(text)) + 1).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), shard_of(F.col("key"), layout(shards + 1)).alias("grown_shard"))
     numbered = slim.withColumn("at", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size")) - 1)
     return numbered.join(base, ["shard", "bucket"]).select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("base") + F.col("at")).cast("bigint").alias("slot"), "grown_shard")
 
