@@ -1,7 +1,9 @@
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +30,24 @@ def test_language_by_brute_force_lattice():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    own = sorted({p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (p := sp.id_to_piece(i)) == p.lower() and len(p) <= 16})
+    own = sorted({p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (p := sp.id_to_piece(i)) == p.lower()})
     place = {p: i for i, p in enumerate(own)}
     probs = np.stack([language.fit(v, language.Words(["the cat sat on the mat"])), language.fit(v, language.Words(["le chat est sur le tapis"]))], axis=1)
-    words = language.Words(["The tapis supercalifragilisticexpialidocious 中文x"])
+    long = "supercalifragilisticexpialidocious 中文x " + "語" * 30 + "的一是不了人我在有他这为之大来以个中上们" * 3 + " " + "thethethe" * 40 + " " + "aaaa" * 30
+    words = language.Words(["The tapis " + long])
+    assert max(np.diff(words.off)) > 300
     got = language.log_likelihood(v, probs, words)
     for k in range(len(words)):
         w = "".join(map(chr, words.points[words.off[k] : words.off[k + 1]]))
         for lang in range(2):
-            a = [1.0] + [0.0] * len(w)
+            a = [Fraction(1)] + [Fraction(0)] * len(w)
             for end in range(1, len(w) + 1):
-                for start in range(max(0, end - 16), end):
+                for start in range(end):
                     if (p := w[start:end]) in place:
-                        a[end] += a[start] * probs[place[p], lang]
+                        a[end] += a[start] * Fraction(probs[place[p], lang])
                     elif end - start == 1:
-                        a[end] += a[start] * language.UNKNOWN
-            assert got[k, lang] == pytest.approx(np.log(a[-1]))
+                        a[end] += a[start] * Fraction(language.UNKNOWN)
+            assert got[k, lang] == pytest.approx(math.log(a[-1].numerator) - math.log(a[-1].denominator))
     assert np.allclose(probs[:-1].sum(axis=0), 1)
 
 
@@ -103,6 +107,21 @@ def test_top_k_small_and_empty(spark):
     assert [r.score for r in search.top_k(vectors(spark, huge), F.col("vec_id") == 0).orderBy("rank").collect()] == [2**63 - 1, -(2**63)]
 
 
+def test_top_k_with_a_few_huge_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist(), i) for i in range(200)] + [(500, [1e18, -1e18, 3.0, 0.0, 0.0, 0.0, 0.0, 1e9], 0), (501, [1e12] * 8, 0), (502, [-7e10] * 8, 0)]
+    want = {(q, r, i, min(max(s, -(2**63)), 2**63 - 1)) for q, r, i, s in brute_exact(rows, 5)}
+    assert {tuple(r) for r in search.top_k(vectors(spark, rows).repartition(3), F.col("vec_id") % 50 == 0).collect()} == want
+
+
+def brute_exact(rows, k):
+    use = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v, _ in rows]
+    for q, vec in ((i, v) for i, v in use if i % 50 == 0):
+        clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+        for r, (s, i) in enumerate(sorted((-clip(sum(a * b for a, b in zip(vec, v))), i) for i, v in use if i != q)[:k]):
+            yield q, r + 1, i, -s
+
+
 def test_top_k_matches_its_sql(spark, sf_dir):
     got = search.query(spark, sf_dir).toPandas()
     assert oracle.rows(got) == oracle.rows(oracle.connect(sf_dir).sql(search.ORACLE_SQL).df())
@@ -125,6 +144,43 @@ def test_sharding(docs, none, texts):
     assert sharding.assign(none).count() == 0
 
 
+def brute_shard(key, tree):
+    """The descent by plain draws: the least exponential of each level's children."""
+
+    def draw(path, name, weight):
+        u = ((xxhash.xxh64_intdigest(f"{path}/{name}".encode(), seed=key % (1 << 64)) >> 12) + 0.5) / (1 << 52)
+        return -math.log(u) / weight
+
+    path, node = "", tree
+    while isinstance(node, dict):
+        total = lambda x: sum(map(total, x.values())) if isinstance(x, dict) else x
+        name = min((c for c in node if total(node[c]) > 0), key=lambda c: (draw(path, c, total(node[c])), list(node).index(c)))
+        path, last, node = f"{path}/{name}" if path else str(name), name, node[name]
+    return last
+
+
+def test_shards_are_those_of_a_plain_descent(spark, docs):
+    tree = {"a": {"x": {0: 1.0, 1: 2.0}, "y": {2: 1.0, 5: 0.5}}, "b": {"z": {3: 2.0, 4: 1.0}}}
+    for t in (tree, sharding.layout(16), sharding.layout(19), sharding.layout(9)):
+        rows = spark.range(300).select(F.xxhash64("id").alias("k")).withColumn("s", sharding.shard_of(F.col("k"), t)).collect()
+        got = {r.k: r.s for r in rows}
+        # Spark hashes (long, string) as the string under the hash of the long under its seed.
+        seeds = {r.k: r.h for r in spark.createDataFrame([(k,) for k in got], "k long").select("k", F.xxhash64("k").alias("h")).collect()}
+        assert all(brute_shard(seeds[k], t) == s for k, s in got.items())
+    for n in (1, 9, 15, 16):
+        rows = sharding.assign(docs, n).collect()
+        assert all(r.grown_shard in (r.shard, n) for r in rows)
+
+
+def test_slots_over_buckets_and_equal_rows(spark):
+    rows = [(7, "same") for _ in range(900)] + [(None, f"t{k}") for k in range(900)] + [(k, "x") for k in range(900)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 16, rows_a_bucket=10).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 2700 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_moves_rows_only_where_weights_change(spark):
     ids = spark.range(20_000).withColumn("k", F.xxhash64("id"))
     tree = {"a": {"x": {0: 1.0, 1: 1.0}, "y": {2: 1.0}}, "b": {"z": {3: 2.0, 4: 0.0}}}
@@ -586,3 +642,44 @@ def test_id_files_of_several_segments_a_part(spark, docs, texts, tmp_path, monke
         for r in rows:
             assert r.start == at
             at += r.n_tokens
+
+
+def test_packing_follows_the_curve_over_ranges(spark, sf_dir):
+    """Documents lie along the curve in each range, and ranges along it too; places are computed plainly here."""
+    e = encoding.encoder("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = packing.pack(docs, ids_a_range=10_000).collect()
+    ids = {r.doc_id: e.library.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+
+    def sign(i, d):
+        h = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        return 1 if (h ^ (h >> 31)) >> (8 * d) & 1 else -1
+
+    known = {}
+    sums = {i: [sum(known.setdefault((t, d), sign(t, d)) for t in x) for d in range(packing.DIMS)] for i, x in ids.items()}
+    total = sum(map(len, ids.values()))
+    drift = [sum(s[d] for s in sums.values()) / total for d in range(packing.DIMS)]
+    off = {i: [(s[d] - len(ids[i]) * drift[d]) / max(1, len(ids[i])) ** 0.5 for d in range(packing.DIMS)] for i, s in sums.items()}
+    spread = [(sum(o[d] ** 2 for o in off.values()) / len(off)) ** 0.5 for d in range(packing.DIMS)]
+    cells = {i: [int(1024 / (1 + math.exp(-1.7 * o[d] / spread[d]))) for d in range(packing.DIMS)] for i, o in off.items()}
+    place = dict(zip(cells, packing.hilbert(np.array(list(cells.values())), 10).tolist()))
+    assert np.mean([any(c in (0, 1023) for c in x) for x in cells.values()]) < 0.02
+    ranges = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        if r.start == 0:
+            ranges[r.sequence_id >> 40].append(place[r.doc_id])
+    assert len(ranges) > 5 and max(map(len, ranges.values())) < len(ids) / 2
+    right = sum(a <= b for x in ranges.values() for a, b in zip(x, x[1:]))
+    assert right >= 0.99 * sum(len(x) - 1 for x in ranges.values())  # but for cells at a rounding's edge
+    coarse = [[p >> 22 for p in ranges[k]] for k in sorted(ranges)]
+    assert all(max(a) <= min(b) for a, b in zip(coarse, coarse[1:]))
+
+
+def test_packing_spreads_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "the same text again")] * 4000 + [(k, f"text {k}") for k in range(2000)], "doc_id long, text string").repartition(4)
+    rows = packing.pack(docs, ids_a_range=2000).collect()
+    held = Counter()
+    for r in rows:
+        held[r.sequence_id >> 40] += r.length
+    assert len(held) > 10 and max(held.values()) < 4000 and sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
