@@ -6,6 +6,7 @@ that of a few passes over its bytes, however many words it has.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,16 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Gives freed memory back to the system where the C library can, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``limit`` bytes each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -27,6 +37,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 3 << 20)
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

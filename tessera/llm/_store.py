@@ -23,19 +23,29 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def bounded(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lets the batches that go to Python hold ``most`` bytes of texts, instead of so many rows, whatever their lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
+        spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once to the shared folder, with no lineage behind them."""
     shared_dir(df.sparkSession)
+    bounded(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a columnar table in the shared folder, read again (columns still prune)."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -36,9 +36,11 @@ UNKNOWN = 1e-9
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Code points that are letters; those that words consist of (letters and marks)."""
-    kind = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-    letter = np.array([k == "L" for k in kind])
-    return letter, letter | np.array([k == "M" for k in kind])
+    letter, mark = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        letter[c], mark[c] = kind == "L", kind == "M"
+    return letter, letter | mark
 
 
 @functools.cache
@@ -280,6 +282,7 @@ def train(docs: DataFrame, vocab: str = "piece_bpe_32k.model", docs_per_language
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         probs = fit(vocabulary(vocab), Words(list(rows["text"])))
+        _bytes.release()
         return pd.DataFrame({"lang": [key[0]], "probs": [probs.astype("<f8").tobytes()]})
 
     rows = docs.where((F.lit(True) if learn is None else learn) & F.col(lang).isNotNull())

@@ -6,10 +6,12 @@ Fingerprints at most 2 bits apart, however, miss most pairs that are just above
 radius that reached them all would link whatever has a common passage. Hence the rest is
 found by prefix filtering.
 
-Prefix filtering: under one order of all shingles, two such sets share one of the first
-``n - ceil(least * n) + 1`` shingles of either, so an equality grouping on those brings
-every such pair together and none is missed, whatever the order. The order puts the
-shingles that are common in a sample last, so that a common passage makes no large groups.
+Prefix filtering: under one order of all shingles, two such sets share ``k`` of the first
+``n - ceil(least * n) + k`` shingles of either, so an equality grouping on those brings
+every such pair together and none is missed, whatever the order; and a pair that meets in
+fewer groups is none. ``k`` grows with ``n``, so that texts with a passage in common, which
+meet in a few, are seldom compared. The order puts the shingles that are common in a sample
+last, so that a common passage makes no large groups.
 
 Groups are not expanded into pairs at once. First each text meets one text alone: the one
 that its fingerprint links it to or, of those that lead its groups, the one it shares most
@@ -23,17 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.llm import _bytes
 from tessera.llm._store import cut
-from tessera.llm.simhash import components, links, shingle_hashes, with_fingerprint
+from tessera.llm.simhash import components, links, majority, shingle_hashes
 
 _LAST = np.uint64(1 << 63)
 #: One text in so many is looked at for common shingles, and so many of these are put last.
 SAMPLE, COMMON = 16, 1 << 18
-#: Pairs of one text in one place; rows (some tens of bytes each) up to which a list of texts is sent to all executors.
-SPLIT, BROADCAST_ROWS = 64, 2_000_000
+#: Bits of a set's bitmap.
+BITS = 512
+#: A text meets its hub first if they share this part of the groups that similar texts share; a lack of it is made up for later.
+HALF = 0.5
+#: So many pairs of one text are decided in one place; rows (some tens of bytes each) up to which a list of texts is sent to all executors.
+SPLIT, BROADCAST_ROWS = 256, 2_000_000
 
 
 def text_key(text: Column) -> Column:
@@ -42,12 +48,16 @@ def text_key(text: Column) -> Column:
 
 
 def sets(texts: pa.Array, words: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of every distinct shingle of every text, by row and then by the order of shingles.
+    """(row, shingle) of every distinct shingle of every text, by row and then by the order of shingles."""
+    return ordered(*shingle_hashes(texts, words), common)
+
+
+def ordered(h: np.ndarray, count: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from all texts' shingle hashes and how many each has.
 
     A text without a word has one shingle of its own kind. ``common``: sorted (hash, place
     among the last) as two rows.
     """
-    h, count = shingle_hashes(texts, words)
     blank = np.flatnonzero(count == 0)
     row = np.concatenate((np.repeat(np.arange(len(count)), count), blank))
     h = np.concatenate((h >> np.uint64(1), np.zeros(blank.size, np.uint64)))
@@ -61,9 +71,14 @@ def sets(texts: pa.Array, words: int, common: np.ndarray) -> tuple[np.ndarray, n
     return row[new], h[new]
 
 
+def shared(n: np.ndarray) -> np.ndarray:
+    """In how many groups two similar sets meet at least, the smaller of which has ``n`` shingles."""
+    return 1 + n // 20
+
+
 def prefix(n: np.ndarray, least: float) -> np.ndarray:
     """How many of ``n`` shingles have to be looked at."""
-    return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+    return np.minimum(n, n - np.ceil(least * n - 1e-9).astype(np.int64) + shared(n))
 
 
 def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -82,21 +97,34 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.stack((h[order], order.astype(np.uint64)))
 
 
-def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """(h, tid, n, pos) of the first shingles of every distinct text; n is the size of its set, pos the shingle's place in it."""
+def bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """(row, byte): for each of ``BITS`` bits whether an odd number of the row's shingles fall on it.
+
+    Two sets differ in at least as many shingles as their bitmaps do in bits.
+    """
+    with np.errstate(over="ignore"):
+        bit = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(row * BITS + bit, minlength=rows * BITS).reshape(rows, BITS) & 1, axis=1)
+
+
+def looked_at(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
+    """(tid, n, fp, bits, h) of every distinct text: the size of its set, its fingerprint, its bitmap and its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _bytes.pieces(batches, "text"):
-            row, h = sets(b.column("text"), words, common)
+            raw, count = shingle_hashes(b.column("text"), words)
+            fp = majority(raw, np.cumsum(count) - count, count)
+            row, h = ordered(raw, count, common)
             n = np.bincount(row, minlength=b.num_rows)
-            head = np.concatenate(([0], np.cumsum(n)))[:-1]
+            head = np.cumsum(n) - n
             take = prefix(n, least)
             first = np.arange(len(row)) - head[row] < take[row]
             off = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(off), pa.array(h[first].view(np.int64)))], ["tid", "n", "h"])
+            bits = pa.array([x.tobytes() for x in bitmaps(row, h, b.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), bits, pa.ListArray.from_arrays(pa.array(off), pa.array(h[first].view(np.int64)))], ["tid", "n", "fp", "bits", "h"])
 
-    found = docs.mapInArrow(run, "tid bigint, n int, h array<bigint>")
-    return found.groupBy("tid").agg(F.first("n").alias("n"), F.first("h").alias("h")).select(F.posexplode("h").alias("pos", "h"), "tid", "n").select("h", "tid", "n", "pos")
+    found = docs.mapInArrow(run, "tid bigint, n int, fp bigint, bits binary, h array<bigint>")
+    return cut(found.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bits", "h")]))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -116,16 +144,16 @@ def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
 
 
 def hub_pairs(n: np.ndarray, first: np.ndarray, least: float) -> np.ndarray:
-    """For each row, sorted by group and ``n``, the row it is compared with first; itself if none.
+    """For each row, sorted by group, the row it is compared with first; itself if none.
 
     ``first`` is the place of the row's group. A hub serves the sizes that can be similar to its own.
     """
     hub = first.copy()
     while True:
-        far = n[hub] < least * n - 1e-9
+        far = np.minimum(n[hub], n) < least * np.maximum(n[hub], n) - 1e-9
         if not far.any():
             return hub
-        # the first of those too large for a hub is the next hub of its group
+        # the first of those that a hub cannot serve is the next hub of its group
         at = np.flatnonzero(far)
         lead = np.concatenate(([True], hub[at][1:] != hub[at][:-1]))
         hub[at] = at[lead][np.cumsum(lead) - 1]
@@ -136,49 +164,87 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.concatenate((begin, [len(key)])))
 
 
-def alike(docs: DataFrame, words: int) -> DataFrame:
-    """Pairs (a, b) of text keys with a link between their fingerprints; a key is ``b`` once at most."""
-    marked = cut(with_fingerprint(docs, words, "text", "tid").groupBy("id").agg(F.first("fp").alias("fp")))
-    least = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = links(marked.select("fp").distinct()).where("a <> b").groupBy(F.greatest("a", "b").alias("fp")).agg(F.min(F.least("a", "b")).alias("other"))
+def alike(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text keys with a link between their fingerprints ``marked(id, fp)``; a key is ``b`` once at most."""
+    least = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    linked = links(least.select("fp")).where("a <> b").groupBy(F.greatest("a", "b").alias("fp")).agg(F.min(F.least("a", "b")).alias("other"))
     equal = marked.join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     other = least.select(F.col("fp").alias("other"), F.col("least").alias("a"))
     return equal.unionByName(linked.join(least, "fp").join(other, "other").select("a", F.col("least").alias("b")))
 
 
-def stars(keys: DataFrame, least: float) -> DataFrame:
-    """(h, tid, n, pos, hub) of the members of groups of two or more; ``hub`` is the group's text each could meet first."""
+def groups_of_several(keys: DataFrame) -> DataFrame:
+    """(h, tid, n, size) of the members of groups of two or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, tid, n in grouped(batches, ["h", "tid", "n"]):
+            _, size = _groups(h)
+            size = np.repeat(size, size)
+            keep = size > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, tid, n, size)], ["h", "tid", "n", "size"])
+
+    return cut(keys.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, size bigint"))
+
+
+def stars(members: DataFrame, least: float) -> DataFrame:
+    """(tid, n, hub): for each group the text that each could meet first, which is the one whose groups are the largest.
+
+    Of many near copies of one text, two may be too far apart, but all are near that one; and
+    it has what most of them have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, tid, n, pos in grouped(batches, ["h", "tid", "n", "pos"]):
+        for h, tid, n in grouped(batches, ["h", "tid", "n"]):
             begin, size = _groups(h)
-            hub = hub_pairs(n, np.repeat(begin, size), least)
-            keep = np.repeat(size > 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, tid, n, pos, tid[hub])], ["h", "tid", "n", "pos", "hub"])
+            hub = tid[hub_pairs(n, np.repeat(begin, size), least)]
+            keep = hub != tid
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tid, n, hub)], ["tid", "n", "hub"])
+
+    central = members.groupBy("tid").agg(F.sum("size").alias("central"))
+    dealt = members.join(central, "tid").repartition("h").sortWithinPartitions("h", F.desc("central"), "tid").select("h", "tid", "n")
+    return dealt.mapInArrow(run, "tid bigint, n int, hub bigint")
 
-    return keys.repartition("h").sortWithinPartitions("h", "n", "tid").mapInArrow(run, "h bigint, tid bigint, n int, pos int, hub bigint")
 
+def of_several_roots(members: DataFrame) -> DataFrame:
+    """The ``members(h, tid, n, root)`` of groups whose texts are not all joined yet."""
 
-def rest(members: DataFrame, least: float, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of a group's members with different roots that can be similar.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in grouped(batches, ["h", "tid", "n", "root"]):
+            begin, size = _groups(columns[0])
+            keep = np.repeat(np.minimum.reduceat(columns[3], begin) != np.maximum.reduceat(columns[3], begin), size)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["h", "tid", "n", "root"])
 
-    A pair is looked for in the group of the first shingle that both have: what lies behind
-    it in either set, and itself, must reach the overlap that the sizes ask for.
+    return members.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, root bigint")
+
+
+def rest(members: DataFrame, seen: DataFrame, least: float, block: int = 128) -> DataFrame:
+    """Pairs (a, b, times they meet) of ``members`` with different roots that can be similar.
+
+    Their sizes and bitmaps allow it, and they meet in as many groups as similar texts do.
+    Pairs are looked at in blocks, and only those that pass leave the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, tid, n, pos, root in grouped(batches, ["h", "tid", "n", "pos", "root"]):
+        for h, tid, n, root, bits in grouped(batches, ["h", "tid", "n", "root", "bits"]):
             begin, size = _groups(h)
-            mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
-            for s, k in zip(begin[mixed], size[mixed]):
-                t, m, r, q = (x[s : s + k] for x in (tid, n, root, n - pos))
+            words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(h), -1)
+            for s, k in zip(begin, size):
+                t, m, r, w = (x[s : s + k] for x in (tid, n, root, words))  # by size
                 for i in range(0, k, block):
-                    reach = np.minimum(q[i : i + block, None], q) * (1 + least) >= least * (m[i : i + block, None] + m) - 1e-6
-                    x, y = np.nonzero(reach & (r[i : i + block, None] != r) & (np.arange(i, min(i + block, k))[:, None] < np.arange(k)))
-                    if x.size:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(t[i + x], t[y])), pa.array(np.maximum(t[i + x], t[y]))], ["a", "b"])
-
-    return members.repartition("h").sortWithinPartitions("h", "n", "tid").mapInArrow(run, "a bigint, b bigint").distinct()
+                    o = slice(i, i + block)
+                    j = int(np.searchsorted(m, m[min(i + block, k) - 1] / least + 1, "right"))
+                    x, y = np.nonzero((least * m[i:j] <= m[o, None] + 1e-9) & (r[o, None] != r[i:j]) & (np.arange(len(m[o]))[:, None] < np.arange(j - i)))
+                    for lo in range(0, x.size, 1 << 18):
+                        p, q = i + x[lo : lo + (1 << 18)], i + y[lo : lo + (1 << 18)]
+                        apart = np.bitwise_count(w[p] ^ w[q]).sum(axis=1, dtype=np.int64)
+                        ok = apart * (1 + least) <= (m[p].astype(np.int64) + m[q]) * (1 - least) + 1e-6
+                        if ok.any():
+                            a, b = t[p[ok]], t[q[ok]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared(m[p[ok]]).astype(np.int32))], ["a", "b", "need"])
+
+    marked = of_several_roots(members).join(seen.select("tid", "bits"), "tid").select("h", "tid", "n", "root", "bits")
+    met = marked.repartition("h").sortWithinPartitions("h", "n", "tid").mapInArrow(run, "a bigint, b bigint, need int")
+    return met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b", "times")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
@@ -191,7 +257,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for b in _bytes.pieces(batches, "text", 1 << 20):
+        for b in _bytes.pieces(batches, "text"):
             b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
             row, h = sets(b.column("text"), words, none)
             lead = b.column("lead").to_numpy(zero_copy_only=False)
@@ -204,7 +270,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, lea
             yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("tid").take(pa.array(ok))], ["a", "b"])
             held = b.slice(int(hub[-1]), 1)
 
-    busy = pairs.groupBy("a").count().where(F.col("count") > SPLIT).select("a", F.lit(SPLIT).alias("ways"))
+    busy = pairs.groupBy("a").count().where(F.col("count") > SPLIT).select("a", F.ceil(F.col("count") / SPLIT).alias("ways"))
     dealt = pairs.join(busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("ways")), F.lit(0)).cast("int").alias("part"))
     leads = dealt.select("a", F.col("a").alias("tid"), "part", F.lit(True).alias("lead")).distinct()
     need = cut(leads.unionByName(dealt.select("a", F.col("b").alias("tid"), "part", F.lit(False).alias("lead"))).join(rows, "tid"))
@@ -224,16 +290,26 @@ def roots(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
         raise ValueError(f"least is {least}; a number above 0 and up to 1 is asked for")
     rows = cut(docs.groupBy("tid").agg(F.min("row").alias("row")))
     keyed = docs.select("tid", "text")
-    members = cut(stars(prefixes(keyed, words, least, common_shingles(keyed, words)), least))
-    met = members.where("tid <> hub").groupBy("tid", "hub").count()
-    near = cut(alike(keyed, words))
+    seen = looked_at(keyed, words, least, common_shingles(keyed, words))
+    members = groups_of_several(seen.select(F.explode("h").alias("h"), "tid", "n"))
+    near = cut(alike(seen.select(F.col("tid").alias("id"), "fp")))
+    met = stars(members, least).groupBy("tid", "n", "hub").count().where(F.col("count") > F.col("n") / 20 * HALF)
     led = met.groupBy("tid").agg(F.min_by("hub", F.struct(-F.col("count"), "hub")).alias("a")).select("a", F.col("tid").alias("b"))
     pairs = cut(near.unionByName(led.join(near.select("b"), "b", "left_anti").select("a", "b")))
     found = verified(pairs, docs, rows, words, least)
     now = cut(components(found))
-    left = rest(members.join(now, F.col("tid") == F.col("node"), "left").select("h", "tid", "n", "pos", F.coalesce("root", "tid").alias("root")), least)
+    left = rest(members.join(now, F.col("tid") == F.col("node"), "left").select("h", "tid", "n", F.coalesce("root", "tid").alias("root")), seen, least)
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = cut(left.join(done, ["a", "b"], "left_anti"))
-    if left.isEmpty():
-        return now
-    return components(found.unionByName(verified(left, docs, rows, words, least)))
+    take = 1
+    while not left.isEmpty():  # most of these pairs are joined by a few of them: the likeliest first, then four times as many
+        rank = F.row_number().over(W.partitionBy("b").orderBy(F.desc("times"), "a"))
+        ranked = cut(left.withColumn("rank", rank))
+        more = verified(ranked.where(F.col("rank") <= take).select("a", "b"), docs, rows, words, least)
+        now = cut(components(now.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        left = ranked.where(F.col("rank") > take).drop("rank")
+        for end in ("a", "b"):
+            left = left.join(now.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        left = cut(left.where("root_a <> root_b").select("a", "b", "times"))
+        take *= 4
+    return now

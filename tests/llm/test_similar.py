@@ -68,3 +68,17 @@ def test_one_changed_word_in_a_hundred_is_a_near_copy(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in C.without_copies(spark, docs, None).select("doc_id").collect()) == [2 * i for i in range(40)]
     assert C.without_copies(spark, docs.where(F.lit(False)), None).count() == 0
+
+
+def test_many_copies_that_are_near_one_text_alone(spark):
+    """Two copies with a changed word each are under the limit, but both are near the text they come from."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(84)]
+    texts = [" ".join(base)] + [" ".join(changed(rng, base, 1)) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    keyed = docs.select(similar.text_key(F.col("text")).alias("tid"), F.xxhash64("doc_id").alias("row"), "text")
+    found = similar.looked_at(keyed, 5, 0.8, similar.common_shingles(keyed, 5))
+    members = similar.groups_of_several(found.select(F.explode("h").alias("h"), "tid", "n"))
+    hubs = similar.stars(members, 0.8).groupBy("hub").count().orderBy(F.desc("count")).first()
+    assert hubs.hub == keyed.where(F.col("text") == texts[0]).first().tid
+    assert [r.doc_id for r in C.without_copies(spark, docs, None).collect()] == [0]
