@@ -182,7 +182,7 @@ class _Table:
 class Encoder:
     """Ids as the tokenizers library gives them for a vocabulary file, without added special tokens."""
 
-    def __init__(self, path: str, cache_pieces: int = 500_000):
+    def __init__(self, path: str, cache_pieces: int = 340_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -201,8 +201,8 @@ class Encoder:
 
     def forget(self) -> None:
         """Pieces met so far have a slot each: how many ids, and where they begin."""
-        self.short, self.long = _Table(max(10, (2 * self.most - 1).bit_length())), {}
-        self.size, self.begin, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.short, self.long = _Table(max(10, (self.most * 3 // 2).bit_length())), {}
+        self.size, self.begin, self.flat = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(4096, np.uint32)
         self.slots = self.used = 0
 
     def _new(self, pieces: list[str]) -> np.ndarray:
@@ -236,7 +236,7 @@ class Encoder:
             slots[far] = np.array([self.long.get(x, -1) for x in names], np.int64)[which]
         if self.slots > self.most:
             had = np.unique(slots[slots >= 0])
-            size, begin, flat = self.size[had], self.begin[had], self.flat
+            size, begin, flat = self.size[had].astype(np.int64), self.begin[had].astype(np.int64), self.flat
             self.forget()
             while len(self.size) < len(had):
                 self.size, self.begin = np.resize(self.size, 2 * len(self.size)), np.resize(self.begin, 2 * len(self.begin))
@@ -266,8 +266,10 @@ class Encoder:
 
     def _joined(self, pieces: list[str], glue: str, a_string: int = 512) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of ``pieces`` and how many each has, asked for in long strings; None if the ids do not tell them apart."""
-        got = self.library.encode_batch_fast([glue.join(pieces[k : k + a_string]) for k in range(0, len(pieces), a_string)], add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        strings, got = [glue.join(pieces[k : k + a_string]) for k in range(0, len(pieces), a_string)], []
+        for k in range(0, len(strings), 16):  # what the library returns is many times larger than the ids
+            got += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(strings[k : k + 16], add_special_tokens=False)]
+        ids = np.concatenate(got)
         edges = np.flatnonzero(self.edge[ids])
         if len(edges) != len(pieces) or edges[-1 if self.word_level else 0] != (len(ids) - 1 if self.word_level else 0):
             return None
@@ -330,7 +332,7 @@ class Encoder:
             keep = text.kind[at] != SPACE
             at, length = at[keep], length[keep]
         slots = self._looked_up(text.data, at, length)
-        size, begin, flat = self.size[slots], self.begin[slots], self.flat
+        size, begin, flat = self.size[slots].astype(np.int64), self.begin[slots].astype(np.int64), self.flat
         odd = np.unique(np.searchsorted(cuts, text.odd, "right") - 1) if text.odd.size else text.odd
         odd = odd[then[odd] < 0]
         special = np.flatnonzero(then >= 0)

@@ -221,6 +221,7 @@ def links(fps: DataFrame, dense: int = 4096) -> DataFrame:
         rows = ((b.column("key").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)) for b in batches if b.num_rows)
         for a, b, k in group_links(rows, 2, dense):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(k)], ["a", "b", "key"])
+        _bytes.release()
 
     found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint, key bigint").distinct())
     plain = found.where("key < 0").select("a", "b")

@@ -141,6 +141,8 @@ def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
             held = [x[tail:] for x in held]
     if held is not None:
         yield held
+    held = now = None
+    _bytes.release()
 
 
 def hub_pairs(n: np.ndarray, first: np.ndarray, least: float) -> np.ndarray:
