@@ -27,12 +27,12 @@ def tree_blocks(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def tree_sum(values: Column, levels: int = 24) -> Column:
+def tree_sum(values: Column) -> Column:
     """The sum of an ordered array by balanced pairs in power-of-two blocks, the blocks' sums from the left.
 
     Kept like a binary counter: slot k holds the sum of a finished block of 2**k values, and
     a value carries upward through the slots that are taken, the earlier sum on the left.
-    Arrays of up to ``2 ** levels - 1`` values; an empty one gives null.
+    There are as many slots as the number of values has bits; an empty array gives null.
     """
     none = F.lit(None).cast("double")
 
@@ -48,6 +48,6 @@ def tree_sum(values: Column, levels: int = 24) -> Column:
             lambda s: s["out"],
         )
 
-    full = F.aggregate(values, F.array_repeat(none, levels), put)
+    full = F.aggregate(values, F.array_repeat(none, F.length(F.bin(F.size(values)))), put)
     blocks = F.filter(F.reverse(full), lambda x: x.isNotNull())
     return F.aggregate(blocks, none, lambda a, x: F.when(a.isNull(), x).otherwise(a + x))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 SPACES = " \t\n\x0b\f\r"
+#: Fixed value: white space as Unicode has it.
+WHITE = SPACES + "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: names that mark evaluation splits.
 EVAL_SPLIT = r"(?i)(?:^|[_./\-])(test|valid|validation|dev)(?:[_./\-]|$)"
 
@@ -21,8 +23,8 @@ def non_empty(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    """Null, empty, or white space alone."""
-    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)) == ""
+    """Null, empty, or white space alone, of any script."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE)) == ""
 
 
 def is_eval_split(name: Column) -> Column:
@@ -71,3 +73,11 @@ def task_form(alias: Column) -> Column:
 def shard_file(source: Column, tag: Column, k: Column, suffix: str) -> Column:
     """``<source><tag>_<five digits>.<suffix>``."""
     return F.concat(source, tag, F.lit("_"), F.lpad(k.cast("string"), 5, "0"), F.lit("." + suffix))
+
+
+def json_kind(text: Column) -> Column:
+    """What a JSON text is, by its first character: OBJECT, ARRAY, VARCHAR, BOOLEAN, NULL, or the number's type; null for none of these."""
+    inner = F.btrim(text, F.lit(" \t\n\r"))
+    first = F.substring(inner, 1, 1)
+    number = F.when(inner.rlike("[.eE]"), "DOUBLE").when(first == "-", "BIGINT").otherwise("UBIGINT")
+    return F.when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "VARCHAR").when(inner.isin("true", "false"), "BOOLEAN").when(inner == "null", "NULL").when(inner.rlike("^-?[0-9]"), number)

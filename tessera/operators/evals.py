@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Fixed values, in order of preference.
-PRIMARY = ("acc_norm,none", "acc,none", "exact_match,none", "f1,none")
+PRIMARY = ("acc_norm,none", "acc,none", "exact_match,none", "pass_at_1,none")
 
 
 def primary_metric(metrics: Column, keys: Sequence[str] = PRIMARY) -> Column:
@@ -15,10 +15,10 @@ def primary_metric(metrics: Column, keys: Sequence[str] = PRIMARY) -> Column:
     return F.coalesce(*[F.element_at(metrics, k) for k in keys], F.get(F.map_values(metrics), F.lit(0)), F.lit(0.0))
 
 
-def macro(scores: DataFrame, category: str = "category", score: str = "score") -> tuple[DataFrame, DataFrame]:
-    """Means per category, and the mean of these; failed (null) scores are left out, and no category gives 0."""
-    per = scores.where(F.col(score).isNotNull()).groupBy(category).agg(F.avg(score).alias("macro"))
-    return per, per.agg(F.coalesce(F.avg("macro"), F.lit(0.0)).alias("macro_average"))
+def macro(scores: DataFrame, category: str = "category", score: str = "score", by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Means per category (and ``by``), and the mean of these; failed (null) scores are left out, and no category gives 0."""
+    per = scores.where(F.col(score).isNotNull()).groupBy(*by, category).agg(F.avg(score).alias("macro"))
+    return per, per.groupBy(*by).agg(F.coalesce(F.avg("macro"), F.lit(0.0)).alias("macro_average"))
 
 
 def olmes_macro(core: Column, mmlu: Column) -> Column:
@@ -27,8 +27,8 @@ def olmes_macro(core: Column, mmlu: Column) -> Column:
 
 
 def expand(suites: Mapping[str, Sequence[str]], leaves: set[str], names: Sequence[str]) -> list[str]:
-    """Suites to their tasks, in order and once each; an unknown name is an error."""
-    out: dict[str, None] = {}
+    """Suites to their tasks, in order and as often as they are named; an unknown name is an error."""
+    out: list[str] = []
 
     def walk(name: str, path: tuple[str, ...]) -> None:
         if name in path:
@@ -37,13 +37,13 @@ def expand(suites: Mapping[str, Sequence[str]], leaves: set[str], names: Sequenc
             for x in suites[name]:
                 walk(x, (*path, name))
         elif name in leaves:
-            out[name] = None
+            out.append(name)
         else:
             raise ValueError(f"no task or suite {name}")
 
     for n in names:
         walk(n, ())
-    return list(out)
+    return out
 
 
 def stitched(points: DataFrame, segment: str = "segment", step: str = "step") -> DataFrame:

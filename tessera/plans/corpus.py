@@ -43,7 +43,10 @@ def _(spark, d):
     return T(spark, d, "documents").where((F.col("lang") == "en") & (F.col("source") != "") & (F.coalesce("n_chars", F.lit(0)) <= 2000)).select("doc_id", "n_chars")
 
 
-@query("whitespace_only_drop", r"SELECT count(*) FILTER (WHERE text IS NULL) AS failed, count(*) FILTER (WHERE text IS NOT NULL AND regexp_matches(text, '^[ \t\n\x0b\f\r]*$')) AS blank, count(*) FILTER (WHERE regexp_matches(text, '[^ \t\n\x0b\f\r]')) AS kept FROM documents")
+BLANK = r"'^[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*$'"
+
+
+@query("whitespace_only_drop", f"SELECT count(*) FILTER (WHERE text IS NULL) AS failed, count(*) FILTER (WHERE regexp_matches(text, {BLANK})) AS blank, count(*) FILTER (WHERE NOT regexp_matches(text, {BLANK})) AS kept FROM documents")
 def _(spark, d):
     t = F.col("text")
     return T(spark, d, "documents").agg(F.count_if(t.isNull()).alias("failed"), F.count_if(t.isNotNull() & X.blank(t)).alias("blank"), F.count_if(~X.blank(t)).alias("kept"))
@@ -252,7 +255,7 @@ def _(spark, d):
 @query("json_fields", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_type(props) AS kind FROM events WHERE props IS NOT NULL")
 def _(spark, d):
     e = T(spark, d, "events").where("props is not null")
-    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.lit("OBJECT").alias("kind"))
+    return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), X.json_kind(F.col("props")).alias("kind"))
 
 
 @query("skip_rows", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) WHERE r > 150")

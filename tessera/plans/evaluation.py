@@ -33,9 +33,9 @@ def _(spark, d):
     return scores(spark, d).groupBy("step", "category").agg(F.round(F.avg("score"), 6).alias("macro"))
 
 
-@query("macro_average", f"WITH {SCORES}, m AS (SELECT category, avg(score) AS macro FROM scores WHERE step = 0 AND score IS NOT NULL GROUP BY category) SELECT round(coalesce(avg(macro), 0.0), 6) AS macro_average FROM m")
+@query("macro_average", f"WITH {SCORES}, m AS (SELECT step, category, avg(score) AS macro FROM scores WHERE score IS NOT NULL GROUP BY step, category) SELECT step, round(coalesce(avg(macro), 0.0), 6) AS macro_average FROM m GROUP BY step")
 def _(spark, d):
-    return E.macro(scores(spark, d).where("step = 0"))[1].select(F.round("macro_average", 6).alias("macro_average"))
+    return E.macro(scores(spark, d), by=["step"])[1].select("step", F.round("macro_average", 6).alias("macro_average"))
 
 
 @query("olmes_macro", "SELECT doc_id, round((n_chars * 9 + CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END) / 10, 6) AS macro FROM documents")
@@ -51,19 +51,19 @@ def _(spark, d):
     return p.groupBy("task").pivot("form", ["mc", "rc"]).agg(F.max("s")).select("task", "mc", "rc", F.greatest("mc", "rc").alias("best"))
 
 
-@query("suite_expand", """WITH RECURSIVE s(suite, member, i) AS (VALUES ('all','core',0),('all','math',1),('core','arc',0),('core','hella',1),('math','gsm',0),('math','algebra',1),('algebra','alg1',0),('algebra','alg2',1)),
+@query("suite_expand", """WITH RECURSIVE s(suite, member, i) AS (VALUES ('all','core',0),('all','math',1),('core','arc',0),('core','hella',1),('core','alg1',2),('math','gsm',0),('math','algebra',1),('algebra','alg1',0),('algebra','alg2',1)),
  w(name, path) AS (SELECT 'all', CAST('' AS VARCHAR) UNION ALL SELECT s.member, w.path || s.i FROM w JOIN s ON s.suite = w.name)
  SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS pos, name AS task FROM w WHERE name NOT IN (SELECT suite FROM s)""")
 def _(spark, d):
-    suites = {"all": ["core", "math"], "core": ["arc", "hella"], "math": ["gsm", "algebra"], "algebra": ["alg1", "alg2"]}
+    suites = {"all": ["core", "math"], "core": ["arc", "hella", "alg1"], "math": ["gsm", "algebra"], "algebra": ["alg1", "alg2"]}
     got = E.expand(suites, {"arc", "hella", "gsm", "alg1", "alg2"}, ["all"])
     return spark.createDataFrame(list(enumerate(got)), "pos bigint, task string")
 
 
-@query("primary_metric", "SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN n_chars WHEN doc_id % 4 = 1 THEN doc_id WHEN doc_id % 4 = 2 THEN 7 ELSE 0 END AS DOUBLE) AS score FROM documents")
+@query("primary_metric", "SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 0 THEN n_chars WHEN doc_id % 4 = 1 THEN doc_id WHEN doc_id % 4 = 2 THEN 7 WHEN doc_id % 8 = 3 THEN n_chars + 0.5 ELSE 0 END AS DOUBLE) AS score FROM documents")
 def _(spark, d):
     i, c = F.col("doc_id").cast("double"), F.col("n_chars").cast("double")
-    m = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("acc,none"), i, F.lit("acc_norm,none"), c)).when(F.col("doc_id") % 4 == 1, F.create_map(F.lit("acc,none"), i)).when(F.col("doc_id") % 4 == 2, F.create_map(F.lit("other"), F.lit(7.0))).otherwise(F.create_map().cast("map<string,double>"))
+    m = F.when(F.col("doc_id") % 4 == 0, F.create_map(F.lit("acc,none"), i, F.lit("acc_norm,none"), c)).when(F.col("doc_id") % 4 == 1, F.create_map(F.lit("acc,none"), i)).when(F.col("doc_id") % 4 == 2, F.create_map(F.lit("other"), F.lit(7.0))).when(F.col("doc_id") % 8 == 3, F.create_map(F.lit("f1,none"), i, F.lit("pass_at_1,none"), c + 0.5)).otherwise(F.create_map().cast("map<string,double>"))
     return T(spark, d, "documents").select("doc_id", E.primary_metric(m).alias("score"))
 
 

@@ -85,10 +85,10 @@ def _(spark, d):
     return m.crossJoin(F.broadcast(r)).select("microbatches", "rank", S.accumulation(F.col("microbatches"), F.col("rank"), 5).alias("n"))
 
 
-@query("join_stepdocs_documents", f"WITH {MAP} SELECT m.step, m.global_window, m.frag_idx, d.doc_id, d.lang, m.tok_end - m.tok_start AS n FROM map m JOIN documents d ON d.source = m.source AND d.doc_id // 50 = m.shard_id AND d.doc_id % 50 = m.local_doc WHERE m.step < 20")
+@query("join_stepdocs_documents", f"WITH {MAP} SELECT m.step, m.global_window, m.frag_idx, d.doc_id, d.lang, m.tok_end - m.tok_start AS n FROM map m JOIN documents d ON d.source = m.source AND d.doc_id // 50 = m.shard_id AND d.doc_id % 50 = m.local_doc")
 def _(spark, d):
     docs = T(spark, d, "documents").select("doc_id", "lang", "source", F.expr("cast(doc_id div 50 as int)").alias("shard_id"), F.expr("cast(doc_id % 50 as int)").alias("local_doc"))
-    return mapped(spark, d).where("step < 20").join(docs, ["source", "shard_id", "local_doc"]).select("step", "global_window", "frag_idx", "doc_id", "lang", (F.col("tok_end") - F.col("tok_start")).alias("n"))
+    return mapped(spark, d).join(docs, ["source", "shard_id", "local_doc"]).select("step", "global_window", "frag_idx", "doc_id", "lang", (F.col("tok_end") - F.col("tok_start")).alias("n"))
 
 
 @query("touched_shards", f"WITH {MAP} SELECT source, list(DISTINCT shard_id ORDER BY shard_id) AS shards FROM map WHERE step BETWEEN 3 AND 9 GROUP BY source")
@@ -119,9 +119,9 @@ def _(spark, d):
     return sized(spark, d).where("shard_id < 3").groupBy("source", "shard_id").agg(F.count("*").alias("n"))
 
 
-@query("duplicate_outputs", f"WITH {SIZED} SELECT local_doc, count(DISTINCT shard_id) AS shards FROM sized WHERE source = 'src1' GROUP BY local_doc HAVING count(DISTINCT shard_id) > 1")
+@query("duplicate_outputs", f"WITH {SIZED} SELECT source, local_doc, count(DISTINCT shard_id) AS shards FROM sized GROUP BY source, local_doc HAVING count(DISTINCT shard_id) > 1")
 def _(spark, d):
-    return sized(spark, d).where("source = 'src1'").groupBy("local_doc").agg(F.countDistinct("shard_id").alias("shards")).where("shards > 1")
+    return sized(spark, d).groupBy("source", "local_doc").agg(F.countDistinct("shard_id").alias("shards")).where("shards > 1")
 
 
 @query("compare_position", "WITH a AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source), b AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'en' AND source <> 'src3' AND doc_id % 97 <> 1 GROUP BY source) SELECT coalesce(a.source, b.source) AS source, a.n AS walked, b.n AS stored FROM a FULL JOIN b ON a.source = b.source WHERE a.n IS DISTINCT FROM b.n")

@@ -133,7 +133,12 @@ def test_schedules(spark):
 def test_tree_sum_is_the_fold(spark, n):
     v = [1e16, 1.0, -1e16, 3.0, 1e-3, 7.5, 1e12, -1e12, 0.1, 0.2, 0.3, 1e8][:n]
     got = spark.createDataFrame([(v,)], "v array<double>").select(A.tree_sum(F.col("v"))).first()[0]
-    assert got == V.tree_fold(v)
+    balanced = lambda x: x[0] if len(x) == 1 else balanced(x[: len(x) // 2]) + balanced(x[len(x) // 2 :])
+    want, at = None, 0
+    for size in A.tree_blocks(n):
+        part, at = balanced(v[at : at + size]), at + size
+        want = part if want is None else want + part
+    assert got == want
     assert sum(A.tree_blocks(n)) == n
 
 
@@ -220,7 +225,7 @@ def test_digests_and_chains():
 
 def test_suites():
     suites = {"all": ["x", "s"], "s": ["y", "x"]}
-    assert evals.expand(suites, {"x", "y"}, ["all"]) == ["x", "y"]
+    assert evals.expand(suites, {"x", "y"}, ["all"]) == ["x", "y", "x"]
     with pytest.raises(ValueError):
         evals.expand(suites, {"x"}, ["all"])
 
@@ -229,3 +234,33 @@ def test_eval_split_names(spark):
     names = {"a_test_0.jsonl.zst": True, "latest/a.jsonl": False, "x/dev/y": True, "contest-1": False, "VALID.json": True}
     got = {r.n: r.e for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", X.is_eval_split(F.col("n")).alias("e")).collect()}
     assert got == names
+
+
+def test_tree_sum_has_a_slot_for_every_bit(spark):
+    got = spark.range(1).select(A.tree_sum(F.array_repeat(F.lit(1.0), 5)).alias("a"), A.tree_sum(F.array().cast("array<double>")).alias("b"), A.tree_sum(F.transform(F.sequence(F.lit(1), F.lit(70_000)), lambda x: x.cast("double"))).alias("c")).first()
+    assert (got.a, got.b, got.c) == (5.0, None, 70_000 * 70_001 / 2)
+
+
+def test_json_kinds(spark):
+    kinds = {'{"k": 1}': "OBJECT", " [1]": "ARRAY", '"x"': "VARCHAR", "true": "BOOLEAN", "null": "NULL", "12": "UBIGINT", "-3": "BIGINT", "1.5": "DOUBLE", "2e3": "DOUBLE", "": None}
+    got = {r.t: r.k for r in spark.createDataFrame([(t,) for t in kinds], "t string").select("t", X.json_kind(F.col("t")).alias("k")).collect()}
+    assert got == kinds
+
+
+def test_blank_is_what_strip_leaves_empty(spark):
+    some = ["", " ", "\u3000\x85", "\x1c\x1f", "\u200b", "a ", "\u2028\xa0", None]
+    got = {r.t: r.b for r in spark.createDataFrame([(t,) for t in some], "t string").select("t", X.blank(F.col("t")).alias("b")).collect()}
+    assert got == {t: not (t or "").strip() for t in some}
+
+
+def test_batch_digests_name_the_type(spark):
+    """The wire format: name, type, shape, each with a zero byte behind, then the bytes."""
+    import hashlib
+
+    import numpy as np
+
+    a = np.array([5, 6, 7], np.int64)
+    named = lambda n, x: n + b"\0torch.int64\0(2,)\0" + x.tobytes()
+    want = hashlib.blake2b(b"\0" * 32 + named(b"input_ids", a[:2]) + named(b"labels", a[1:]), digest_size=32).hexdigest()
+    got = V.batch_digests(spark.createDataFrame([(0, 0, a.tolist())], "rank int, step int, tokens array<long>")).first().digest
+    assert got == want
