@@ -7,7 +7,8 @@ that of a few passes over its bytes, however many words it has.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,24 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_models: list = []
+
+
+def one_model(load: Callable) -> Callable:
+    """Caches what ``load`` returns, for as long as the process uses no other such model: a worker serves many stages."""
+    cached = functools.cache(load)
+    _models.append(cached)
+
+    @functools.wraps(load)
+    def get(*args):
+        for other in _models:
+            if other is not cached and other.cache_info().currsize:
+                other.cache_clear()
+        return cached(*args)
+
+    return get
+
+
 def release() -> None:
     """Gives freed memory back to the system where the C library can, as workers live on between tasks."""
     pa.default_memory_pool().release_unused()

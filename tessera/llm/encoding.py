@@ -368,7 +368,7 @@ class Encoder:
         return flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)], upto[np.searchsorted(at, off)]
 
 
-@functools.cache
+@_bytes.one_model
 def encoder(name: str) -> Encoder:
     """One encoder a process for a file that ``public_tokenizers`` names, or for a path."""
     if "/" in name:

@@ -101,7 +101,7 @@ def _size(n: int) -> int:
     return 1 << max(16, int(n).bit_length())
 
 
-@functools.cache
+@_bytes.one_model
 def vocabulary(name: str) -> Vocabulary:
     if "/" in name:
         return Vocabulary(name)

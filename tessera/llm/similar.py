@@ -34,6 +34,8 @@ from tessera.llm.simhash import components, links, majority, shingle_hashes
 _LAST = np.uint64(1 << 63)
 #: One text in so many is looked at for common shingles, and so many of these are put last.
 SAMPLE, COMMON = 16, 1 << 18
+#: Rows of shingles in a partition, and partitions at most.
+ROWS_A_PART, MOST_PARTS = 400_000, 20_000
 #: Bits of a set's bitmap.
 BITS = 512
 #: A text meets its hub first if they share this part of the groups that similar texts share; a lack of it is made up for later.
@@ -175,6 +177,11 @@ def alike(marked: DataFrame) -> DataFrame:
     return equal.unionByName(linked.join(least, "fp").join(other, "other").select("a", F.col("least").alias("b")))
 
 
+def dealt(rows: DataFrame, n: int, by: str) -> DataFrame:
+    """``rows``, about ``n`` of them, in partitions of so many that two fit beside each other in a small executor."""
+    return rows.repartition(min(MOST_PARTS, max(1, -(-n // ROWS_A_PART))), by)
+
+
 def groups_of_several(keys: DataFrame) -> DataFrame:
     """(h, tid, n, size) of the members of groups of two or more."""
 
@@ -185,7 +192,7 @@ def groups_of_several(keys: DataFrame) -> DataFrame:
             keep = size > 1
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (h, tid, n, size)], ["h", "tid", "n", "size"])
 
-    return cut(keys.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, size bigint"))
+    return cut(dealt(keys, keys.count(), "h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, size bigint"))
 
 
 def stars(members: DataFrame, least: float) -> DataFrame:
@@ -203,8 +210,8 @@ def stars(members: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tid, n, hub)], ["tid", "n", "hub"])
 
     central = members.groupBy("tid").agg(F.sum("size").alias("central"))
-    dealt = members.join(central, "tid").repartition("h").sortWithinPartitions("h", F.desc("central"), "tid").select("h", "tid", "n")
-    return dealt.mapInArrow(run, "tid bigint, n int, hub bigint")
+    ranked = dealt(members.join(central, "tid"), members.count(), "h").sortWithinPartitions("h", F.desc("central"), "tid").select("h", "tid", "n")
+    return ranked.mapInArrow(run, "tid bigint, n int, hub bigint")
 
 
 def of_several_roots(members: DataFrame) -> DataFrame:
@@ -216,7 +223,7 @@ def of_several_roots(members: DataFrame) -> DataFrame:
             keep = np.repeat(np.minimum.reduceat(columns[3], begin) != np.maximum.reduceat(columns[3], begin), size)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["h", "tid", "n", "root"])
 
-    return members.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, root bigint")
+    return dealt(members, members.count(), "h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, root bigint")
 
 
 def rest(members: DataFrame, seen: DataFrame, least: float, block: int = 128) -> DataFrame:
@@ -244,8 +251,9 @@ def rest(members: DataFrame, seen: DataFrame, least: float, block: int = 128) ->
                             a, b = t[p[ok]], t[q[ok]]
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared(m[p[ok]]).astype(np.int32))], ["a", "b", "need"])
 
-    marked = of_several_roots(members).join(seen.select("tid", "bits"), "tid").select("h", "tid", "n", "root", "bits")
-    met = marked.repartition("h").sortWithinPartitions("h", "n", "tid").mapInArrow(run, "a bigint, b bigint, need int")
+    open_ = cut(of_several_roots(members))
+    marked = open_.join(seen.select("tid", "bits"), "tid").select("h", "tid", "n", "root", "bits")
+    met = dealt(marked, open_.count(), "h").sortWithinPartitions("h", "n", "tid").mapInArrow(run, "a bigint, b bigint, need int")
     return met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b", "times")
 
 
@@ -273,9 +281,9 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, lea
             held = b.slice(int(hub[-1]), 1)
 
     busy = pairs.groupBy("a").count().where(F.col("count") > SPLIT).select("a", F.ceil(F.col("count") / SPLIT).alias("ways"))
-    dealt = pairs.join(busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("ways")), F.lit(0)).cast("int").alias("part"))
-    leads = dealt.select("a", F.col("a").alias("tid"), "part", F.lit(True).alias("lead")).distinct()
-    need = cut(leads.unionByName(dealt.select("a", F.col("b").alias("tid"), "part", F.lit(False).alias("lead"))).join(rows, "tid"))
+    spread = pairs.join(busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("ways")), F.lit(0)).cast("int").alias("part"))
+    leads = spread.select("a", F.col("a").alias("tid"), "part", F.lit(True).alias("lead")).distinct()
+    need = cut(leads.unionByName(spread.select("a", F.col("b").alias("tid"), "part", F.lit(False).alias("lead"))).join(rows, "tid"))
     need = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
     both = docs.join(need, ["tid", "row"]).select("a", "part", "lead", "tid", "text")
     return cut(both.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead")).mapInArrow(run, "a bigint, b bigint"))
