@@ -198,6 +198,7 @@ class Encoder:
         self.edge[[i for t, i in vocab.items() if (t.endswith("</w>") if self.word_level else t[0] == "Ġ")]] = True
         self.most = cache_pieces
         self.forget()
+        _bytes.release()
 
     def forget(self) -> None:
         """Pieces met so far have a slot each: how many ids, and where they begin."""

@@ -278,18 +278,16 @@ def train(docs: DataFrame, vocab: str = "piece_bpe_32k.model", docs_per_language
     it would take more than ``most_mb`` is refused before anything is collected. No labelled
     row: no language.
     """
-    import pandas as pd
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        probs = fit(vocabulary(vocab), Words(list(rows["text"])))
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        probs = fit(vocabulary(vocab), Words(rows.column("text").to_pylist()))
         _bytes.release()
-        return pd.DataFrame({"lang": [key[0]], "probs": [probs.astype("<f8").tobytes()]})
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "probs": pa.array([probs.astype("<f8").tobytes()], pa.binary())})
 
     rows = docs.where((F.lit(True) if learn is None else learn) & F.col(lang).isNotNull())
     shares = cut(rows.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.least(F.lit(1.0), F.lit(docs_per_language) / F.count("*")).alias("share")))
     if (n := shares.count()) * 8 * (vocabulary(vocab).size + 1) > most_mb << 20:
         raise ValueError(f"the model of {n} languages takes more than {most_mb} MB")
-    models = training_rows(rows, shares, id_col, lang).select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")).groupBy("lang").applyInPandas(one, "lang string, probs binary")
+    models = training_rows(rows, shares, id_col, lang).select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")).groupBy("lang").applyInArrow(one, "lang string, probs binary")
     got = sorted((x["lang"], x["probs"]) for x in models.collect())
     return [x for x, _ in got], np.stack([np.frombuffer(p) for _, p in got], axis=1) if got else np.zeros((0, 0))
 
