@@ -112,13 +112,16 @@ def judge(docs: DataFrame, sample_rows: int = 512, text: str = "text", id_col: s
     """``docs`` with ``quality``, ``base_failed`` and ``rejected_by`` (null: kept).
 
     Null, empty and blank texts have no words and fail the base rule. The sample is the
-    ``sample_rows`` rows whose id and text hash lowest; it decides nothing but the order of
+    texts of the ``sample_rows`` rows whose id and text hash lowest, once each; it decides nothing but the order of
     the rules. Repeated rows are judged alike, a text of any length whole; an empty table
     gives no rows. Columns of these
     three names are replaced; all others stay.
     """
     slim = docs.select(id_col, text)
-    sample = cut(statistics(slim.orderBy(F.xxhash64(id_col, text)).limit(sample_rows), text))
+    marked = slim.withColumn("_h", F.xxhash64(id_col, text))
+    lowest = [r[0] for r in marked.select("_h").orderBy("_h").limit(sample_rows).collect()]
+    few = marked.where(F.col("_h") <= (lowest[-1] if lowest else 0)).groupBy("_h").agg(F.first(text).alias(text))
+    sample = cut(statistics(few, text))
     rejects = rules(text)
     order = cascade_order(sample, rejects)
     failed = (F.col("quality.n_words") < 20) | (100 * F.col("quality.n_repeat_words") > 30 * F.col("quality.n_words"))
