@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def bounded(spark: SparkSession, most: int = 8 << 20) -> None:
+def bounded(spark: SparkSession, most: int = 2 << 20) -> None:
     """Lets the batches that go to Python hold ``most`` bytes of texts, instead of so many rows, whatever their lengths."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > most:
