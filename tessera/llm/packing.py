@@ -97,7 +97,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text: str, id_col: s
         enc = encoder(tokenizer)
         vocab = enc.library.get_vocab_size() + 1
         kind = np.dtype("<u2" if vocab <= 65536 else "<u4")
-        for b in _bytes.pieces(batches, "text"):
+        for b in _bytes.pieces(batches, "text", 1 << 18):
             ids, upto = enc.encode(b.column("text"))
             closed = np.insert(ids, upto[1:], end_id).astype(kind)
             n = np.diff(upto) + 1
