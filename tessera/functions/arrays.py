@@ -51,3 +51,13 @@ def tree_sum(values: Column) -> Column:
     full = F.aggregate(values, F.array_repeat(none, F.length(F.bin(F.size(values)))), put)
     blocks = F.filter(F.reverse(full), lambda x: x.isNotNull())
     return F.aggregate(blocks, none, lambda a, x: F.when(a.isNull(), x).otherwise(a + x))
+
+
+def continuation_score(logits: Column, targets: Column) -> Column:
+    """(ll, greedy) of a continuation: the log-probability of ``targets`` under the logits of their places, and whether each is the first of the largest.
+
+    ``logits``: an array of doubles for each place; an empty continuation scores 0 and is greedy.
+    """
+    at = F.zip_with(logits, targets, lambda x, t: F.struct((F.get(x, t) - log_sum_exp(x)).alias("ll"), (F.array_position(x, F.array_max(x)) == t + 1).alias("greedy")))
+    first = F.struct(F.lit(0.0).alias("ll"), F.lit(True).alias("greedy"))
+    return F.aggregate(at, first, lambda a, x: F.struct((a["ll"] + x["ll"]).alias("ll"), (a["greedy"] & x["greedy"]).alias("greedy")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,3 +56,21 @@ def register_sql(spark: SparkSession) -> None:
     """``blake2b_hex`` and ``decode_utf8`` for SQL."""
     spark.udf.register("blake2b_hex", blake2b_hex)
     spark.udf.register("decode_utf8", decoder())
+
+
+def canonical_sha256(text: str) -> str:
+    """SHA-256 of a JSON text written again with sorted keys and no blanks, so that layout and key order do not count."""
+    return hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+@F.pandas_udf(T.StringType())
+def canonical_json_digest(texts: pd.Series) -> pd.Series:
+    """``canonical_sha256`` of a column; null stays null, and what is no JSON is null."""
+
+    def one(x):
+        try:
+            return None if x is None else canonical_sha256(x)
+        except ValueError:
+            return None
+
+    return texts.map(one)

@@ -17,6 +17,11 @@ def n_tokens(text: Column) -> Column:
     return F.when(inner == "", 0).otherwise(F.size(F.split(inner, r"[\x20\x09-\x0D]+"))).cast("bigint")
 
 
+def has_token(text: Column) -> Column:
+    """Whether there is a white-space token, settled at the first."""
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def non_empty(text: Column) -> Column:
     """Neither null nor empty."""
     return F.coalesce(F.length(text) > 0, F.lit(False))

@@ -20,6 +20,18 @@ def prefix_sum(df: DataFrame, bucket: Sequence[str], order: Sequence[str], value
     return df.join(base, list(bucket)).withColumn(into, (F.col("_base") + own).cast("bigint")).drop("_base")
 
 
+def previous(df: DataFrame, bucket: Sequence[str], order: Sequence[str], value: str, into: str) -> DataFrame:
+    """``df`` with ``value`` of the row before in the order of (bucket, order), null at the first; in two passes like ``prefix_sum``.
+
+    Each bucket's last value, a row a bucket, is handed on to the next bucket's first row.
+    """
+    last = df.groupBy(*bucket).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    before = last.select(*bucket, F.lag("_last").over(W.orderBy(*bucket)).alias("_last"))
+    w = W.partitionBy(*bucket).orderBy(*order)
+    own = F.when(F.row_number().over(w) == 1, F.col("_last.v")).otherwise(F.lag(value).over(w))
+    return df.join(before, list(bucket)).withColumn(into, own).drop("_last")
+
+
 def ordered_limit(df: DataFrame, keep: Column, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows that ``keep`` holds for; none for n <= 0. Top-n per task, then one merge."""
     return df.where(keep).orderBy(*order).limit(max(n, 0))
@@ -68,19 +80,22 @@ def interleave(rows: DataFrame, queues: dict[str, list[str]], directory: str = "
 def greedy_shards(df: DataFrame, target: int, group: str, order: str, size: str) -> DataFrame:
     """(group, order, shard_id): a shard closes with the row that brings it to ``target``, and the next begins at nothing.
 
-    The one inherently sequential step: it runs over (order, size) alone, a task per group.
+    The one inherently sequential step: it runs over (order, size) alone, a task per group,
+    and goes from shard to shard by a search in the running sum of sizes (none is negative).
     """
+    import numpy as np
     import pandas as pd
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        shard, held, out = 0, 0, []
-        for n in rows[size]:
-            out.append(shard)
-            held += int(n)
-            if held >= target:
-                shard, held = shard + 1, 0
-        return pd.DataFrame({group: rows[group], order: rows[order], "shard_id": out})
+        upto = rows[size].to_numpy(np.int64).cumsum()
+        shard, at, ends = np.zeros(len(rows), np.int32), 0, []
+        while at < len(rows):
+            base = upto[at - 1] if at else 0
+            at = max(at, int(np.searchsorted(upto, base + target))) + 1
+            ends.append(at)
+        shard[ends[:-1]] = 1
+        return pd.DataFrame({group: rows[group], order: rows[order], "shard_id": shard.cumsum(dtype=np.int32)})
 
     slim = df.select(group, order, size)
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}

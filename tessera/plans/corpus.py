@@ -17,9 +17,16 @@ NT = r"CAST(len(regexp_extract_all(coalesce(text,''), '[^ \t\n\x0b\f\r]+')) AS B
 SIZED = f"sized AS (SELECT doc_id, source, CAST(doc_id // 50 AS INTEGER) AS shard_id, CAST(doc_id % 50 AS INTEGER) AS local_doc, {NT} AS n_tokens FROM documents)"
 
 
-def sized(spark, d):
+def sized(spark, d, keep=None):
     """(doc_id, source, shard_id, local_doc, n_tokens) of the documents table."""
-    return T(spark, d, "documents").select("doc_id", "source", F.expr("cast(doc_id div 50 as int)").alias("shard_id"), F.expr("cast(doc_id % 50 as int)").alias("local_doc"), X.n_tokens(F.col("text")).alias("n_tokens"))
+    docs = T(spark, d, "documents")
+    docs = docs if keep is None else docs.where(keep)
+    return docs.select("doc_id", "source", F.expr("cast(doc_id div 50 as int)").alias("shard_id"), F.expr("cast(doc_id % 50 as int)").alias("local_doc"), X.n_tokens(F.col("text")).alias("n_tokens"))
+
+
+def worded(spark, d):
+    """``sized`` of the documents with tokens, which a text's first word tells without counting the others."""
+    return sized(spark, d, X.has_token(F.col("text")))
 
 
 @query("scan_text_nonempty", "SELECT doc_id, text FROM documents WHERE length(text) > 0")

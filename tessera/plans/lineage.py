@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tessera.catalog import query
 from tessera.functions import arrays as A, schedules as S
 from tessera.operators import order as O, packing as P, sampling
-from tessera.plans.corpus import SIZED, manifest, sized
+from tessera.plans.corpus import SIZED, manifest, sized, worded
 from tessera.session import table as T
 
 SEQ, MICRO, WORLD, MICROBATCHES = 256, 4, 4, 6
@@ -20,7 +20,7 @@ MAP = f"{SPANS}, map AS (SELECT CAST(g // {PER_STEP} AS INTEGER) AS step, g AS g
 
 def placed(spark, d):
     """Documents with tokens, in stream order, with where each begins."""
-    docs = sized(spark, d).where("n_tokens > 0").withColumn("b", F.expr("doc_id div 4096")).withColumn("w", F.col("n_tokens") + 1)
+    docs = worded(spark, d).withColumn("b", F.expr("doc_id div 4096")).withColumn("w", F.col("n_tokens") + 1)
     return O.prefix_sum(docs, ["source", "b"], ["doc_id"], "w", "stream_start").drop("b", "w")
 
 
@@ -37,6 +37,18 @@ def _(spark, d):
     return mapped(spark, d)
 
 
+#: Batches of 2, 3 and 5 micro-batches; the second begins at 8,000 consumed tokens, the third at 24,000.
+PHASED = S.Phases(2 * MICRO * SEQ, 3 * MICRO * SEQ, 5 * MICRO * SEQ, 8_000, 24_000)
+UNIT = MICRO * SEQ
+WALK = f"most AS MATERIALIZED (SELECT max(g) AS g FROM spans), plan AS (SELECT 0 AS step, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS w, 2 AS m UNION ALL SELECT step + 1, c + m * {UNIT}, w + m * {MICRO}, CASE WHEN c + m * {UNIT} < 8000 THEN 2 WHEN c + m * {UNIT} < 24000 THEN 3 ELSE 5 END FROM plan, most WHERE w + m * {MICRO} <= most.g)"
+
+
+@query("doc_map_phased", f"WITH RECURSIVE {SPANS}, {WALK} SELECT p.step, s.g AS global_window, CAST((s.g - p.w) // {MICRO} AS INTEGER) AS microbatch, CAST((s.g - p.w) % {MICRO} AS SMALLINT) AS slot, CAST(row_number() OVER (PARTITION BY s.g ORDER BY s.s) - 1 AS SMALLINT) AS frag_idx, CAST((s.g - p.w) // {MICRO} % {WORLD} AS SMALLINT) AS dp_rank, s.source, s.shard_id, s.local_doc, s.tok_start, s.tok_end FROM spans s JOIN plan p ON s.g >= p.w AND s.g < p.w + p.m * {MICRO}")
+def _(spark, d):
+    """The step-to-document map of a run that crosses two boundaries of its batch size."""
+    return P.phased_doc_map(fragments(spark, d), P.plan_pieces(PHASED, MICRO, SEQ, 1 << 60), MICRO, WORLD, ["stream_start"])
+
+
 @query("pack_spans", f"WITH {SPANS} SELECT doc_id, g AS global_window, tok_start, tok_end FROM spans")
 def _(spark, d):
     return fragments(spark, d).select("doc_id", "global_window", "tok_start", "tok_end")

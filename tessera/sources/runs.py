@@ -100,3 +100,52 @@ def same_state(a, b) -> bool:
     fa, fb = flattened(a), flattened(b)
     alike = lambda x, y: type(x) is type(y) and (x == y or (x != x and y != y))
     return len(fa) == len(fb) and all(p == q and alike(x, y) for (p, x), (q, y) in zip(fa, fb, strict=True))
+
+
+#: Fixed value: how a checkpoint says that its stream is the canonical one.
+AUDITABLE = "deterministic_allgather"
+
+
+def descriptor(spark: SparkSession, directory: str) -> tuple[dict, dict]:
+    """(meta, stream position) of a checkpoint that can be audited; any other is refused."""
+    import json
+
+    def read(name: str) -> dict:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{name}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            raise FileNotFoundError(f"{directory} has no {name}")
+        return json.loads(spark.read.text(f"{directory}/{name}", wholetext=True).first()[0])
+
+    meta = read("meta.json")
+    if meta.get("reduction_mode") != AUDITABLE:
+        raise ValueError(f"reduction mode {meta.get('reduction_mode')!r}: its stream is not the canonical one")
+    at = read("global_stream.json")
+    return meta, {"consumed_documents_per_source": at["consumed_documents_per_source"], "epoch_per_source": at["epoch_per_source"], "mix_rng_state": at.get("mix_rng_state"), "carry_over": at.get("carry_over") or [], "windows_emitted": at.get("windows_emitted", 0)}
+
+
+def until_step(asked: int | None, checkpoint_step: int, resumes: bool) -> int:
+    """Where a walk ends (exclusive): the checkpoint's step unless asked otherwise; a walk that resumes there must name a later one."""
+    if resumes and (asked is None or asked <= checkpoint_step):
+        raise ValueError(f"a walk from step {checkpoint_step} needs a later step to end at, not {asked}")
+    return checkpoint_step if asked is None else asked
+
+
+def task_scores(spark: SparkSession, root: str) -> DataFrame:
+    """(step, alias, score, kind) of all evaluated steps, from their ``metrics-all.jsonl``.
+
+    ``kind``: aggregate without a task number, per_task for the forms of the core suite,
+    extended else. Entries without a primary score are left out; the last of an alias counts.
+    """
+    schema = "task_name string, task_idx int, task_config struct<metadata:struct<alias:string>>, metrics struct<primary_score:double>"
+    alias = F.coalesce("task_config.metadata.alias", "task_name")
+    rows = spark.read.schema(schema).json(f"{root}/step_*/metrics-all.jsonl").select(step_of(F.col("_metadata.file_path")).alias("step"), alias.alias("alias"), F.col("metrics.primary_score").alias("score"), "task_idx", F.monotonically_increasing_id().alias("line")).where("score is not null")
+    form = F.col("alias").endswith("::olmes") & (F.col("alias").contains(":mc::") | F.col("alias").contains(":rc::"))
+    kind = F.when(F.col("task_idx").isNull(), "aggregate").when(form, "per_task").otherwise("extended")
+    return rows.groupBy("step", kind.alias("kind"), "alias").agg(F.max_by("score", "line").alias("score")).select("step", "alias", "score", "kind")
+
+
+def score_summary(scores: DataFrame) -> DataFrame:
+    """(step, olmes_macro, num_leaf_tasks) of ``task_scores``: the macro over ten tasks, null unless both its aggregates are there."""
+    one = lambda a: F.max(F.when((F.col("kind") == "aggregate") & (F.col("alias") == a), F.col("score")))
+    macro = (one("core_9mcqa::olmes") * 9 + one("mmlu::olmes")) / 10
+    return scores.groupBy("step").agg(macro.alias("olmes_macro"), F.count_if(F.col("kind") == "per_task").alias("num_leaf_tasks"))
