@@ -68,17 +68,25 @@ def with_positions(draws: DataFrame, sizes: DataFrame) -> DataFrame:
     return placed.withColumn("epoch", F.call_function("div", F.col("ordinal"), F.col("n_docs")).cast("int")).withColumn("perm_pos", F.pmod("ordinal", "n_docs"))
 
 
-def resolve(docs: DataFrame, cumulative: DataFrame) -> DataFrame:
-    """Global document numbers to (shard_id, local_doc). ``cumulative``: (source, shard_id, cum, next_cum), a few rows per source."""
+def resolve(docs: DataFrame, cumulative: DataFrame, stretch: int = 256) -> DataFrame:
+    """Global document numbers to (shard_id, local_doc). ``cumulative``: (source, shard_id, cum, next_cum).
+
+    A document is compared with the shards that reach into its stretch of numbers alone, not
+    with all of its source.
+    """
+    div = lambda c: F.call_function("div", c.cast("bigint"), F.lit(stretch).cast("bigint"))
+    full = cumulative.where("next_cum > cum")
+    near = full.select("source", "shard_id", "cum", "next_cum", F.explode(F.sequence(div(F.col("cum")), div(F.col("next_cum") - 1))).alias("_at"))
     inside = (F.col("global_doc") >= F.col("cum")) & (F.col("global_doc") < F.col("next_cum"))
-    return docs.alias("d").join(cumulative.alias("c"), (F.col("d.source") == F.col("c.source")) & inside).select("d.*", "c.shard_id", (F.col("global_doc") - F.col("cum")).alias("local_doc"))
+    return docs.alias("d").join(near.alias("c"), (F.col("d.source") == F.col("c.source")) & (div(F.col("global_doc")) == F.col("_at")) & inside).select("d.*", "c.shard_id", (F.col("global_doc") - F.col("cum")).alias("local_doc"))
 
 
 def bucket_shuffle(rows: DataFrame, seed: int, buckets: int = 512, order: str = "pos", text: str = "text") -> DataFrame:
     """``rows`` shuffled by two deterministic passes, blank lines dropped, as ``out_bucket`` and ``out_pos``.
 
     Pass one deals lines to buckets by one generator in line order; that is done by number
-    in a single task, eight bytes a line. Pass two shuffles each bucket on its own.
+    in a single task, eight bytes a line. Pass two shuffles the numbers of each bucket on its
+    own; the lines themselves are only joined to them (``order`` is unique).
     """
     import random
 
@@ -98,10 +106,5 @@ def bucket_shuffle(rows: DataFrame, seed: int, buckets: int = 512, order: str =
 
     kind = rows.schema[order].dataType.simpleString()
     dealt = numbers.repartitionByRange(1, order).sortWithinPartitions(order).mapInPandas(deal, f"{order} {kind}, out_bucket int")
-    return _shuffled(kept, dealt, order, shuffle)
-
-
-def _shuffled(kept: DataFrame, dealt: DataFrame, order: str, shuffle) -> DataFrame:
-    joined = kept.join(dealt, order)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields)
-    return joined.groupBy("out_bucket").applyInPandas(shuffle, f"{fields}, out_pos int")
+    placed = dealt.groupBy("out_bucket").applyInPandas(shuffle, f"{order} {kind}, out_bucket int, out_pos int")
+    return kept.join(placed, order)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +78,8 @@ class ShardReader:
 def write_shard(prefix: str, documents, kind: str = "uint32") -> dict:
     """Writes a shard and says what a manifest has of it. Both files appear under their names when they are whole."""
     lengths, h, tokens = [], hashlib.blake2b(digest_size=32), 0
-    with open(f"{prefix}.bin.part", "wb") as f:
+    part = f"{uuid.uuid4().hex}.part"  # of this attempt alone
+    with open(f"{prefix}.bin.{part}", "wb") as f:
         for d in documents:
             data = np.asarray(d).astype(np.dtype(kind).newbyteorder("<")).tobytes()
             f.write(data)
@@ -85,10 +87,10 @@ def write_shard(prefix: str, documents, kind: str = "uint32") -> dict:
             lengths.append(len(d))
             tokens += len(d)
     index = index_bytes(np.array(lengths, np.int64), kind)
-    with open(f"{prefix}.idx.part", "wb") as f:
+    with open(f"{prefix}.idx.{part}", "wb") as f:
         f.write(index)
-    os.replace(f"{prefix}.bin.part", f"{prefix}.bin")
-    os.replace(f"{prefix}.idx.part", f"{prefix}.idx")
+    os.replace(f"{prefix}.bin.{part}", f"{prefix}.bin")
+    os.replace(f"{prefix}.idx.{part}", f"{prefix}.idx")
     return {"prefix": os.path.basename(prefix), "num_documents": len(lengths), "token_count": tokens, "bin_blake2b": h.hexdigest(), "idx_blake2b": hashlib.blake2b(index, digest_size=32).hexdigest()}
 
 

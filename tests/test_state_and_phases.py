@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera import catalog
 from tessera.functions import arrays as A, schedules as S
 from tessera.functions.registry import canonical_sha256
-from tessera.operators import order as O, packing as P, state as ST, verify as V
+from tessera.operators import order as O, packing as P, sampling, state as ST, verify as V
 from tessera.plans.lineage import PHASED
 from tessera.plans.verification import state
 from tessera.sources import runs
@@ -166,3 +166,12 @@ def test_canonical_json_and_scores_of_nothing(spark):
     assert canonical_sha256('{"b": 1, "a": [1, 2]}') == hashlib.sha256(b'{"a":[1,2],"b":1}').hexdigest()
     none = spark.range(1).select(A.continuation_score(F.array().cast("array<array<double>>"), F.array().cast("array<int>")).alias("s")).first().s
     assert tuple(none) == (0.0, True)
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 10_000])
+def test_numbers_resolve_whatever_the_stretch(spark, stretch):
+    shards = [("a", 0, 0, 5), ("a", 1, 5, 5), ("a", 2, 5, 40), ("b", 0, 0, 3)]
+    docs = [(s, i) for s, n in (("a", 42), ("b", 4)) for i in range(n)]
+    got = sampling.resolve(spark.createDataFrame(docs, "source string, global_doc long"), spark.createDataFrame(shards, "source string, shard_id int, cum long, next_cum long"), stretch)
+    want = sorted((s, i, k, i - lo) for s, i in docs for t, k, lo, hi in shards if s == t and lo <= i < hi)
+    assert sorted((r.source, r.global_doc, r.shard_id, r.local_doc) for r in got.collect()) == want
