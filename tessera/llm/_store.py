@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a folder of this process is made
-    and set, so a machine-local path is never used on a cluster.
+    Only where that is unset in local mode (tests, a laptop) a folder of this process is
+    made and set; a cluster that names none is an error, as no machine-local folder would do.
     """
     jsc = spark.sparkContext._jsc.sc()
     found = jsc.getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return jsc.getCheckpointDir().get()
 
