@@ -19,6 +19,9 @@ MODULES = {
     "op8_simhash_near_dedup": "simhash",
     "op9_quality_cascade": "quality",
     "op10_hilbert_packing": "packing",
+    "op11_conversation_repair": "dialogue",
+    "op12_closed_itemsets": "itemsets",
+    "op13_polytope_near_dedup": "polytope",
 }
 
 
