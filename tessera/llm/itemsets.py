@@ -90,6 +90,7 @@ def _projected(narrow: DataFrame, wide: DataFrame, arcs: DataFrame) -> DataFrame
     """(v, later, n, earlier): baskets that hold v and a later neighbour, merged by the later neighbours they hold; ``earlier`` are in all of them."""
     ahead = arcs.groupBy("x").agg(F.sort_array(F.collect_list("y")).alias("ahead"))
     vertices = ahead.select(F.col("x").alias("item"), "ahead").unionByName(arcs.select(F.col("y").alias("item")).distinct().join(ahead.select(F.col("x").alias("item")), "item", "left_anti").withColumn("ahead", F.array().cast("array<bigint>")))
+    vertices = cut(vertices)  # so that the join below can split an item with many baskets
     lists = narrow.join(vertices, "item").groupBy("basket").agg(F.collect_list(F.struct("item", "ahead")).alias("l"), F.collect_list("item").alias("has")).where(F.size("l") > 1)
     here = lists.select(F.transform("l", lambda e: F.struct(e.item.alias("v"), F.array_intersect(e.ahead, F.col("has")).alias("later"))).alias("l"))
     before = lambda e: F.transform(F.filter("l", lambda o: F.array_contains(o.later, e.v)), lambda o: o.v)
