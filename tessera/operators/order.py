@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def prefix_sum(df: DataFrame, bucket: Sequence[str], order: Sequence[str], value: str, into: str) -> DataFrame:
-    """``df`` with the exclusive running sum of ``value`` in the order of (bucket, order).
+def prefix_sum(df: DataFrame, bucket: Sequence[str], order: Sequence[str], value: str, into: str, group: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the exclusive running sum of ``value`` in the order of (bucket, order), in each ``group`` anew.
 
     A window without partitions would gather all rows in one task. Here each bucket (a
     coarse leading part of the order) sums up first; only the buckets, one small row each,
     are summed in order, and the rows of a bucket run on from its base.
     """
-    sums = df.groupBy(*bucket).agg(F.sum(value).alias("_s"))
-    base = sums.select(*bucket, F.coalesce(F.sum("_s").over(W.orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    own = F.coalesce(F.sum(value).over(W.partitionBy(*bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.join(base, list(bucket)).withColumn(into, (F.col("_base") + own).cast("bigint")).drop("_base")
+    keys = [*group, *bucket]
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_s"))
+    base = sums.select(*keys, F.coalesce(F.sum("_s").over(W.partitionBy(*group).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.join(base, keys).withColumn(into, (F.col("_base") + own).cast("bigint")).drop("_base")
 
 
 def previous(df: DataFrame, bucket: Sequence[str], order: Sequence[str], value: str, into: str) -> DataFrame:

@@ -6,11 +6,13 @@ any draw, so draws split over tasks; a permutation's unit is a shard, which is a
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.operators.order import prefix_sum
 
 
 def stable_name_hash(name: str) -> int:
@@ -41,30 +43,42 @@ def source_draws(spark: SparkSession, names: Sequence[str], weights: Sequence[fl
     return spark.range(first, last, numPartitions=partitions).mapInPandas(run, "draw bigint, source string")
 
 
-def epoch_permutation(spark: SparkSession, source: str, shard_docs: Sequence[int], seed: int, epoch: int) -> DataFrame:
-    """(source, epoch, perm_pos, global_doc): shards in shuffled order, the documents of each shuffled."""
-    h = stable_name_hash(source)
-    order = np.random.default_rng(np.array([seed, h, epoch], np.uint64)).permutation(len(shard_docs))
-    first = np.concatenate(([0], np.cumsum(shard_docs)))
-    rows, at = [], 0
-    for shard in order.tolist():
-        rows.append((shard, int(first[shard]), int(shard_docs[shard]), at))
-        at += int(shard_docs[shard])
+def permutations(spark: SparkSession, shards: Mapping[str, Sequence[int]], seed: int, wanted: Sequence[tuple[str, int]]) -> DataFrame:
+    """(source, epoch, perm_pos, global_doc) of all ``wanted`` (source, epoch): shards in shuffled order, the documents of each shuffled.
+
+    The driver lays out shards alone; each shard's documents are shuffled where it is dealt to.
+    """
+    rows = []
+    for source, epoch in wanted:
+        h, docs = stable_name_hash(source), shards[source]
+        first, at = np.concatenate(([0], np.cumsum(docs))), 0
+        for shard in np.random.default_rng(np.array([seed, h, epoch], np.uint64)).permutation(len(docs)).tolist():
+            rows.append((source, epoch, shard, int(first[shard]), int(docs[shard]), at))
+            at += int(docs[shard])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard, offset, n, pos in b.itertuples(index=False):
-                local = np.random.default_rng(np.array([seed, h, epoch, shard], np.uint64)).permutation(n)
+            for source, epoch, shard, offset, n, pos in b.itertuples(index=False):
+                local = np.random.default_rng(np.array([seed, stable_name_hash(source), epoch, shard], np.uint64)).permutation(n)
                 yield pd.DataFrame({"source": source, "epoch": epoch, "perm_pos": pos + np.arange(n), "global_doc": local + offset})
 
-    shards = spark.createDataFrame(rows, "shard int, first bigint, n bigint, pos bigint").repartition(max(1, min(len(rows), 64)), "shard")
-    return shards.mapInPandas(run, "source string, epoch int, perm_pos bigint, global_doc bigint")
+    table = spark.createDataFrame(rows, "source string, epoch int, shard int, first bigint, n bigint, pos bigint")
+    return table.repartition(max(1, min(len(rows), 64)), "source", "epoch", "shard").mapInPandas(run, "source string, epoch int, perm_pos bigint, global_doc bigint")
 
 
-def with_positions(draws: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Draws with their ordinal in their source, and the epoch and position that falls on. ``sizes``: (source, n_docs)."""
-    ordinal = F.row_number().over(W.partitionBy("source").orderBy("draw")) - 1
-    placed = draws.withColumn("ordinal", ordinal.cast("bigint")).join(F.broadcast(sizes), "source")
+def epoch_permutation(spark: SparkSession, source: str, shard_docs: Sequence[int], seed: int, epoch: int) -> DataFrame:
+    """(source, epoch, perm_pos, global_doc): shards in shuffled order, the documents of each shuffled."""
+    return permutations(spark, {source: shard_docs}, seed, [(source, epoch)])
+
+
+def with_positions(draws: DataFrame, sizes: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """Draws with their ordinal in their source, and the epoch and position that falls on. ``sizes``: (source, n_docs), and ``base``, the documents drawn before, if not none.
+
+    Counted in stretches of draws, so that a source is not one task.
+    """
+    counted = prefix_sum(draws.withColumn("_stretch", F.expr(f"draw div {stretch}")).withColumn("_one", F.lit(1)), ["_stretch"], ["draw"], "_one", "ordinal", group=["source"]).drop("_stretch", "_one")
+    known = sizes if "base" in sizes.columns else sizes.withColumn("base", F.lit(0))
+    placed = counted.join(known, "source").withColumn("ordinal", (F.col("ordinal") + F.col("base")).cast("bigint")).drop("base")
     return placed.withColumn("epoch", F.call_function("div", F.col("ordinal"), F.col("n_docs")).cast("int")).withColumn("perm_pos", F.pmod("ordinal", "n_docs"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import packing, sampling
 from tessera.operators.order import prefix_sum
+from tessera.sources.shared import cut
 
 
 @dataclass(frozen=True)
@@ -35,31 +36,25 @@ class CanonicalStream:
         self.window, self.seed = seq_len + 1, seed
         self.sizes = {s: sum(n) for s, n in self.shards.items()}
 
-    def draws(self, first: int, last: int) -> DataFrame:
-        """(draw, source, ordinal, epoch, perm_pos, global_doc, n_tokens) of draws ``first`` to ``last``."""
-        all_draws = sampling.source_draws(self.spark, list(self.shards), self.weights, self.seed, 0, last)
-        table = self.spark.createDataFrame(list(self.sizes.items()), "source string, n_docs bigint")
-        placed = sampling.with_positions(all_draws, table).where(F.col("draw") >= first)
-        most = {r["source"]: r["e"] for r in placed.groupBy("source").agg(F.max("epoch").alias("e")).collect()}
-        perm = None
-        for source, top in most.items():
-            for epoch in range(top + 1):
-                p = sampling.epoch_permutation(self.spark, source, self.shards[source], self.seed, epoch)
-                perm = p if perm is None else perm.unionByName(p)
-        if perm is None:
-            perm = self.spark.createDataFrame([], "source string, epoch int, perm_pos bigint, global_doc bigint")
+    def draws(self, start: Position, last: int) -> DataFrame:
+        """(draw, source, ordinal, epoch, perm_pos, global_doc, n_tokens) of the draws after ``start`` up to ``last``; none before is made again."""
+        drawn = sampling.source_draws(self.spark, list(self.shards), self.weights, self.seed, start.draws, last)
+        table = [(s, n, start.epoch.get(s, 0) * n + start.consumed.get(s, 0)) for s, n in self.sizes.items()]
+        placed = cut(sampling.with_positions(drawn, self.spark.createDataFrame(table, "source string, n_docs bigint, base bigint")))
+        wanted = [(r["source"], e) for r in placed.groupBy("source").agg(F.min("epoch").alias("a"), F.max("epoch").alias("b")).collect() for e in range(r["a"], r["b"] + 1)]
+        perm = sampling.permutations(self.spark, self.shards, self.seed, wanted)
         return placed.join(perm, ["source", "epoch", "perm_pos"]).join(self.lengths, ["source", "global_doc"]).select("draw", "source", "ordinal", "epoch", "perm_pos", "global_doc", "n_tokens")
 
-    def enough(self, windows: int, start: Position = Position()) -> int:
-        """A number of draws that fills ``windows`` further windows: an estimate from the mean length, made longer if it falls short."""
+    def placed(self, windows: int, start: Position = Position()) -> DataFrame:
+        """Draws that fill ``windows`` further windows, with the running sum ``s`` of their lengths: a number estimated from the mean length, made longer if it falls short. Written once."""
         mean = self.lengths.agg(F.avg(F.col("n_tokens") + 1)).first()[0] or 1.0
-        need, n = windows * self.window - start.carry, 0
+        need = windows * self.window - start.carry
         guess = int(need / mean * 1.05) + 16
         while True:
-            last = start.draws + guess
-            n = self.draws(start.draws, last).agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 0
-            if n >= need:
-                return last
+            drawn = cut(self.draws(start, start.draws + guess))
+            if (drawn.agg(F.sum(F.col("n_tokens") + 1)).first()[0] or 0) >= need:
+                wide = drawn.withColumn("b", F.expr("draw div 4096")).withColumn("w", F.col("n_tokens") + 1)
+                return prefix_sum(wide, ["b"], ["draw"], "w", "s")
             guess = int(guess * 1.5) + 16
 
     def spans(self, windows: int, start: Position = Position()) -> DataFrame:
@@ -67,17 +62,14 @@ class CanonicalStream:
 
         What ``start`` carried over lies at the front of the first window and has no span.
         """
-        drawn = self.draws(start.draws, self.enough(windows, start)).withColumn("b", F.expr("draw div 4096")).withColumn("w", F.col("n_tokens") + 1)
-        placed = prefix_sum(drawn, ["b"], ["draw"], "w", "s").withColumn("stream_start", F.col("s") + start.carry)
-        cut = packing.spans(placed, self.window).where(F.col("global_window") < windows)
-        return cut.select("draw", "source", "global_doc", (F.col("global_window") + start.windows).alias("global_window"), "tok_start", "tok_end")
+        placed = self.placed(windows, start).withColumn("stream_start", F.col("s") + start.carry)
+        spans = packing.spans(placed, self.window).where(F.col("global_window") < windows)
+        return spans.select("draw", "source", "global_doc", (F.col("global_window") + start.windows).alias("global_window"), "tok_start", "tok_end")
 
     def position(self, windows: int, start: Position = Position()) -> Position:
         """Where the stream stands when ``windows`` further windows are out: documents are drawn until the last is full."""
-        drawn = self.draws(start.draws, self.enough(windows, start)).withColumn("b", F.expr("draw div 4096")).withColumn("w", F.col("n_tokens") + 1)
-        placed = prefix_sum(drawn, ["b"], ["draw"], "w", "s")
         need = windows * self.window - start.carry
-        used = placed.where(F.col("s") < need)
+        used = self.placed(windows, start).where(F.col("s") < need)
         told = used.agg(F.max("draw"), F.sum("w")).first()
         consumed, epoch = dict(start.consumed), dict(start.epoch)
         for r in used.groupBy("source").agg(F.max(F.struct("ordinal", "epoch", "perm_pos")).alias("m")).collect():
@@ -88,4 +80,4 @@ class CanonicalStream:
     def refs(self, windows: int, start: Position = Position()) -> DataFrame:
         """(source, global_doc) of all documents drawn for the next windows, the last among them however little of it is used."""
         end = self.position(windows, start)
-        return self.draws(start.draws, end.draws).select("source", "global_doc").distinct()
+        return self.draws(start, end.draws).select("source", "global_doc").distinct()

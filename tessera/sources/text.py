@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessera.functions.text import non_empty
+from tessera.operators.order import prefix_sum
 
 
 def parquet_text(spark: SparkSession, path: str | list[str], column: str = "text") -> DataFrame:
@@ -32,24 +33,24 @@ def segment_of(offset: Column, size: Column, workers: int) -> Column:
     return F.when(offset >= upper, k + 1).otherwise(k)
 
 
-def segments(spark: SparkSession, path: str, workers: int) -> DataFrame:
-    """(line, offset, worker) of text files cut into byte ranges; a line belongs to the range it begins in.
+def placed_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, offset, number, size): every line of text files with the byte and the count it begins at.
 
-    Files are read whole lines at a time from Spark's binary source, so each is one task's.
+    Spark cuts large files into byte ranges and finds the line ends there; a line's offset is the bytes of
+    all lines before it in its file, summed by range first. So no file is one task's, and none is held whole.
+    Lines end with a line feed alone; a carriage return is part of its line.
     """
-    def run(batches):
-        for b in batches:
-            for content in b["content"]:
-                lines = bytes(content).split(b"\n")
-                at, rows = 0, []
-                for x in lines:
-                    if x.strip():
-                        rows.append((x.decode("utf-8", "replace"), at, len(content)))
-                    at += len(x) + 1
-                yield pd.DataFrame(rows, columns=["line", "offset", "size"])
-
-    read = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line string, offset bigint, size bigint")
-    return read.select("line", "offset", segment_of(F.col("offset"), F.col("size"), workers).cast("int").alias("worker"))
+    meta = {"file": "file_path", "block": "file_block_start", "size": "file_size"}
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"), *(F.col(f"_metadata.{v}").alias(k) for k, v in meta.items()))
+    rows = read.withColumn("row", F.monotonically_increasing_id()).withColumn("bytes", F.octet_length("line") + 1).withColumn("one", F.lit(1))
+    at = prefix_sum(rows, ["block"], ["row"], "bytes", "offset", group=["file"])
+    return prefix_sum(at, ["block"], ["row"], "one", "number", group=["file"]).select("file", "line", "offset", "number", "size")
+
+
+def segments(spark: SparkSession, path: str | list[str], workers: int) -> DataFrame:
+    """(line, offset, worker) of text files cut into byte ranges, blank lines left out; a line belongs to the range it begins in."""
+    rows = placed_lines(spark, path).where(non_empty(F.trim(F.translate("line", "\t\r\x0b\f", "    "))))
+    return rows.select("line", "offset", segment_of(F.col("offset"), F.col("size"), workers).cast("int").alias("worker"))
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
