@@ -50,9 +50,11 @@ def split_by_weight(parts: DataFrame, total: int, order: str = "ordinal", weight
     return parts.withColumn("share", F.when(last, F.lit(total) - before).otherwise(floor).cast("bigint"))
 
 
-def worker_quota(total: int, workers: int, worker: Column) -> Column:
+def worker_quota(total: Column | int, workers: int, worker: Column) -> Column:
     """An equal share, and the remainder for the last worker."""
-    return F.when(worker == workers - 1, total - total // workers * (workers - 1)).otherwise(total // workers).cast("bigint")
+    whole = F.lit(total).cast("bigint")
+    share = F.call_function("div", whole, F.lit(workers).cast("bigint"))
+    return F.when(worker == workers - 1, whole - share * (workers - 1)).otherwise(share).cast("bigint")
 
 
 def round_robin(queues: dict[str, list[str]]) -> list[tuple[str, str]]:

@@ -79,10 +79,12 @@ def _(spark, d):
     return O.first_per_group(docs, ["source"], [F.col("doc_id")], F.col("share")).select("doc_id", "source", "share")
 
 
-@query("worker_quota", "SELECT CAST(k AS INTEGER) AS worker, CAST(CASE WHEN k = 6 THEN 1000 - 1000 // 7 * 6 ELSE 1000 // 7 END AS BIGINT) AS quota FROM range(7) t(k)")
+@query("worker_quota", "SELECT source, CAST(k AS INTEGER) AS worker, CAST(CASE WHEN k = 6 THEN n - n // 7 * 6 ELSE n // 7 END AS BIGINT) AS quota FROM (SELECT source, count(*) AS n FROM documents GROUP BY source), range(7) t(k)")
 def _(spark, d):
-    k = F.col("id").cast("int")
-    return spark.range(7).select(k.alias("worker"), O.worker_quota(1000, 7, k).alias("quota"))
+    """Each source's documents as quotas of seven workers."""
+    n = T(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    rows = n.select("source", "n", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("worker"))
+    return rows.select("source", "worker", O.worker_quota(F.col("n"), 7, F.col("worker")).alias("quota"))
 
 
 @query("worker_file_split", "SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY url, page_id) - 1 AS o FROM pages) WHERE o % 4 = 1")

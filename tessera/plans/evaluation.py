@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.catalog import query
 from tessera.functions import schedules as S, text as X
 from tessera.operators import evals as E
+from tessera.plans.corpus import sized
 from tessera.session import table as T
 
 SCORES = "scores AS (SELECT doc_id // 200 AS step, source AS category, lang AS task, round(avg(n_chars), 3) AS score FROM documents GROUP BY ALL)"
@@ -22,10 +23,12 @@ def _(spark, d):
     return g.select("event_type", F.round(S.perplexity(F.col("nll"), F.col("n")), 9).alias("ppl"))
 
 
-@query("perplexity_windows", "SELECT k AS length, CASE WHEN k < 17 THEN 0 ELSE (k - 1) // 16 END AS windows, CASE WHEN k < 17 THEN 0 ELSE (k - 1) // 16 * 16 END AS scored FROM range(1, 200) t(k)")
+@query("perplexity_windows", r"SELECT doc_id, k AS length, CASE WHEN k < 17 THEN 0 ELSE (k - 1) // 16 END AS windows, CASE WHEN k < 17 THEN 0 ELSE (k - 1) // 16 * 16 END AS scored FROM (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text,''), '[^ \t\n\x0b\f\r]+')) AS BIGINT) AS k FROM documents)")
 def _(spark, d):
-    w = F.greatest(F.expr("(id - 1) div 16"), F.lit(0).cast("bigint"))
-    return spark.range(1, 200).select(F.col("id").alias("length"), w.alias("windows"), (w * 16).alias("scored"))
+    """The whole windows of sixteen scored tokens that each document has."""
+    k = sized(spark, d).select("doc_id", F.col("n_tokens").alias("length"))
+    w = F.greatest(F.expr("(length - 1) div 16"), F.lit(0).cast("bigint"))
+    return k.select("doc_id", "length", w.alias("windows"), (w * 16).alias("scored"))
 
 
 @query("category_macro", f"WITH {SCORES} SELECT step, category, round(avg(score), 6) AS macro FROM scores GROUP BY step, category")
@@ -51,12 +54,13 @@ def _(spark, d):
     return p.groupBy("task").pivot("form", ["mc", "rc"]).agg(F.max("s")).select("task", "mc", "rc", F.greatest("mc", "rc").alias("best"))
 
 
-@query("suite_expand", """WITH RECURSIVE s(suite, member, i) AS (VALUES ('all','core',0),('all','math',1),('core','arc',0),('core','hella',1),('core','alg1',2),('math','gsm',0),('math','algebra',1),('algebra','alg1',0),('algebra','alg2',1)),
- w(name, path) AS (SELECT 'all', CAST('' AS VARCHAR) UNION ALL SELECT s.member, w.path || s.i FROM w JOIN s ON s.suite = w.name)
- SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS pos, name AS task FROM w WHERE name NOT IN (SELECT suite FROM s)""")
+@query("suite_expand", "SELECT CAST(row_number() OVER (ORDER BY source, lang) - 1 AS BIGINT) AS pos, source || ':' || lang AS task FROM (SELECT DISTINCT coalesce(source, '-') AS source, coalesce(lang, '-') AS lang FROM documents)")
 def _(spark, d):
-    suites = {"all": ["core", "math"], "core": ["arc", "hella", "alg1"], "math": ["gsm", "algebra"], "algebra": ["alg1", "alg2"]}
-    got = E.expand(suites, {"arc", "hella", "gsm", "alg1", "alg2"}, ["all"])
+    """The suite of all sources, each a suite of its languages, as its tasks in order."""
+    pairs = T(spark, d, "documents").select(F.coalesce("source", F.lit("-")).alias("source"), F.coalesce("lang", F.lit("-")).alias("lang")).distinct()
+    tasks = pairs.groupBy("source").agg(F.array_sort(F.collect_list(F.concat_ws(":", "source", "lang"))).alias("tasks")).orderBy("source").collect()  # a row a source
+    suites = {f"suite {r['source']}": r["tasks"] for r in tasks}
+    got = E.expand(suites | {"all": list(suites)}, {t for r in tasks for t in r["tasks"]}, ["all"])
     return spark.createDataFrame(list(enumerate(got)), "pos bigint, task string")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W, functions as F
 from tessera.catalog import query
 from tessera.functions import arrays as A, schedules as S
 from tessera.operators import order as O, packing as P, sampling
+from tessera.operators.stream import CanonicalStream, Position
 from tessera.plans.corpus import SIZED, manifest, sized, worded
 from tessera.session import table as T
 
@@ -85,16 +86,20 @@ def _(spark, d):
     return w.select("doc_id", A.inputs_and_labels(F.col("w")).alias("x")).select("doc_id", "x.*")
 
 
-@query("window_position", f"SELECT k AS global_window, k // {MICRO} AS microbatch, k % {MICRO} AS slot, k // {MICRO} % {WORLD} AS rank FROM range({PER_STEP}) t(k)")
+@query("window_position", f"WITH {SPANS} SELECT DISTINCT g AS global_window, g % {PER_STEP} // {MICRO} AS microbatch, g % {PER_STEP} % {MICRO} AS slot, g % {PER_STEP} // {MICRO} % {WORLD} AS rank FROM spans")
 def _(spark, d):
-    at = S.window_position(F.col("id"), F.lit(0).cast("bigint"), F.lit(MICROBATCHES).cast("bigint"), MICRO)
-    return spark.range(PER_STEP).select(F.col("id").alias("global_window"), at.alias("p")).select("global_window", "p.microbatch", "p.slot", S.owner_rank(F.col("p.microbatch"), WORLD).alias("rank"))
+    """Where in its step each window of the documents lies."""
+    g = F.col("global_window")
+    base = F.call_function("div", g, F.lit(PER_STEP).cast("bigint")) * PER_STEP
+    at = S.window_position(g, base, F.lit(MICROBATCHES).cast("bigint"), MICRO)
+    return fragments(spark, d).select("global_window").distinct().select("global_window", at.alias("p")).select("global_window", "p.microbatch", "p.slot", S.owner_rank(F.col("p.microbatch"), WORLD).alias("rank"))
 
 
-@query("accum_for_rank", "SELECT m AS microbatches, r AS rank, len([x for x in range(m) if x % 5 = r]) AS n FROM range(1, 24) a(m), range(5) b(r)")
+@query("accum_for_rank", "SELECT o_orderkey, m AS microbatches, r AS rank, len([x for x in range(m) if x % 5 = r]) AS n FROM (SELECT o_orderkey, o_orderkey % 23 + 1 AS m, o_custkey % 5 AS r FROM orders)")
 def _(spark, d):
-    m, r = spark.range(1, 24).select(F.col("id").alias("microbatches")), spark.range(5).select(F.col("id").alias("rank"))
-    return m.crossJoin(F.broadcast(r)).select("microbatches", "rank", S.accumulation(F.col("microbatches"), F.col("rank"), 5).alias("n"))
+    """The micro-batches of a step that a rank owns, for the steps and ranks that the orders stand for."""
+    o = T(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 23 + 1).alias("microbatches"), (F.col("o_custkey") % 5).alias("rank"))
+    return o.select("*", S.accumulation(F.col("microbatches"), F.col("rank"), 5).alias("n"))
 
 
 @query("join_stepdocs_documents", f"WITH {MAP} SELECT m.step, m.global_window, m.frag_idx, d.doc_id, d.lang, m.tok_end - m.tok_start AS n FROM map m JOIN documents d ON d.source = m.source AND d.doc_id // 50 = m.shard_id AND d.doc_id % 50 = m.local_doc")
@@ -181,51 +186,44 @@ def _(spark, d):
     return sampling.with_positions(draws, sizes).select("draw", "source", "ordinal", "epoch", "perm_pos")
 
 
-@query("rank_stride", "SELECT r AS rank, count(*) AS per_epoch, min(k) AS first_pos, max(k) AS last_pos FROM range(1003) t(k), range(8) w(r) WHERE k % 8 = r GROUP BY r")
+@query("rank_stride", "SELECT doc_id % 8 AS rank, count(*) AS per_epoch, min(doc_id) AS first_pos, max(doc_id) AS last_pos FROM documents GROUP BY 1")
 def _(spark, d):
-    k = spark.range(1003).withColumn("rank", F.pmod("id", F.lit(8)))
-    return k.groupBy("rank").agg(F.count("*").alias("per_epoch"), F.min("id").alias("first_pos"), F.max("id").alias("last_pos"))
+    """The documents of each of eight ranks, by their stride."""
+    return T(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(8)).alias("rank")).agg(F.count("*").alias("per_epoch"), F.min("doc_id").alias("first_pos"), F.max("doc_id").alias("last_pos"))
 
 
 @query("source_draws")
 def _(spark, d):
-    return sampling.source_draws(spark, ["a", "b", "c"], [0.5, 0.3, 0.2], 42, 0, 20_000)
+    """As many draws as there are documents, over the sources by their token shares."""
+    s, _ = stream(spark, d)
+    return sampling.source_draws(spark, list(s.shards), s.weights, 42, 0, sum(s.sizes.values()))
 
 
 @query("epoch_permutation")
 def _(spark, d):
-    return sampling.epoch_permutation(spark, "src1", [40, 0, 35, 30], 42, 1)
-
-
-def canonical(spark, first: int, last: int):
-    """Draws of two synthetic sources resolved to permuted documents, in draw order."""
-    sizes = {"a": 105, "b": 50}
-    draws = sampling.source_draws(spark, list(sizes), [0.6, 0.4], 5, 0, last)
-    perm = None
-    for s, n in sizes.items():
-        shards = [40, 35, 30] if s == "a" else [25, 25]
-        for epoch in range(-(-last // n)):
-            p = sampling.epoch_permutation(spark, s, shards, 5, epoch)
-            perm = p if perm is None else perm.unionByName(p)
-    at = sampling.with_positions(draws, spark.createDataFrame(list(sizes.items()), "source string, n_docs bigint"))
-    return at.where(F.col("draw") >= first).join(perm, ["source", "epoch", "perm_pos"]).select("draw", "source", "epoch", "global_doc")
+    """The second epoch's order of every source."""
+    s, _ = stream(spark, d)
+    return sampling.permutations(spark, s.shards, 42, [(x, 1) for x in s.shards])
 
 
 @query("canonical_stream")
 def _(spark, d):
-    return canonical(spark, 0, 300)
+    """As many draws as there are documents, resolved to them."""
+    s, _ = stream(spark, d)
+    return s.draws(Position(), sum(s.sizes.values())).select("draw", "source", "epoch", "global_doc")
 
 
 @query("resume_equals_continuous", "SELECT CAST(0 AS BIGINT) AS differences")
 def _(spark, d):
-    a, b = canonical(spark, 150, 300), canonical(spark, 0, 300).where("draw >= 150")
+    """Draws from a saved position, against those of the stream from its beginning."""
+    s, windows = stream(spark, d)
+    at, last = s.position(windows // 2), sum(s.sizes.values())
+    a, b = s.draws(at, last), s.draws(Position(), last).where(F.col("draw") >= at.draws)
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differences"))
 
 
 def stream(spark, d):
     """A canonical stream over the table's sources by their token shares, their documents in shards of five, and the windows its tokens fill."""
-    from tessera.operators.stream import CanonicalStream
-
     at = sized(spark, d).where("n_tokens > 0")
     lengths = at.select("source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint").alias("global_doc"), "n_tokens")
     told = {r["source"]: r for r in lengths.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}

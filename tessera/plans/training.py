@@ -8,55 +8,63 @@ from pyspark.sql import Window as W, functions as F
 from tessera.catalog import query
 from tessera.functions import arrays as A, names as N, schedules as S
 from tessera.operators import packing as P, telemetry as M
+from tessera.plans.corpus import sized
 from tessera.session import table as T
 
 PHASES = S.Phases(3_145_728, 4_718_592, 9_437_184, 4_000_000_000, 360_000_000_000)
-RUN = 400_000_000_000
 
-PLAN = """RECURSIVE p(step, c, w) AS (SELECT 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT step + 1, c + t * 16384, w + t * 4 FROM (SELECT *, (CASE WHEN c < 40000000 THEN 3145728 WHEN c < 200000000 THEN 4718592 ELSE 9437184 END + 16383) // 16384 AS t FROM p) WHERE c + t * 16384 < 400000000)"""
+#: A run over all tokens of the documents a hundred times, its batch growing at a tenth and at half of them; micro-batches of 4 x 64 tokens.
+PLAN = r"""RECURSIVE run AS MATERIALIZED (SELECT 100 * sum(len(regexp_extract_all(coalesce(text,''), '[^ \t\n\x0b\f\r]+'))) AS total FROM documents), p(step, c, w) AS (SELECT 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT step + 1, c + t * 256, w + t * 4 FROM (SELECT p.*, total, CASE WHEN c < total // 10 THEN 64 WHEN c < total // 2 THEN 256 ELSE 512 END AS t FROM p, run) WHERE c + t * 256 < total), plan AS (SELECT step, c, w, CAST(CASE WHEN c < total // 10 THEN 64 WHEN c < total // 2 THEN 256 ELSE 512 END AS BIGINT) AS t FROM p, run)"""
 
 
-@query("step_plan", f"WITH {PLAN} SELECT CAST(step AS BIGINT) AS step, c AS consumed_tokens, w AS base_window, CAST(t AS BIGINT) AS microbatches, CAST(t * 16384 AS BIGINT) AS tokens_this_step FROM (SELECT *, (CASE WHEN c < 40000000 THEN 3145728 WHEN c < 200000000 THEN 4718592 ELSE 9437184 END + 16383) // 16384 AS t FROM p)")
+def planned(spark, d):
+    total = 100 * (sized(spark, d).agg(F.sum("n_tokens")).first()[0] or 0)
+    return P.step_plan(spark, S.Phases(64 * 256, 256 * 256, 512 * 256, total // 10, total // 2), 4, 64, total)
+
+
+@query("step_plan", f"WITH {PLAN} SELECT CAST(step AS BIGINT) AS step, c AS consumed_tokens, w AS base_window, t AS microbatches, t * 256 AS tokens_this_step FROM plan")
 def _(spark, d):
-    return P.step_plan(spark, S.Phases(3_145_728, 4_718_592, 9_437_184, 40_000_000, 200_000_000), 4, 4096, 400_000_000)
+    return planned(spark, d)
 
 
-@query("run_totals", "SELECT CAST(80957 AS BIGINT) AS steps, CAST(400004481024 AS BIGINT) AS tokens")
+@query("run_totals", f"WITH {PLAN} SELECT microbatches, count(*) AS steps, CAST(sum(microbatches * 256) AS BIGINT) AS tokens FROM (SELECT t AS microbatches FROM plan) GROUP BY microbatches")
 def _(spark, d):
-    return P.step_plan(spark, PHASES, 4, 4096, RUN).agg(F.count("*").alias("steps"), F.sum("tokens_this_step").alias("tokens"))
+    """Steps and tokens of each batch size of the run."""
+    return planned(spark, d).groupBy("microbatches").agg(F.count("*").alias("steps"), F.sum("tokens_this_step").alias("tokens"))
 
 
-@query("batch_targets", "SELECT k * 5000000000 AS consumed, CAST(CASE WHEN k * 5000000000 < 4000000000 THEN 3145728 WHEN k * 5000000000 < 360000000000 THEN 4718592 ELSE 9437184 END AS BIGINT) AS target, CAST((CASE WHEN k * 5000000000 < 4000000000 THEN 3145728 WHEN k * 5000000000 < 360000000000 THEN 4718592 ELSE 9437184 END + 131071) // 131072 AS BIGINT) AS accumulation FROM range(81) t(k)")
+@query("batch_targets", "SELECT o_orderkey, c AS consumed, t AS target, (t + 131071) // 131072 AS accumulation FROM (SELECT *, CAST(CASE WHEN c < 4000000000 THEN 3145728 WHEN c < 360000000000 THEN 4718592 ELSE 9437184 END AS BIGINT) AS t FROM (SELECT o_orderkey, o_orderkey * 50000000 AS c FROM orders))")
 def _(spark, d):
-    c = F.col("id") * 5_000_000_000
-    return spark.range(81).select(c.alias("consumed"), PHASES.target(c).alias("target"), S.legacy_accumulation(PHASES.target(c), 4, 4096, F.lit(8)).alias("accumulation"))
+    c = F.col("o_orderkey") * 50_000_000
+    return T(spark, d, "orders").select("o_orderkey", c.alias("consumed"), PHASES.target(c).alias("target"), S.legacy_accumulation(PHASES.target(c), 4, 4096, F.lit(8)).alias("accumulation"))
 
 
-def _points(spark):
-    return spark.range(0, 201).select((F.col("id") * 5_000_000).alias("c"))
+def _points(spark, d):
+    """Consumed tokens of a run of a billion, as the orders' keys stand for them."""
+    return T(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 66_667 % 1_100_000_000).alias("c"))
 
 
-C = "(SELECT k * 5000000 AS c FROM range(201) t(k))"
+C = "(SELECT o_orderkey, o_orderkey * 66667 % 1100000000 AS c FROM orders)"
 
 
-@query("lr_cosine", f"SELECT c, round(CASE WHEN c < 20e6 THEN 3e-4 * c / 20e6 ELSE 3e-5 + 0.5 * 2.7e-4 * (1 + cos(pi() * greatest(0, least(1, (c - 20e6) / 980e6)))) END, 12) AS lr FROM {C}")
+@query("lr_cosine", f"SELECT o_orderkey, c, round(CASE WHEN c < 20e6 THEN 3e-4 * c / 20e6 ELSE 3e-5 + 0.5 * 2.7e-4 * (1 + cos(pi() * greatest(0, least(1, (c - 20e6) / 980e6)))) END, 12) AS lr FROM {C}")
 def _(spark, d):
-    return _points(spark).select("c", F.round(S.lr_cosine(F.col("c"), 3e-4, 20e6, 1e9, 0.1), 12).alias("lr"))
+    return _points(spark, d).select("o_orderkey", "c", F.round(S.lr_cosine(F.col("c"), 3e-4, 20e6, 1e9, 0.1), 12).alias("lr"))
 
 
-@query("lr_wsd", f"SELECT c, round(CASE WHEN c < 20e6 THEN 3e-4 * c / 20e6 WHEN c < 8e8 THEN 3e-4 ELSE 3e-4 - 3e-4 * greatest(0, least(1, (c - 8e8) / 2e8)) END, 12) AS lr FROM {C}")
+@query("lr_wsd", f"SELECT o_orderkey, c, round(CASE WHEN c < 20e6 THEN 3e-4 * c / 20e6 WHEN c < 8e8 THEN 3e-4 ELSE 3e-4 - 3e-4 * greatest(0, least(1, (c - 8e8) / 2e8)) END, 12) AS lr FROM {C}")
 def _(spark, d):
-    return _points(spark).select("c", F.round(S.lr_wsd(F.col("c"), 3e-4, 20e6, 1e9, 0.8, 0.0), 12).alias("lr"))
+    return _points(spark, d).select("o_orderkey", "c", F.round(S.lr_wsd(F.col("c"), 3e-4, 20e6, 1e9, 0.8, 0.0), 12).alias("lr"))
 
 
-@query("lr_linear_anneal", f"SELECT c, round(CASE WHEN c < 20e6 THEN 3e-4 * c / 20e6 WHEN c < 5e8 THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * greatest(0, least(1, (c - 5e8) / 5e8)) END, 12) AS lr FROM {C}")
+@query("lr_linear_anneal", f"SELECT o_orderkey, c, round(CASE WHEN c < 20e6 THEN 3e-4 * c / 20e6 WHEN c < 5e8 THEN 3e-4 ELSE 3e-4 + (3e-5 - 3e-4) * greatest(0, least(1, (c - 5e8) / 5e8)) END, 12) AS lr FROM {C}")
 def _(spark, d):
-    return _points(spark).select("c", F.round(S.lr_linear_anneal(F.col("c"), 3e-4, 20e6, 1e9, 5e8, 0.1), 12).alias("lr"))
+    return _points(spark, d).select("o_orderkey", "c", F.round(S.lr_linear_anneal(F.col("c"), 3e-4, 20e6, 1e9, 5e8, 0.1), 12).alias("lr"))
 
 
-@query("lr_rewarm", f"SELECT c, round(CASE WHEN c - 3e8 < 5e7 THEN 3e-4 * greatest(0, (c - 3e8) / 5e7) ELSE 3e-4 END, 12) AS lr FROM {C}")
+@query("lr_rewarm", f"SELECT o_orderkey, c, round(CASE WHEN c - 3e8 < 5e7 THEN 3e-4 * greatest(0, (c - 3e8) / 5e7) ELSE 3e-4 END, 12) AS lr FROM {C}")
 def _(spark, d):
-    return _points(spark).select("c", F.round(S.rewarmed(F.lit(3e-4), F.col("c"), F.lit(3e8), 5e7), 12).alias("lr"))
+    return _points(spark, d).select("o_orderkey", "c", F.round(S.rewarmed(F.lit(3e-4), F.col("c"), F.lit(3e8), 5e7), 12).alias("lr"))
 
 
 @query("anchor_inheritance", "SELECT event_id, last_value(CASE WHEN event_id % 50 = 7 THEN event_id END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS anchor FROM events")
@@ -105,10 +113,11 @@ def _(spark, d):
     return M.halts(fresh, 100, 3)
 
 
-@query("mfu", "SELECT k AS layers, 72*k*64*64 + 12*k*128*64 + 6*1000*64 AS flops, round(1e6 * (72*k*64*64 + 12*k*128*64 + 6*1000*64) / 8e15, 12) AS mfu FROM range(1, 9) t(k)")
+@query("mfu", "SELECT p_partkey, p_size AS layers, f AS flops, round(p_retailprice * 1e3 * f / 8e15, 12) AS mfu FROM (SELECT *, CAST(72 * p_size * 64 * 64 + 12 * p_size * 128 * 64 + 6 * 1000 * 64 AS BIGINT) AS f FROM part)")
 def _(spark, d):
-    f = S.flops_per_token(F.col("id"), F.lit(64), F.lit(128), F.lit(1000))
-    return spark.range(1, 9).select(F.col("id").alias("layers"), f.alias("flops"), F.round(S.mfu(F.lit(1e6), f, 8), 12).alias("mfu"))
+    """Utilisation for models of as many layers as a part's size, at its price in thousands of tokens a second."""
+    f = S.flops_per_token(F.col("p_size").cast("bigint"), F.lit(64), F.lit(128), F.lit(1000)).cast("bigint")
+    return T(spark, d, "part").select("p_partkey", F.col("p_size").alias("layers"), f.alias("flops"), F.round(S.mfu(F.col("p_retailprice") * 1e3, f, 8), 12).alias("mfu"))
 
 
 @query("clip_coefficient", "SELECT event_id, round(least(1.0 / (value + 1e-6), 1.0), 9) AS c FROM events WHERE value >= 0")
@@ -142,27 +151,28 @@ def _(spark, d):
     return T(spark, d, "embeddings").select("vec_id", F.round(A.log_sum_exp(e), 9).alias("lse"))
 
 
-NAMES = "(SELECT k, CASE k % 9 WHEN 0 THEN 'tok_embeddings.weight' WHEN 1 THEN 'layers.' || k || '.attn.wq.weight' WHEN 2 THEN 'layers.' || k || '.ffn.w_up.weight' WHEN 3 THEN 'layers.' || k || '.ffn_norm.weight' WHEN 4 THEN 'output.weight' WHEN 5 THEN 'blocks.' || k || '.attn.weight_scale' WHEN 6 THEN 'final_norm.weight' WHEN 7 THEN 'rope.freqs' ELSE 'my.blocks.' || k || '.w_gate' END AS name FROM range(90) t(k))"
+NAMES = "(SELECT k, CASE k % 9 WHEN 0 THEN 'tok_embeddings.weight' WHEN 1 THEN 'layers.' || k || '.attn.wq.weight' WHEN 2 THEN 'layers.' || k || '.ffn.w_up.weight' WHEN 3 THEN 'layers.' || k || '.ffn_norm.weight' WHEN 4 THEN 'output.weight' WHEN 5 THEN 'blocks.' || k || '.attn.weight_scale' WHEN 6 THEN 'final_norm.weight' WHEN 7 THEN 'rope.freqs' ELSE 'my.blocks.' || k || '.w_gate' END AS name FROM (SELECT p_partkey AS k FROM part))"
 
 
-def parameters(spark):
-    k = F.col("id")
+def parameters(spark, d):
+    """A parameter for each part, in nine forms of names."""
+    k = F.col("p_partkey")
     forms = ["tok_embeddings.weight", ("layers.", ".attn.wq.weight"), ("layers.", ".ffn.w_up.weight"), ("layers.", ".ffn_norm.weight"), "output.weight", ("blocks.", ".attn.weight_scale"), "final_norm.weight", "rope.freqs", ("my.blocks.", ".w_gate")]
     out = F.lit(None).cast("string")
     for i, f in enumerate(forms):
         out = F.when(k % 9 == i, F.lit(f) if isinstance(f, str) else F.concat(F.lit(f[0]), k.cast("string"), F.lit(f[1]))).otherwise(out)
-    return spark.range(90).select(k.alias("k"), out.alias("name"), F.when(k % 9 == 3, 1).when(k % 9 == 6, 1).otherwise(2).alias("dims"))
+    return T(spark, d, "part").select(k.alias("k"), out.alias("name"), F.when(k % 9 == 3, 1).when(k % 9 == 6, 1).otherwise(2).alias("dims"))
 
 
 @query("parameter_categories", f"SELECT k, name, CASE WHEN contains(name, 'weight_scale') THEN 'lsq_scale' WHEN contains(name, 'embed') THEN 'embed' WHEN contains(name, 'lm_head') OR suffix(name, 'output.weight') THEN 'lm_head' WHEN contains(name, '.attn.') THEN 'attn' WHEN regexp_matches(name, '\\.ffn\\.|w_gate|w_up|w_down') THEN 'ffn' WHEN contains(name, 'norm') THEN 'norm' ELSE 'other' END AS category, TRY_CAST(nullif(regexp_extract(name, '(?:^|\\.)(?:layers|blocks)\\.(\\d+)(?:\\.|$)', 1), '') AS INTEGER) AS layer FROM {NAMES}")
 def _(spark, d):
     n = F.col("name")
-    return parameters(spark).select("k", "name", N.category(n).alias("category"), N.layer_index(n).alias("layer"))
+    return parameters(spark, d).select("k", "name", N.category(n).alias("category"), N.layer_index(n).alias("layer"))
 
 
 @query("optimizer_groups", f"SELECT CASE WHEN k % 9 IN (3, 6) OR contains(name, 'norm') OR contains(name, 'embed') THEN 'no_decay' ELSE 'decay' END AS grp, count(*) AS params, CAST(sum((k + 1) * 10) AS BIGINT) AS numel, count(*) FILTER (WHERE k % 9 NOT IN (3, 6) AND NOT regexp_matches(name, 'tok_embeddings|output|norm')) AS hidden FROM {NAMES} GROUP BY grp")
 def _(spark, d):
-    p, n = parameters(spark), F.col("name")
+    p, n = parameters(spark, d), F.col("name")
     group = F.when(N.no_decay(F.col("dims"), n, ["norm", "embed"]), "no_decay").otherwise("decay")
     return p.groupBy(group.alias("grp")).agg(F.count("*").alias("params"), F.sum((F.col("k") + 1) * 10).alias("numel"), F.count_if(N.hidden_matrix(F.col("dims"), n)).alias("hidden"))
 
