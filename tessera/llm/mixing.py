@@ -98,31 +98,31 @@ def told_apart(rows: DataFrame, found: DataFrame, hash: str = "hash", part: str
     return joined.where("_twin_before is null").unionByName(more).select(*rows.columns)
 
 
-def plan_mix(sized: DataFrame, most: int = 3, near: float = 0.001) -> tuple[DataFrame, int]:
+def plan_mix(sized: DataFrame, most: int = 3) -> tuple[DataFrame, int]:
     """The mix of ``sized`` (source, size, hash) as a row per source, and how many there are.
 
     (source, source_size, target, times, rounds, one): a document is taken ``times`` times,
     and once more if ``once_more`` says so. A document that does not fit into what is left
     of its source's budget is passed over: each further round finds a threshold among the
-    hashes behind the last one, for documents that fit, until none does or what is left is
-    no more than ``near`` of the target. It is less than the document that crossed, so
-    rounds are few. ``one`` is the hash of a last
+    hashes behind the last one, for documents that fit, until none does. What is left is less
+    than the document that crossed, so each round looks through the documents of the round before
+    that are short enough alone, and these are soon few. ``one`` is the hash of a last
     document that brings its source nearer to the target.
     """
     totals = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     n = totals.count()
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     taken = F.array().cast("array<struct<after:bigint,edge:bigint,fits:double>>")
-    open_ = F.when(F.col("budget") > near * F.col("target"), F.col("budget")).otherwise(0.0)
     plan = cut(targets(totals, most).withColumn("times", times).select("*", (F.col("target") - F.col("times") * F.col("source_size")).alias("budget"), F.lit(-1).cast("bigint").alias("after"), taken.alias("rounds")))
     same = F.col("d.source").eqNullSafe(F.col("p.source"))
+    fit = sized
     while True:
-        fit = sized.alias("d").join(_known(plan.select("source", open_.alias("budget"), "after"), n).alias("p"), same & (F.col("hash") > F.col("after")) & F.col("size").between(1, F.col("budget"))).select("d.source", "size", "hash")
+        fit = cut(fit.alias("d").join(_known(plan.select("source", "budget", "after"), n).alias("p"), same & (F.col("hash") > F.col("after")) & F.col("size").between(1, F.col("budget"))).select("d.source", "size", "hash"))
         if fit.isEmpty():
             break
         edge = thresholds(fit, plan.select("source", "budget"), n).select(F.col("source").alias("of"), "edge", "low")
         end = F.coalesce("edge", F.lit(1 << BITS * LEVELS))
-        step = F.struct("after", end.alias("edge"), open_.alias("fits"))
+        step = F.struct("after", end.alias("edge"), F.col("budget").alias("fits"))
         plan = cut(plan.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "times", (F.col("budget") - F.coalesce("low", F.lit(0))).alias("budget"), end.alias("after"), F.concat("rounds", F.array(step)).alias("rounds")))
     off = F.abs(F.col("size") - F.col("budget"))
     spare = sized.where("size > 0").alias("d").join(_known(plan, n).alias("p"), same).where(~_under() & (F.col("times") < most) & (off < F.col("budget")))

@@ -501,6 +501,33 @@ def test_mix_takes_small_documents_behind_huge_ones(spark):
         assert abs(r.taken - r.target) <= 11
 
 
+def test_mix_takes_what_a_walk_along_the_hashes_takes(spark):
+    """In order of the hashes every document that still fits, until nothing does; then perhaps one that brings its source nearer."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"w{i}"] * rng.choice([1, 2, 5, 9, 30, 31, 200, 900])), rng.choice(["a", "a", "a", "a", "b", "c", "d", "e"])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    hashed = {r.id: r for r in mixing._sized(df, "text", "source", "doc_id", 7).collect()}
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    left = 0
+    for source in "abcde":
+        docs = sorted((r for r in hashed.values() if r.source == source), key=lambda r: r.hash)
+        one = got[docs[0].id]
+        times, taken = int(one.target // one.source_size), set()
+        budget = one.target - times * one.source_size
+        for r in docs:
+            if r["size"] <= budget:
+                taken.add(r.id)
+                budget -= r["size"]
+        assert not [r for r in docs if r.id not in taken and r["size"] <= budget] or times == 3
+        best = min(((abs(r["size"] - budget), r.hash, r.id) for r in docs if r.id not in taken and times < 3 and abs(r["size"] - budget) < budget), default=None)
+        taken |= {best[2]} if best else set()
+        assert {r.id: times + (r.id in taken) for r in docs} == {r.id: got[r.id].copies for r in docs}
+        left += bool(taken)
+    assert left > 2
+
+
 # 8
 
 
