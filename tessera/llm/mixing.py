@@ -61,12 +61,15 @@ def thresholds(sized: DataFrame, budgets: DataFrame, n_sources: int) -> DataFram
     """
     found = budgets.select("source", F.lit(0).cast("bigint").alias("edge"), F.lit(0).cast("bigint").alias("low"), "budget")
     for level in range(1, LEVELS + 1):
-        inside = sized.alias("d").join(_known(found, n_sources).alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (_prefix(level - 1) == F.col("edge")))
-        sums = inside.select("d.source", "size", "low", "budget", _prefix(level).alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.first("low").alias("low"), F.first("budget").alias("budget"))
+        inside = sized.alias("d").join(_known(found.select("source", "edge", "low", "budget"), n_sources).alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (_prefix(level - 1) == F.col("edge")))
+        sums = inside.select("d.source", "size", "low", "budget", _prefix(level).alias("bucket"), "hash").groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.first("low").alias("low"), F.first("budget").alias("budget"), F.count("*").alias("n"), F.min("hash").alias("hash"))
         run = sums.withColumn("upto", F.col("low") + F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
-        crossing = F.min(F.when(F.col("upto") > F.col("budget"), F.struct(F.col("bucket").alias("edge"), (F.col("upto") - F.col("size")).alias("low"), "budget")))
+        crossing = F.min(F.when(F.col("upto") > F.col("budget"), F.struct(F.col("bucket").alias("edge"), (F.col("upto") - F.col("size")).alias("low"), "budget", "n", "hash")))
         found = cut(run.groupBy("source").agg(crossing.alias("c")).where("c is not null").select("source", "c.*"))
-    return found
+        if (found.agg(F.max("n")).first()[0] or 1) == 1:  # a document a bucket: its hash is the threshold
+            found = found.withColumn("edge", F.col("hash"))
+            break
+    return found.select("source", "edge", "low", "budget")
 
 
 def _hash(id_col: str, text: str, seed: int) -> Column:
