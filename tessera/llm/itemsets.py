@@ -69,21 +69,24 @@ def peeled(edges: DataFrame, slow: float = 0.1) -> DataFrame:
     under ``slow`` of what is left (long chains), rounds go on up to one and a half times the
     mean degree, which takes a third of it at least and gives three times the degeneracy at most.
     """
-    left = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    held = lambda df: cut(df.coalesce(cores))  # noqa: E731  the graph is far smaller than the baskets; a round has a task a core
+    left = held(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
     out, k, n, rushed = None, 0, 0, False
     while True:
-        degree = cut(left.groupBy("u").agg(F.count("*").alias("d")))
-        low, mean, there = degree.agg(F.min("d"), F.avg("d"), F.count("*")).first()
+        degree = held(left.groupBy("u").agg(F.count("*").alias("d")))
+        counts = {r["d"]: r["n"] for r in degree.groupBy("d").agg(F.count("*").alias("n")).collect()}  # distinct degrees: no more than the root of twice the edges
+        there = sum(counts.values())
         if not there:
             # Vertices that lost all their neighbours before their own turn come last: they have none behind them.
             every = edges.select(F.col("a").alias("item")).unionByName(edges.select(F.col("b").alias("item"))).distinct()
             return cut(every.withColumn("round", F.lit(n)) if out is None else out.unionByName(every.join(out, "item", "left_anti").withColumn("round", F.lit(n))))
-        k = max(k, low, int(1.5 * mean) if rushed else 0)
+        k = max(k, min(counts), int(1.5 * sum(d * m for d, m in counts.items()) / there) if rushed else 0)
         taken = degree.where(F.col("d") <= k).select(F.col("u").alias("item"), F.lit(n).alias("round"))
         out = taken if out is None else out.unionByName(taken)
         gone = taken.select("item")
-        left = cut(left.join(gone, left.u == gone.item, "left_anti").join(gone, left.v == gone.item, "left_anti"))
-        rushed, n = rushed or taken.count() < slow * there, n + 1
+        left = held(left.join(gone, left.u == gone.item, "left_anti").join(gone, left.v == gone.item, "left_anti"))
+        rushed, n = rushed or sum(m for d, m in counts.items() if d <= k) < slow * there, n + 1
 
 
 def _projected(narrow: DataFrame, wide: DataFrame, arcs: DataFrame) -> DataFrame:
