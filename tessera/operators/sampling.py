@@ -6,13 +6,18 @@ any draw, so draws split over tasks; a permutation's unit is a shard, which is a
 
 from __future__ import annotations
 
+import array
+import random
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.functions.text import blank
 from tessera.operators.order import prefix_sum
+from tessera.sources.shared import cut
 
 
 def stable_name_hash(name: str) -> int:
@@ -95,30 +100,36 @@ def resolve(docs: DataFrame, cumulative: DataFrame, stretch: int = 256) -> DataF
     return docs.alias("d").join(near.alias("c"), (F.col("d.source") == F.col("c.source")) & (div(F.col("global_doc")) == F.col("_at")) & inside).select("d.*", "c.shard_id", (F.col("global_doc") - F.col("cum")).alias("local_doc"))
 
 
-def bucket_shuffle(rows: DataFrame, seed: int, buckets: int = 512, order: str = "pos", text: str = "text") -> DataFrame:
+def bucket_shuffle(rows: DataFrame, seed: int, buckets: int = 512, order: str = "pos", text: str = "text", stretch: int = 1 << 22) -> DataFrame:
     """``rows`` shuffled by two deterministic passes, blank lines dropped, as ``out_bucket`` and ``out_pos``.
 
-    Pass one deals lines to buckets by one generator in line order; that is done by number
-    in a single task, eight bytes a line. Pass two shuffles the numbers of each bucket on its
-    own; the lines themselves are only joined to them (``order`` is unique).
+    Pass one deals lines to buckets by one generator in line order (``order`` is unique): lines are
+    numbered by ranges, and the generator's draws come from any number of tasks (``twister.below``).
+    Pass two shuffles each bucket by a generator of its own, which needs the bucket's size alone: a
+    task a bucket writes out its places, four or eight bytes a line, and the lines are joined to them. No
+    task gathers the lines of a bucket. A blank line is null, empty or of Unicode white space.
     """
-    import random
-
-    kept = rows.where(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r")) != "")
-    numbers = kept.select(order)
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = random.Random(seed)
+    from tessera.operators import twister
+
+    spark = rows.sparkSession
+    kept = rows.where(~blank(F.col(text)))
+    # The parts are ranges of the order; numbers run on from part to part.
+    ranged = cut(kept.select(F.col(order).alias("key")).repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    numbered = prefix_sum(ranged.withColumn("one", F.lit(1)), ["part"], ["key"], "one", "number").select("key", "number")
+    draws = twister.below(spark, seed, buckets, ranged.count(), stretch).withColumnRenamed("drawn", "bucket")
+    dealt = cut(numbered.join(draws, "number").select("key", "bucket", "number", F.expr(f"number div {stretch}").alias("stretch"), F.lit(1).alias("one")))
+    placed = prefix_sum(dealt, ["stretch"], ["number"], "one", "at", group=["bucket"]).select("key", "bucket", "at")
+    sizes = cut(dealt.groupBy("bucket").agg(F.count("*").alias("n")))
+
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({order: b[order], "out_bucket": [rng.randrange(buckets) for _ in range(len(b))]})
-
-    def shuffle(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order)
-        i, at = int(b["out_bucket"].iloc[0]), list(range(len(b)))
-        random.Random(seed * 1_000_003 + i + 1).shuffle(at)
-        return b.iloc[at].assign(out_pos=range(len(b)))
-
-    kind = rows.schema[order].dataType.simpleString()
-    dealt = numbers.repartitionByRange(1, order).sortWithinPartitions(order).mapInPandas(deal, f"{order} {kind}, out_bucket int")
-    placed = dealt.groupBy("out_bucket").applyInPandas(shuffle, f"{order} {kind}, out_bucket int, out_pos int")
-    return kept.join(placed, order)
+            for bucket, n in zip(b.column("bucket").to_pylist(), b.column("n").to_pylist(), strict=True):
+                at = array.array("I" if n < 1 << 32 else "Q", range(n))
+                random.Random(seed * 1_000_003 + bucket + 1).shuffle(at)
+                for lo in range(0, n, 1 << 18):
+                    part = np.array(at[lo : lo + (1 << 18)], np.int64)
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(part), bucket, np.int64)), "out_pos": pa.array(np.arange(lo, lo + len(part))), "at": pa.array(part)})
+
+    out = sizes.repartition(max(1, min(buckets, spark.sparkContext.defaultParallelism * 8)), "bucket").mapInArrow(shuffle, "bucket bigint, out_pos bigint, at bigint")
+    told = placed.join(out, ["bucket", "at"]).select(F.col("key").alias(order), F.col("bucket").cast("int").alias("out_bucket"), F.col("out_pos").cast("int").alias("out_pos"))
+    return kept.join(told, order)

@@ -225,7 +225,7 @@ def _(spark, d):
     return words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query("bucket_shuffle_multiset", r"SELECT text, count(*) AS n FROM documents WHERE regexp_matches(text, '[^ \t\n\x0b\f\r]') GROUP BY text")
+@query("bucket_shuffle_multiset", f"SELECT text, count(*) AS n FROM documents WHERE NOT regexp_matches(text, {BLANK}) GROUP BY text")
 def _(spark, d):
     rows = T(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text")
     return sampling.bucket_shuffle(rows, 1, 8).groupBy("text").agg(F.count("*").alias("n"))

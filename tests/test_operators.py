@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A, schedules as S, text as X
-from tessera.operators import evals, order as O, packing as P, sampling, telemetry, verify as V
+from tessera.operators import evals, order as O, packing as P, sampling, telemetry, twister, verify as V
 from tessera.sources import idx, manifests, text as T
 
 
@@ -264,3 +264,38 @@ def test_batch_digests_name_the_type(spark):
     want = hashlib.blake2b(b"\0" * 32 + named(b"input_ids", a[:2]) + named(b"labels", a[1:]), digest_size=32).hexdigest()
     got = V.batch_digests(spark.createDataFrame([(0, 0, a.tolist())], "rank int, step int, tokens array<long>")).first().digest
     assert got == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 623, 624, 20_000, 300_017])
+def test_the_twister_from_any_place(n):
+    want = random.Random(5)
+    want.getrandbits(32 * n) if n else None
+    assert twister.advanced(5, n).random_raw(700).tolist() == [want.getrandbits(32) for _ in range(700)]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 8, 512, 1000, 1 << 31])
+def test_draws_in_order_from_many_tasks(spark, limit):
+    got = twister.below(spark, 11, limit, 5000, stretch=700).orderBy("number").collect()
+    rng = random.Random(11)
+    assert [tuple(r) for r in got] == [(i, rng.randrange(limit)) for i in range(5000)]
+
+
+def test_no_draws(spark):
+    assert twister.below(spark, 1, 8, 0).count() == 0
+    with pytest.raises(ValueError):
+        twister.below(spark, 1, 0, 5)
+
+
+@pytest.mark.parametrize("seed", [3, -3, 1 << 70])
+def test_bucket_shuffle_over_many_stretches(spark, seed):
+    """Text keys, white space of any script, nulls and equal texts, against the plain walk."""
+    texts = [None if i % 11 == 0 else "  \t" if i % 7 == 0 else f"same{i % 5}" for i in range(4000)]
+    rows = spark.createDataFrame([(f"{i:06d}", t, i) for i, t in enumerate(texts)], "pos string, text string, `number` int").repartition(5)
+    got = sampling.bucket_shuffle(rows, seed, 48, stretch=512).orderBy("out_bucket", "out_pos").select("pos", "out_pos").collect()
+    rng, buckets = random.Random(seed), [[] for _ in range(48)]
+    for i, t in enumerate(texts):
+        if t and t.strip():
+            buckets[rng.randrange(48)].append(f"{i:06d}")
+    for k, b in enumerate(buckets):
+        random.Random(seed * 1_000_003 + k + 1).shuffle(b)
+    assert [tuple(r) for r in got] == [(x, j) for b in buckets for j, x in enumerate(b)]
