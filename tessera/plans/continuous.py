@@ -11,8 +11,8 @@ from tessera.operators.tree import tree_total
 from tessera.plans.corpus import SIZED
 from tessera.plans.lineage import SEQ
 from tessera.session import table as T
-from tessera.sources import mirror, shared, text as S
-from tessera.streaming import pull as P
+from tessera.sources import mirror, pullers, shared, text as S
+from tessera.streaming import logs, pull as P
 
 WORLD = 8
 
@@ -133,3 +133,33 @@ def _(spark, d):
     told = P.written(T(spark, d, "orders").select("o_orderkey", "o_custkey"), path, rows=F.count("*"), keys=F.coalesce(F.sum("o_custkey"), F.lit(0)))
     there = spark.read.parquet(path).agg(F.count("*").alias("rows"), F.coalesce(F.sum("o_custkey"), F.lit(0)).alias("keys"))
     return there.withColumn("same", (F.col("rows") == told["rows"]) & (F.col("keys") == told["keys"]))
+
+
+@query("logged_metrics", "SELECT event_id AS step, event_type AS kind, value FROM events")
+def _(spark, d):
+    """A stream of metrics to JSON lines, whose newest batch is then written again as after a crash: each record is there once."""
+    schema = T(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("event_id").alias("step"), F.col("event_type").alias("kind"), "value")
+    path = shared.fresh(spark, "metrics")
+    for _ in range(2):
+        logs.lines(stream, path, "a").trigger(availableNow=True).start().awaitTermination()
+        shared.delete(spark, f"{path}/_checkpoints/a/commits/0")
+    return logs.records(spark, path, "step bigint, kind string, value double").select("step", "kind", "value")
+
+
+@query("grad_norm_log", "SELECT CAST(event_id // 10 AS BIGINT) AS step, round_even(sqrt(sum(value * value)), 6) AS whole, count(DISTINCT event_type) AS categories, count(DISTINCT user_id % 4) AS layers, least(count(*), 3) AS top FROM events GROUP BY event_id // 10")
+def _(spark, d):
+    """The gradient log's lines, read back."""
+    e = T(spark, d, "events")
+    rows = e.select(F.expr("event_id div 10").alias("step"), F.col("event_id").alias("consumed_tokens"), F.col("event_id").cast("string").alias("name"), (F.col("event_id") % 10).alias("ordinal"), F.col("event_type").alias("category"), (F.col("user_id") % 4).alias("layer"), F.col("value").alias("norm"))
+    got = logs.norm_records(rows, 3).select(F.from_json("line", "step bigint, global double, by_category map<string,double>, by_layer map<string,double>, top array<array<string>>").alias("r"))
+    return got.select("r.step", F.col("r.global").alias("whole"), F.size("r.by_category").cast("bigint").alias("categories"), F.size("r.by_layer").cast("bigint").alias("layers"), F.size("r.top").cast("bigint").alias("top"))
+
+
+@query("pulled_by_sql", "WITH q AS (SELECT source, count(*) // 3 + 1 AS n FROM documents GROUP BY source), r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT r.source, doc_id, n_chars FROM r JOIN q ON r.source = q.source WHERE k <= n")
+def _(spark, d):
+    """A third of each source by a table function in SQL, joined to the quotas."""
+    docs = T(spark, d, "documents")
+    pullers.register("pull_documents", docs, "source", "doc_id", ["doc_id", "n_chars"])
+    docs.groupBy("source").agg(F.expr("count(*) div 3 + 1").alias("n")).createOrReplaceTempView("pull_quotas")
+    return spark.sql("SELECT q.source, p.doc_id, p.n_chars FROM pull_quotas q, LATERAL pull_documents(q.source, q.n) p")

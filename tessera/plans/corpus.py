@@ -192,13 +192,11 @@ def _(spark, d):
 @query("idx_round_trip", r"""SELECT CAST(doc_id // 100 AS INTEGER) AS shard_id, CAST(row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS INTEGER) AS local_doc, CAST(len(w) AS INTEGER) AS n_tokens, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS checksum FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS w FROM documents)""")
 def _(spark, d):
     """Shards of word lengths, written as .bin and .idx and read back by the source."""
-    import tempfile
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", "").removeprefix("file://")
-    folder = f"{named or tempfile.mkdtemp()}/idx-{uuid.uuid4().hex}"
     import os
 
+    from tessera.sources import shared
+
+    folder = shared.fresh(spark, "idx").removeprefix("file:")  # the shards' writer goes through the file system
     os.makedirs(folder, exist_ok=True)
     t = F.btrim("text", F.lit(X.SPACES))
     words = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+"))

@@ -1,4 +1,4 @@
-"""Structured Streaming: spike detection as keyed state, metrics sinks, event-time windows."""
+"""Structured Streaming: spike detection as keyed state, event-time windows."""
 
 from __future__ import annotations
 
@@ -35,11 +35,6 @@ def event_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 m
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def metrics_sink(stream: DataFrame, path: str, checkpoint: str):
-    """Appends each micro-batch of a metrics stream to JSON lines, once."""
-    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-
-
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a finite stream gives, as a table in memory: for tests and small reports."""
     spark: SparkSession = stream.sparkSession

@@ -1,3 +1,4 @@
+import json
 import struct
 
 import numpy as np
@@ -8,8 +9,8 @@ from tessera.functions import arrays as A
 from tessera.operators import draws, sampling, tree
 from tessera.operators.ranks import RankStream
 from tessera.operators.stream import Position
-from tessera.sources import mirror, shared, text
-from tessera.streaming import pull as P
+from tessera.sources import mirror, pullers, shared, text
+from tessera.streaming import logs, pull as P
 
 SHARDS = {"a": [40, 0, 35, 30], "b": [25, 26]}
 
@@ -237,3 +238,43 @@ def test_multinomial_is_the_inverse_sum(spark):
 def test_rows_are_observed_as_they_are_written(spark, tmp_path):
     told = P.written(spark.range(10), str(tmp_path / "t"), rows=F.count("*"), most=F.max("id"))
     assert told == {"rows": 10, "most": 9} and spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_a_log_has_each_record_once(spark, tmp_path):
+    src, out, schema = tmp_path / "src", str(tmp_path / "log"), "step bigint, loss double, note string"
+    src.mkdir()
+    for f in range(3):
+        (src / f"{f}.json").write_text("".join(f'{{"step": {f * 10 + i}, "loss": {i / 2}}}\n' for i in range(4)))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+    go = lambda run: logs.lines(stream(), out, run).trigger(availableNow=True).start().awaitTermination()
+    go("a")
+    assert logs.records(spark, out, schema).count() == 12
+    shared.delete(spark, f"{out}/_checkpoints/a/commits/2")  # as if it stopped before its last batch was noted as done
+    (tmp_path / "log/run=a/batch=2").joinpath("part-of-a-dead-task.txt").write_text('{"step": 99}\n')
+    go("a")
+    got = logs.records(spark, out, schema)
+    assert sorted((r.step, r.loss) for r in got.collect()) == [(f * 10 + i, i / 2) for f in range(3) for i in range(4)]
+    assert "note" in (tmp_path / "log/run=a/batch=0").glob("part-*").__next__().read_text()
+    go("b")  # another run over the same steps
+    assert logs.records(spark, out, schema).count() == 24
+    last = logs.records(spark, out, schema, latest="step").collect()
+    assert len(last) == 12 and {r.run for r in last} == {"b"}
+
+
+def test_gradient_records(spark):
+    rows = [(1, 10, 'a"x', 0, "attn", 0, 3.0), (1, 10, "b", 1, "ffn", 0, 4.0), (1, 10, "c", 2, "ffn", 12, 12.0), (1, 10, "d", 3, "embed", None, 4.0), (2, 20, "a", 0, "attn", 0, 0.0)]
+    got = logs.norm_records(spark.createDataFrame(rows, "step int, consumed_tokens bigint, name string, ordinal int, category string, layer int, norm double"), top=3)
+    told = {r.step: json.loads(r.line) for r in got.collect()}
+    assert told[1] == {"step": 1, "consumed_tokens": 10, "global": round(185**0.5, 6), "by_category": {"attn": 3.0, "embed": 4.0, "ffn": round(160**0.5, 6)}, "by_layer": {"0": 5.0, "12": 12.0}, "top": [["c", 12.0], ["b", 4.0], ["d", 4.0]]}
+    assert list(told[1]["by_category"]) == ["attn", "embed", "ffn"] and told[2]["global"] == 0.0
+    assert logs.norm_records(spark.createDataFrame([], "step int, consumed_tokens bigint, name string, ordinal int, category string, layer int, norm double")).count() == 0
+
+
+def test_a_table_function_pulls(spark):
+    docs = spark.createDataFrame([(s, i, f"{s}{i}") for s in "ab" for i in range(50, 0, -1)] + [(None, 1, "x")], "source string, id int, text string").repartition(7)
+    pullers.register("pull_test", docs, "source", "id", ["id", "text"])
+    assert [r.text for r in spark.sql("SELECT * FROM pull_test('a', 3) ORDER BY id").collect()] == ["a1", "a2", "a3"]
+    assert spark.sql("SELECT * FROM pull_test('b', 9999)").count() == 50
+    assert spark.sql("SELECT * FROM pull_test('c', 5) UNION ALL SELECT * FROM pull_test('a', 0) UNION ALL SELECT * FROM pull_test(NULL, 5)").count() == 0
+    each = spark.sql("SELECT s, count(*) AS n FROM VALUES ('a', 2), ('b', 7) t(s, k), LATERAL pull_test(s, k) GROUP BY s").collect()
+    assert {r.s: r.n for r in each} == {"a": 2, "b": 7}
