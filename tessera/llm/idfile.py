@@ -302,8 +302,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
     """The ids of all documents, each followed by ``end_id``, to ``path`` in ascending id order.
 
     Null texts count as empty and have the end id alone; null ids come first; equal ids lie
-    together, by text. An empty table gives files without segments. Beyond ``most_parts``
-    parts they grow, and have more segments each.
+    together, by a hash of the text. An empty table gives files without segments. Beyond ``most_parts``
+    parts they grow, and have more segments each. Rows of one id are parted by their text, and
+    equal rows by where they lie, so that no id is one task's.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = min(most_parts, max(1, -(-(slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bytes_a_part)))
@@ -341,7 +342,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
             yield closed()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = slim.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").select("id", "text", F.spark_partition_id().alias("part"))
+    dealt = slim.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(parts, "id", "hash", "row").sortWithinPartitions("id", "hash", "row").select("id", "text", F.spark_partition_id().alias("part"))
     rows = dealt.mapInArrow(run, f"part int, segment int, n_ids bigint, docs array<{kind}>, lengths array<bigint>, blocks array<binary>, crcs array<bigint>")
     rows.write.option("compression", "uncompressed").parquet(path)
 

@@ -21,10 +21,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tessera.llm import _bytes
-from tessera.llm._store import cut, documents
+from tessera.llm._store import cut, documents, named
 
 MARK = 0x2581
 #: The probabilities of so many characters have a product that a double holds.
@@ -262,32 +262,43 @@ def fit(vocab: Vocabulary, words: Words, rounds: int = 3, smooth: float = 0.05)
     return probs
 
 
-def training_rows(docs: DataFrame, shares: DataFrame, id_col: str, lang: str) -> DataFrame:
-    """The rows of ``docs`` that a hash of their id puts into their language's share."""
-    named = shares.select(F.col("lang").alias("_share_lang"), F.col("share").alias("_share"))
-    joined = docs.join(F.broadcast(named), F.col(lang) == F.col("_share_lang"))
-    return joined.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1_000_000)) < F.col("_share") * 1_000_000)
+def training_rows(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, text, times) of at most ``most`` of ``rows`` (lang, id, text) for each language, those whose id and text hash lowest.
+
+    Equal rows are one text with its ``times``, so a text that a third of all rows have is sent
+    once, and a language all of whose rows share an id has its share like any other. What a
+    task hands on of a language is ``most`` hashes at most.
+    """
+    hashed = rows.select("lang", "text", F.xxhash64("id", "text").alias("hash"))
+    order = W.partitionBy("lang").orderBy("hash")
+    lowest = hashed.groupBy("lang", "hash").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = cut(lowest.withColumn("before", before).where(F.col("before") < most).select("lang", "hash", F.least("n", most - F.col("before")).cast("int").alias("times")))
+    few = taken.count() <= 1_000_000
+    drawn = hashed.join(F.broadcast(taken) if few else taken, ["lang", "hash"])
+    return drawn.groupBy("lang", "hash").agg(F.first("text").alias("text"), F.first("times").alias("times")).select("lang", "text", "times")
 
 
 def train(docs: DataFrame, vocab: str = "piece_bpe_32k.model", docs_per_language: int = 400, text: str = "text", lang: str = "lang", id_col: str = "doc_id", learn: Column | None = None, most_mb: int = 256) -> tuple[list[str], np.ndarray]:
     """The languages in order, and the (piece, language) probabilities.
 
-    About ``docs_per_language`` rows of each language, or all it has, are learned from; the
-    bound is per language, so the model is fitted alike at every size. The model that comes
+    At most ``docs_per_language`` rows of each language, or all it has, are learned from, whichever
+    ids they share or lack; the bound is per language, so the model is fitted alike at every size. The model that comes
     to the driver has one number per piece and language; a column of so many languages that
     it would take more than ``most_mb`` is refused before anything is collected. No labelled
     row: no language.
     """
     def one(key: tuple, rows: pa.Table) -> pa.Table:
-        probs = fit(vocabulary(vocab), Words(rows.column("text").to_pylist()))
+        texts = [t for t, k in zip(rows.column("text").to_pylist(), rows.column("times").to_pylist(), strict=True) for _ in range(k)]
+        probs = fit(vocabulary(vocab), Words(texts))
         _bytes.release()
         return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "probs": pa.array([probs.astype("<f8").tobytes()], pa.binary())})
 
-    rows = docs.where((F.lit(True) if learn is None else learn) & F.col(lang).isNotNull())
-    shares = cut(rows.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.least(F.lit(1.0), F.lit(docs_per_language) / F.count("*")).alias("share")))
-    if (n := shares.count()) * 8 * (vocabulary(vocab).size + 1) > most_mb << 20:
+    known = docs.where((F.lit(True) if learn is None else learn) & F.col(lang).isNotNull())
+    rows = known.select(F.col(lang).cast("string").alias("lang"), F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if (n := rows.select("lang").distinct().count()) * 8 * (vocabulary(vocab).size + 1) > most_mb << 20:
         raise ValueError(f"the model of {n} languages takes more than {most_mb} MB")
-    models = training_rows(rows, shares, id_col, lang).select(F.col(lang).cast("string").alias("lang"), F.coalesce(text, F.lit("")).alias("text")).groupBy("lang").applyInArrow(one, "lang string, probs binary")
+    models = training_rows(rows, docs_per_language).groupBy("lang").applyInArrow(one, "lang string, probs binary")
     got = sorted((x["lang"], x["probs"]) for x in models.collect())
     return [x for x, _ in got], np.stack([np.frombuffer(p) for _, p in got], axis=1) if got else np.zeros((0, 0))
 
@@ -314,17 +325,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], vocab: str =
     """
     names, probs = model
     sent = docs.sparkSession.sparkContext.broadcast((names, probs))
-    kept = docs.select(*keep, F.col(text).alias("_tessera_text"))
+    # Columns go through Python under plain names, as theirs may be any.
+    kept = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("_tessera_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, probs = sent.value
         for b in _bytes.pieces(batches, "_tessera_text", 1 << 20):
             texts = ["" if t is None else t for t in b.column("_tessera_text").to_pylist()]
             lang, sure = predict(texts, vocabulary(vocab), names, probs)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*b.schema.names[:-1], pred, score])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*b.schema.names[:-1], "lang", "sure"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{kinds}, `{pred}` string, `{score}` double")
+    told = kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField("lang", T.StringType()), T.StructField("sure", T.DoubleType())]))
+    return told.toDF(*keep, pred, score)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.llm._native import n_words
-from tessera.llm._store import cut, documents
+from tessera.llm._store import cut, documents, named
 
 BITS, LEVELS = 10, 4
 #: A per-source table is sent to all executors up to this many rows (some tens of bytes each).
@@ -171,7 +171,7 @@ def mixed(docs: DataFrame, most: int = 3, text: str = "text", source: str = "sou
     sized = _sized(docs, text, source, id_col, seed)
     same = twins(sized)
     plan, n = plan_mix(cut(told_apart(sized, same)).select("source", "size", "hash"), most)
-    own = [F.col(c).alias(f"_mix_{i}") for i, c in enumerate(docs.columns)]
+    own = [named(c).alias(f"_mix_{i}") for i, c in enumerate(docs.columns)]
     marked = docs.select(*own, n_words(F.col(text)).alias("_size"), _hash(id_col, text, seed).alias("_hash"), F.col(source).cast("string").alias("_source"), F.spark_partition_id().alias("_part"))
     joined = told_apart(marked, same, "_hash", "_part").join(_known(plan, n).alias("p"), F.col("_source").eqNullSafe(F.col("p.source")))
     times = copies("_hash", "_size")

@@ -7,10 +7,11 @@ Since a child's draw depends on nothing but the id, its own name and its own wei
 change of weight moves rows only into (or out of) the subtrees on whose path it lies: no
 row moves between two children whose weights stay.
 
-The layout for a plain shard count has a core, by default of up to 16 leaves, in regions
-of two racks of four shards; each later shard opens a region of its own. So, with the core
-as it is, one more shard changes no weight that existed, and takes rows only into itself:
-law ``key``.
+The layout for a plain shard count has a core of 16 leaves, whatever the count, in regions
+of two racks of four shards; each later shard opens a region of its own. With fewer shards
+the core's weights are the same, and a key that descends to a shard that is not there yet
+draws once more among those that are. So one more shard changes no weight that existed, and
+takes rows only into itself, at every count: law ``key``.
 """
 
 from __future__ import annotations
@@ -70,20 +71,27 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return _choose(key, "", regions)
 
 
-def assign(docs: DataFrame, shards: int = 16, core: int | None = None, rows_a_bucket: int = 50_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def placed(key: Column, shards: int, core: int = 16) -> Column:
+    """The shard of ``key`` among ``shards`` equal ones, in a tree whose core has ``core`` places, taken or not."""
+    first = shard_of(key, layout(max(shards, core), core))
+    if shards >= core:
+        return first
+    return F.when(first < shards, first).otherwise(_choose(key, "again", {str(s): (1.0, F.lit(s)) for s in range(shards)}))
+
+
+def assign(docs: DataFrame, shards: int = 16, core: int = 16, rows_a_bucket: int = 50_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
-    The id and the shard count (and ``core``, see ``layout``) alone decide the shard, so rows
+    The id and the shard count (and ``core``, which has to stay as it is while shards are added, see ``placed``) alone decide the shard, so rows
     with equal ids share one and equal texts need not; a null id is a key like any other.
     Null and empty texts have size 1 and the CRC of no bytes. Slots are gapless in each shard:
     rows are numbered in buckets of a shard, by hash and by partition, whose sizes are summed
     beforehand; so no task holds a whole shard, nor all of many equal rows. Which of equal
     rows has which slot is open. Other columns are not read; an empty table gives no rows.
     """
-    core = min(shards, 16) if core is None else core
     key = F.coalesce(F.xxhash64(id_col), F.lit(0))
     size, crc = n_bytes(F.col(text)) + 1, F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
-    slim = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size"), crc.alias("text_crc32")).withColumns({"shard": shard_of(F.col("key"), layout(shards, core)), "grown_shard": shard_of(F.col("key"), layout(shards + 1, core))})
+    slim = docs.select(F.col(id_col).alias("id"), key.alias("key"), size.alias("size"), crc.alias("text_crc32")).withColumns({"shard": placed(F.col("key"), shards, core), "grown_shard": placed(F.col("key"), shards + 1, core)})
     slim = cut(slim)
     n_buckets = max(1, slim.count() // (shards * rows_a_bucket) + 1)
     slim = slim.withColumn("bucket", F.pmod(F.xxhash64("key", "text_crc32", F.spark_partition_id()), F.lit(n_buckets)).cast("int"))

@@ -197,6 +197,54 @@ def test_sharding_moves_rows_only_where_weights_change(spark):
             assert rows.where(f"a <> b and b <> {n}").count() == 0
 
 
+def test_sharding_grows_shard_by_shard(spark):
+    """From 1 to 40 shards, each step takes rows into the new shard alone, and shards stay near equal."""
+    ids, n = spark.range(4_000).withColumn("k", F.xxhash64("id")), 40
+    rows = ids.select(*[sharding.placed(F.col("k"), m).alias(f"s{m}") for m in range(1, n + 1)]).collect()
+    for m in range(1, n):
+        assert all(r[m] in (r[m - 1], m) for r in rows)
+        size = Counter(r[m - 1] for r in rows)
+        assert set(size) == set(range(m)) and max(size.values()) < 4_000 / m + 6 * (4_000 / m) ** 0.5
+
+
+def test_sharding_s_grown_shard_is_the_next_count_s(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    for n in (3, 15, 16, 17):
+        grown = {r.doc_id: r.grown_shard for r in sharding.assign(docs, n).collect()}
+        assert grown == {r.doc_id: r.shard for r in sharding.assign(docs, n + 1).collect()}
+
+
+# 1
+
+
+def test_language_sample_with_one_id(spark):
+    """A third of the rows under one id, a language all of whose rows have none, and equal texts: bounded, and none is left out."""
+    rows = [(7, f"een tekst {k}", "nl") for k in range(300)] + [(k, f"a text {k}", "en") for k in range(500)]
+    rows += [(None, f"un texte {k}", "fr") for k in range(100)] + [(9, "ein text", "de")] * 200
+    known = spark.createDataFrame(rows, "id long, text string, lang string").repartition(5)
+    for most in (40, 150):
+        got = language.training_rows(known, most).collect()
+        assert {g: sum(r.times for r in got if r.lang == g) for g in ("nl", "en", "fr", "de")} == {"nl": most, "en": most, "fr": min(100, most), "de": most}
+        assert len([r for r in got if r.lang == "de"]) == 1
+        assert sorted(got) == sorted(language.training_rows(known.repartition(3), most).collect())
+
+
+# 6
+
+
+def test_an_id_with_a_third_of_all_rows(spark, tmp_path):
+    """Its rows are dealt over parts, those that are equal too, and all come back."""
+    rows = [(5, "the same text again") for _ in range(300)] + [(5, f"text {k}") for k in range(300)] + [(k + 10, f"other {k}") for k in range(600)] + [(1, "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    idfile.write_ids(docs, str(tmp_path / "hot"), bytes_a_part=1_000)
+    parts = spark.read.parquet(str(tmp_path / "hot")).where(F.array_contains("docs", 5)).select("part", F.size("docs").alias("n")).collect()
+    assert len({r.part for r in parts}) >= 5 and max(r.n for r in parts) < 300
+    back = idfile.read_ids(spark, str(tmp_path / "hot")).orderBy("start").collect()
+    assert [r.doc_id for r in back] == sorted(i for i, _ in rows)
+    e = encoding.encoder("word_bpe_49k.json")
+    assert Counter((r.doc_id, bytes(r.ids)) for r in back) == Counter((i, np.array([*e.library.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in rows)
+
+
 # 4
 
 ASSIGN = re.compile("(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

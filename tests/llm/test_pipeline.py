@@ -58,3 +58,19 @@ def test_repeated_and_null_ids_lose_their_copies(spark, texts):
     assert first == again
     assert Counter(i for i, _ in first) == Counter({str(k): n for k, n in brute_kept(docs.collect()).items()})
     assert len({t for _, t in first}) == len(first)
+
+
+def test_columns_named_like_a_stage_s_own(spark, docs):
+    """Names of the stages, dots, backticks, maps and structs pass all stages as they are."""
+    own = ["_pipeline_lang", "_pipeline_score", "_pipeline_tid", "_pipeline_row", "_PIPELINE_ROWS", "_pipeline_found", "a.b", "c`d", "_tessera_text"]
+    odd = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in own])
+    odd = odd.withColumns({"a map": F.create_map(F.lit("k"), F.col("doc_id")), "in": F.struct(F.col("doc_id").alias("x.y"))})
+    plain, now = docs, odd
+    for name, stage in C.STAGES[:-1]:
+        plain, now = written(stage(spark, plain, None), name), written(stage(spark, now, None), name)
+        assert now.columns == odd.columns
+        assert Counter((r.doc_id, r.text) for r in now.collect()) == Counter((r.doc_id, r.text) for r in plain.collect())
+        for r in now.collect():
+            i = "-" if r.doc_id is None else str(r.doc_id)
+            assert all(r[c] == f"{c}:{i}" for c in own) and r["in"]["x.y"] == r.doc_id
+    assert C.into_sequences(spark, now, None).count() == C.into_sequences(spark, plain, None).count()
