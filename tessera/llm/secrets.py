@@ -38,12 +38,30 @@ PARTS = (
 ).split()
 
 
+def numbered(part, digits) -> Column:
+    """One of six ordinary forms that are rich in digits, of the row ``id``; ``part(k)`` and ``digits(k, n)`` are its parts."""
+    day = [F.lpad((F.pmod(F.xxhash64("id", F.lit(k)), F.lit(most)) + 1).cast("string"), 2, "0") for k, most in ((90, 12), (91, 28))]
+    year, clock = F.concat(F.lit("20"), digits(0, 2)), [digits(k, 2) for k in (1, 2, 3)]
+    word, other, third = part(10), part(11), part(12)
+    even = F.col("id") % 12 < 6
+    form = F.col("id") % 6
+    return (
+        F.when(form == 0, F.concat(F.concat_ws("-", year, *day), F.when(even, "T").otherwise("_"), F.concat_ws("-", *clock), F.when(even, "Z").otherwise(F.concat(F.lit("_"), word))))
+        .when(form == 1, F.concat(word, F.when(even, "_").otherwise("-"), year, *day, F.lit("T"), *clock, F.lit("Z")))
+        .when(form == 2, F.concat_ws("-", F.upper(word), digits(4, 8), digits(5, 6), digits(6, 4)))
+        .when(form == 3, F.concat(F.upper(F.substring(word, 1, 2)), digits(4, 10), digits(5, 10)))
+        .when(form == 4, F.concat(F.concat_ws("-", word, other, digits(4, 1), digits(5, 2), digits(6, 1)), F.when(even, "-x86_64").otherwise("-x64")))
+        .otherwise(F.concat(word, F.lit("/lib"), F.initcap(other), digits(4, 1), F.initcap(third), F.initcap(part(13))))
+    )
+
+
 def training_sample(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """(token, random boolean): ``rows`` of either label, the same at every call.
+    """(token, random boolean): ``rows`` random ones and a quarter more ordinary ones, the same at every call.
 
     Random: digests of the row number in base 64, in hexadecimal, and in upper case and
     digits. Ordinary: parts joined as snake, camel and kebab case, paths, constants and plain
-    compounds, some with a short number behind.
+    compounds, some with a short number behind; and, for a fifth, time stamps, order and
+    account numbers, versions of packages and libraries in paths.
     """
     r = spark.range(rows)
     digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
@@ -64,24 +82,34 @@ def training_sample(spark: SparkSession, rows: int = 4000) -> DataFrame:
         .otherwise(F.concat(*five))
     )
     plain = r.select(F.concat(word, F.when(F.col("id") % 5 == 0, (F.col("id") % 100).cast("string")).otherwise(F.lit(""))).alias("token"), F.lit(False).alias("random"))
-    return secret.unionByName(plain)
+    digits = lambda k, n: F.lpad(F.pmod(F.xxhash64("id", F.lit(100 + k)), F.lit(10**n)).cast("string"), n, "0")
+    return secret.unionByName(plain).unionByName(spark.range(rows // 4).select(numbered(part, digits).alias("token"), F.lit(False).alias("random")))
 
 
-def train(sample: DataFrame, smooth: float = 0.2) -> list[float]:
-    """The log ratio of each (character, next character), at ``67 * i + j``; 0 stands for a token's start.
+def train(sample: DataFrame, smooth: float = 0.2, back: float = 30.0) -> list[float]:
+    """The log ratio of each (character, next character), at ``68 * i + j``; 0 stands for a token's start.
 
-    Only the table of bigram counts, whose size the alphabet bounds, comes to the driver.
-    Characters outside the alphabet are passed over.
+    A chain's chances after a character are its counts there and ``back`` times how often each
+    character comes at all, so that what a label never showed (a ruler's dash after a dash)
+    is rare under it instead of as likely as anything. Only the table of bigram counts, whose
+    size the alphabet bounds, comes to the driver. Characters outside the alphabet, null
+    tokens and null labels are passed over; an empty sample gives ratios of zero.
     """
-    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    place = lambda c: F.when(c != "", F.instr(F.lit(ALPHABET), c)).otherwise(0)
     chars = F.filter(F.transform(F.split("token", ""), place), lambda i: i > 0)
     pairs = sample.select("random", chars.alias("c")).select("random", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("c")).alias("a"), F.col("c").alias("b"))).alias("p")).select("random", "p.*").where("b is not null")
     n = len(ALPHABET) + 1
-    seen = {True: [[smooth] * n for _ in range(n)], False: [[smooth] * n for _ in range(n)]}
-    for random, a, b, k in pairs.groupBy("random", "a", "b").count().collect():
+    seen = {True: [[0] * n for _ in range(n)], False: [[0] * n for _ in range(n)]}
+    for random, a, b, k in pairs.where("random is not null").groupBy("random", "a", "b").count().collect():
         seen[random][a][b] += k
-    sums = {label: [sum(row[1:]) for row in rows] for label, rows in seen.items()}
-    return [0.0 if not b else math.log(seen[True][a][b] / sums[True][a]) - math.log(seen[False][a][b] / sums[False][a]) for a in range(n) for b in range(n)]
+
+    def chances(rows: list[list[int]]) -> list[list[float]]:
+        often = [sum(row[b] for row in rows) + smooth for b in range(1, n)]
+        share = [x / sum(often) for x in often]
+        return [[(k + back * p) / (sum(row) + back) for k, p in zip(row[1:], share, strict=True)] for row in rows]
+
+    of = {label: chances(rows) for label, rows in seen.items()}
+    return [x for a in range(n) for x in (0.0, *(math.log(p / q) for p, q in zip(of[True][a], of[False][a], strict=True)))]
 
 
 def ratio(token: Column, weights: list[float]) -> Column:
