@@ -203,7 +203,7 @@ def pack(docs: DataFrame, length: int = 1024, tokenizer: str = "byte_bpe_50k.jso
     found = written(tokenized(docs, tokenizer, end_id, text, id_col), "packing")
     marked, ranges = ranged(placed(found), ids_a_range, most_ranges)
     by = ["place", "id", "ids"]
-    dealt = marked.select("range", *by).repartition(ranges, "range").sortWithinPartitions("range", F.col("place"), F.xxhash64("id"), "id", "ids").select("range", "id", "ids")
+    dealt = marked.select("range", *by).repartitionById(ranges, "range").sortWithinPartitions("range", F.col("place"), F.xxhash64("id"), "id", "ids").select("range", "id", "ids")
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = docs.schema[id_col].dataType.simpleString()
 
