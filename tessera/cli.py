@@ -54,8 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session()
     if o.command == "shard":
-        rows = text.jsonl_text(spark, o.input)
-        texts = rows.select(F.monotonically_increasing_id().alias("pos"), "text")
+        texts = text.jsonl_in_order(spark, o.input)
         made = build_source(spark, texts, o.tokenizer, o.output, o.name, o.target_bytes)
         print(f"{len(made.shards)} shards, manifest {made.digest()}")
     elif o.command == "inspect":

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from tessera.functions.text import non_empty
 from tessera.operators.order import prefix_sum
@@ -26,6 +26,24 @@ def jsonl_text(spark: SparkSession, path: str | list[str], field: str = "text")
     return jsonl_rows(spark, path, field).where(F.col("bad").isNull() & non_empty(F.col("text"))).select("text")
 
 
+def jsonl_in_order(spark: SparkSession, path: str | list[str], field: str = "text") -> DataFrame:
+    """(pos, text) of ``jsonl_text``; ``pos`` grows with the file's path and the line's place in it, however files are split.
+
+    Lines dropped may leave gaps. Spark's byte ranges are counted first, a row each; texts are not moved.
+    """
+    schema = T.StructType([T.StructField(field, T.StringType()), T.StructField("_corrupt_record", T.StringType())])
+    raw = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    row = F.monotonically_increasing_id().alias("row")  # only differences inside a range count
+    rows = raw.select(F.col(field).alias("text"), F.col("_corrupt_record").alias("bad"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row)
+    kept = rows.where(F.col("bad").isNull() & non_empty(F.col("text")))
+    ranges = kept.groupBy("file", "block").agg(F.min("row").alias("first"), (F.max("row") - F.min("row") + 1).alias("n"))
+    before = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    files = ranges.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(before("file")), F.lit(0)).alias("base"))  # a row a file
+    inside = ranges.select("file", "block", "first", F.coalesce(F.sum("n").over(before("file", "block")), F.lit(0)).alias("own"))
+    at = inside.join(files, "file").select("file", "block", (F.col("base") + F.col("own") - F.col("first")).alias("shift"))
+    return kept.join(at, ["file", "block"]).select((F.col("row") + F.col("shift")).alias("pos"), "text")
+
+
 def segment_of(offset: Column, size: Column, workers: int) -> Column:
     """Which of ``workers`` byte ranges a line that begins at ``offset`` belongs to: the k with size*k div N <= offset < size*(k+1) div N."""
     k = F.call_function("div", offset * workers, size)
@@ -55,8 +73,6 @@ def segments(spark: SparkSession, path: str | list[str], workers: int) -> DataFr
 
 def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
     """(path, bytes, ordinal) of files, in order of their paths; contents are not read."""
-    from pyspark.sql import Window as W
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", F.col("length").alias("bytes"))
     return files.withColumn("ordinal", F.row_number().over(W.orderBy("path")) - 1)
 

@@ -127,3 +127,27 @@ def test_shard_command(spark, tmp_path, capsys):
     assert "[0] document 0" in out and "12 documents" in out
     cli.main(["merge-manifests", "--output", str(tmp_path / "all.yaml"), str(tmp_path / "manifest.yaml")])
     assert manifests.Manifest.load(str(tmp_path / "all.yaml")).shards == made.shards
+
+
+def test_lines_keep_their_order_however_files_are_split(spark, tmp_path):
+    """Larger files are read first and cut; lines still follow the files' paths and their places."""
+    from tessera.sources import text
+
+    want = []
+    for name, n in (("a", 3), ("b", 120), ("c", 0), ("d", 40)):
+        lines = [json.dumps({"text": f"{name}{k}", "other": "x" * (k % 37)}) for k in range(n)]
+        want += [f"{name}{k}" for k in range(n) if k % 11 != 5]
+        lines = ["{broken" if k % 22 == 5 else '{"text": ""}' if k % 11 == 5 else x for k, x in enumerate(lines)]
+        (tmp_path / f"{name}.jsonl").write_text("".join(x + "\n" for x in lines))
+    key, seen = "spark.sql.files.maxPartitionBytes", set()
+    before = spark.conf.get(key)
+    try:
+        for size in ("300", "2000", before):
+            spark.conf.set(key, size)
+            got = text.jsonl_in_order(spark, str(tmp_path))
+            seen.add(text.jsonl_text(spark, str(tmp_path)).rdd.getNumPartitions())
+            rows = sorted((r.pos, r.text) for r in got.collect())
+            assert [t for _, t in rows] == want and len({p for p, _ in rows}) == len(want)
+    finally:
+        spark.conf.set(key, before)
+    assert len(seen) > 1
