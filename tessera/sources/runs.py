@@ -138,7 +138,8 @@ def task_scores(spark: SparkSession, root: str) -> DataFrame:
     """
     schema = "task_name string, task_idx int, task_config struct<metadata:struct<alias:string>>, metrics struct<primary_score:double>"
     alias = F.coalesce("task_config.metadata.alias", "task_name")
-    rows = spark.read.schema(schema).json(f"{root}/step_*/metrics-all.jsonl").select(step_of(F.col("_metadata.file_path")).alias("step"), alias.alias("alias"), F.col("metrics.primary_score").alias("score"), "task_idx", F.monotonically_increasing_id().alias("line")).where("score is not null")
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())  # ids follow the lines inside a range alone
+    rows = spark.read.schema(schema).json(f"{root}/step_*/metrics-all.jsonl").select(step_of(F.col("_metadata.file_path")).alias("step"), alias.alias("alias"), F.col("metrics.primary_score").alias("score"), "task_idx", line.alias("line")).where("score is not null")
     form = F.col("alias").endswith("::olmes") & (F.col("alias").contains(":mc::") | F.col("alias").contains(":rc::"))
     kind = F.when(F.col("task_idx").isNull(), "aggregate").when(form, "per_task").otherwise("extended")
     return rows.groupBy("step", kind.alias("kind"), "alias").agg(F.max_by("score", "line").alias("score")).select("step", "alias", "score", "kind")

@@ -151,3 +151,18 @@ def test_lines_keep_their_order_however_files_are_split(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert len(seen) > 1
+
+
+def test_last_score_of_an_alias_counts_however_files_are_split(spark, tmp_path):
+    (tmp_path / "step_7").mkdir()
+    lines = [json.dumps({"task_name": f"t{k % 5}", "task_idx": k, "metrics": {"primary_score": k / 1000}, "pad": "x" * (k % 23)}) for k in range(200)]
+    (tmp_path / "step_7" / "metrics-all.jsonl").write_text("\n".join(lines) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        for size in ("300", "5000", before):
+            spark.conf.set(key, size)
+            got = {r.alias: r.score for r in runs.task_scores(spark, str(tmp_path)).collect()}
+            assert got == {f"t{k}": (195 + k) / 1000 for k in range(5)}
+    finally:
+        spark.conf.set(key, before)
