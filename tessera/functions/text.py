@@ -81,8 +81,12 @@ def shard_file(source: Column, tag: Column, k: Column, suffix: str) -> Column:
 
 
 def json_kind(text: Column) -> Column:
-    """What a JSON text is, by its first character: OBJECT, ARRAY, VARCHAR, BOOLEAN, NULL, or the number's type; null for none of these."""
+    """What a JSON text is: OBJECT, ARRAY, VARCHAR, BOOLEAN, NULL, or the number's type; null for none of these.
+
+    Null too where an object, array or string is cut short or malformed; what follows its end is not looked at.
+    """
     inner = F.btrim(text, F.lit(" \t\n\r"))
     first = F.substring(inner, 1, 1)
     number = F.when(inner.rlike("[.eE]"), "DOUBLE").when(first == "-", "BIGINT").otherwise("UBIGINT")
-    return F.when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "VARCHAR").when(inner.isin("true", "false"), "BOOLEAN").when(inner == "null", "NULL").when(inner.rlike("^-?[0-9]"), number)
+    broken = first.isin("{", "[", '"') & F.get_json_object(inner, "$").isNull()
+    return F.when(broken, None).when(first == "{", "OBJECT").when(first == "[", "ARRAY").when(first == '"', "VARCHAR").when(inner.isin("true", "false"), "BOOLEAN").when(inner == "null", "NULL").when(inner.rlike("^-?[0-9]"), number)

@@ -241,6 +241,12 @@ def test_tree_sum_has_a_slot_for_every_bit(spark):
     assert (got.a, got.b, got.c) == (5.0, None, 70_000 * 70_001 / 2)
 
 
+def test_json_kinds_of_broken_texts(spark):
+    cases = ["{oops", '{"a": 1', "[1, 2", "[x", '"open', "{}", "[]", '""', '{"a": 1, "a": 2}', '{"a": null}', "[null]", None, ""]
+    got = [r.k for r in spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", X.json_kind(F.col("t")).alias("k")).orderBy("i").collect()]
+    assert got == [None] * 5 + ["OBJECT", "ARRAY", "VARCHAR", "OBJECT", "OBJECT", "ARRAY", None, None]
+
+
 def test_json_kinds(spark):
     kinds = {'{"k": 1}': "OBJECT", " [1]": "ARRAY", '"x"': "VARCHAR", "true": "BOOLEAN", "null": "NULL", "12": "UBIGINT", "-3": "BIGINT", "1.5": "DOUBLE", "2e3": "DOUBLE", "": None}
     got = {r.t: r.k for r in spark.createDataFrame([(t,) for t in kinds], "t string").select("t", X.json_kind(F.col("t")).alias("k")).collect()}
