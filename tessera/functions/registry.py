@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F, types as T
 
@@ -26,16 +27,33 @@ def decoder(charset: str = "utf-8"):
     return decode
 
 
+#: Characters or ids of which a batch's texts or ids are held at once.
+PIECE = 1 << 18
+
+
+def in_pieces(batches: Iterator[pd.Series], one, limit: int = PIECE) -> Iterator[pd.Series]:
+    """``one`` of each value, handed on whenever about ``limit`` of the values' elements are through: what is held does not follow the batches' size."""
+    for some in batches:
+        done, held = [], 0
+        for x in some:
+            done.append(one(x))
+            held += 0 if x is None else len(x)
+            if held >= limit:
+                yield pd.Series(done, dtype=object)
+                done, held = [], 0
+        if done:
+            yield pd.Series(done, dtype=object)
+
+
 def bpe_encoder(tokenizer: str):
-    """A function of texts to the ids of a tokenizers file; one tokenizer a process."""
+    """A function of texts to the ids of a tokenizers file; one tokenizer a process, one text at a time in it."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer)
-        for some in texts:
-            yield pd.Series([e.ids for e in t.encode_batch(some.fillna("").tolist(), add_special_tokens=False)])
+        yield from in_pieces(texts, lambda x: np.array(t.encode(x or "", add_special_tokens=False).ids, np.int32))
 
     return encode
 
@@ -46,8 +64,7 @@ def bpe_decoder(tokenizer: str, skip_special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer)
-        for some in ids:
-            yield pd.Series(t.decode_batch([list(x) for x in some], skip_special_tokens=skip_special_tokens))
+        yield from in_pieces(ids, lambda x: t.decode(np.asarray(x).tolist(), skip_special_tokens=skip_special_tokens))
 
     return decode
 

@@ -211,9 +211,12 @@ def _(spark, d):
     """Texts through the byte-level tokenizer and back."""
     import public_tokenizers
 
+    from tessera.sources import shared
+
     path = public_tokenizers.path("byte_bpe_50k.json")
+    shared.bounded(spark)
     ids = T(spark, d, "documents").select("doc_id", "text", bpe_encoder(path)("text").alias("ids"))
-    return ids.select("doc_id", (bpe_decoder(path)("ids") == F.col("text")).alias("same"))
+    return ids.select("doc_id", (bpe_decoder(path)("ids") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
 @query("pretoken_counts", r"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) AS w FROM documents) GROUP BY w HAVING count(*) >= 2")

@@ -166,3 +166,20 @@ def test_last_score_of_an_alias_counts_however_files_are_split(spark, tmp_path):
             assert got == {f"t{k}": (195 + k) / 1000 for k in range(5)}
     finally:
         spark.conf.set(key, before)
+
+
+def test_tokens_are_held_by_pieces_whatever_the_batches(spark):
+    """A batch of many or of long texts is not held at once, and a null text goes round as an empty one."""
+    import pandas as pd
+    import public_tokenizers
+
+    from tessera.functions import registry
+
+    texts = ["a b", None, "", "long " * 50, "c"] * 40
+    got = list(registry.in_pieces(iter([pd.Series(texts, dtype=object)]), lambda x: len(x or ""), limit=300))
+    assert [n for s in got for n in s] == [len(x or "") for x in texts]
+    assert len(got) > 20 and max(sum(s) for s in got) <= 300 + 250
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    back = df.select("k", registry.bpe_encoder(path)("text").alias("ids")).select("k", registry.bpe_decoder(path)("ids").alias("text"))
+    assert {r.k: r.text for r in back.collect()} == {k: x or "" for k, x in enumerate(texts)}
