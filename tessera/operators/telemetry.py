@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tessera.operators.order import runs
+from tessera.sources.shared import cut
 
 
 def norm_rollup(norms: DataFrame, step: str = "step", digits: int = 6) -> DataFrame:
@@ -65,17 +70,128 @@ class Spikes:
         return skip, fresh, self.halted
 
 
-def spike_events(series: DataFrame, threshold: float, start_step: int, skip_steps: int, window: int, most: int) -> DataFrame:
-    """(run_id, step, skipped, fresh, halted) of every step; a run is walked in one task, in step order."""
+def bad_step(threshold: float, start_step: int) -> Column:
+    """Whether a step is skipped for its own sake: loss or norm not finite, or from ``start_step`` on a norm above ``threshold``."""
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    return odd("loss") | odd("norm") | ((F.col("step") >= start_step) & (F.col("norm") > threshold))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step")
-        state = Spikes(threshold, start_step, skip_steps, window, most)
-        got = [state.see(int(s), a, b) for s, a, b in zip(rows["step"], rows["loss"], rows["norm"], strict=True)]
-        return pd.DataFrame({"run_id": rows["run_id"], "step": rows["step"], "skipped": [x[0] for x in got], "fresh": [x[1] for x in got], "halted": [x[2] for x in got]})
+
+@dataclass
+class Walk:
+    """``Spikes`` over whole stretches of steps: rows still to be skipped, the latest fresh spikes' steps (as many as a halt looks back at), and whether the run is halted."""
+
+    cooldown: int = 0
+    recent: list[int] = field(default_factory=list)
+    halted: bool = False
+
+    def fresh(self, bad: np.ndarray, skip_steps: int) -> list[int]:
+        """Places of fresh spikes: from each to the next bad row behind its cooldown; the cooldown is carried on."""
+        at, length, free, out = np.flatnonzero(bad).tolist(), max(skip_steps, 1), self.cooldown, []
+        i = bisect_left(at, free)
+        while i < len(at):
+            out.append(at[i])
+            free = at[i] + length
+            i = bisect_left(at, free, i + 1, min(len(at), i + length))
+        self.cooldown = max(0, free - len(bad))
+        return out
+
+    def see(self, step: np.ndarray, bad: np.ndarray, skip_steps: int, window: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(skipped, fresh, halted) of the next rows, in step order."""
+        n, length, most = len(bad), max(skip_steps, 1), max(most, 1)
+        skip, fresh, halt = np.zeros(n + 1, np.int32), np.zeros(n, bool), np.full(n, self.halted)
+        skip[0] += 1
+        skip[min(self.cooldown, n)] -= 1
+        at = np.array(self.fresh(bad, skip_steps), np.int64)
+        fresh[at] = True
+        skip[at] += 1
+        np.subtract.at(skip, np.minimum(at + length, n), 1)
+        first = halting(self.recent, step[at], window, most)
+        if first is not None and not self.halted:
+            halt[at[first] :] = self.halted = True
+        self.recent = ([*self.recent, *step[at[-most:]].tolist()])[-(most - 1) :] if most > 1 else []
+        return np.cumsum(skip[:n]) > 0, fresh, halt
+
+
+def halting(before: Sequence[int], steps: np.ndarray, window: int, most: int) -> int | None:
+    """The first of the fresh spikes at ``steps`` that is the ``most``-th within ``window`` steps, those ``before`` counted; none halts: nothing."""
+    if most == 1:
+        return 0 if len(steps) else None
+    all_ = np.concatenate((np.array(before, np.int64), steps.astype(np.int64)))
+    if len(all_) < most:
+        return None
+    at = np.flatnonzero(all_[most - 1 :] - all_[: len(all_) - most + 1] <= window) + most - 1 - len(before)
+    at = at[at >= 0]
+    return int(at[0]) if at.size else None
+
+
+def _segments(runs_: pa.Array) -> list[tuple[int, int]]:
+    """The places between which a sorted column keeps its value."""
+    code = runs_.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    edge = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+    return list(zip(edge[:-1], edge[1:])) if len(code) else []
+
+
+def spike_events(series: DataFrame, threshold: float, start_step: int, skip_steps: int, window: int, most: int, rows: int = 1 << 18) -> DataFrame:
+    """(run_id, step, skipped, fresh, halted) of every step, in parts of about ``rows`` rows, however long a run is.
+
+    Parts are ranges of (run, step). What a part hands on to the next depends on what it is handed alone by
+    the rows still to be skipped, so it is worked out for each number of those (``skip_steps``), and by the few
+    spikes at its ends. The driver goes along the parts, a row each; then each part is walked from where it begins.
+    """
+    most, ways = max(most, 1), max(skip_steps, 1)
+    slim = series.select("run_id", F.col("step").cast("bigint").alias("step"), bad_step(threshold, start_step).alias("bad"))
+    ranged = slim.repartitionByRange(max(1, -(-slim.count() // rows)), "run_id", "step").sortWithinPartitions("run_id", "step")
+    parts = cut(ranged.withColumn("part", F.spark_partition_id()))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, first, held, part = None, True, [], None
+        for b in batches:
+            for lo, hi in _segments(b.column("run_id")):
+                now = b.column("run_id")[lo]
+                if held and now != run and (now.is_valid or run.is_valid):
+                    first, held = False, []
+                run, part = now, b.column("part")[lo].as_py()
+                held.append((b.column("step").to_numpy()[lo:hi], b.column("bad").to_numpy(zero_copy_only=False)[lo:hi]))
+        if not held:
+            return
+        step, bad = (np.concatenate(x) for x in zip(*held, strict=True))
+        told = []
+        for c in range(ways if first else 1):
+            w = Walk(c)
+            at = step[np.array(w.fresh(bad, skip_steps), np.int64)]
+            told.append({"cooldown": w.cooldown, "head": at[: most - 1].tolist(), "tail": at[len(at) - min(len(at), most - 1) :].tolist(), "halted": halting([], at, window, most) is not None})
+        kind = pa.list_(pa.struct([("cooldown", pa.int32()), ("head", pa.list_(pa.int64())), ("tail", pa.list_(pa.int64())), ("halted", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([run.as_py()], b.schema.field("run_id").type), pa.array([first]), pa.array([told], kind)], ["part", "run_id", "first", "ways"])
 
     kind = series.schema["run_id"].dataType.simpleString()
-    return series.select("run_id", "step", "loss", "norm").groupBy("run_id").applyInPandas(one, f"run_id {kind}, step bigint, skipped boolean, fresh boolean, halted boolean")
+    told = parts.mapInArrow(ends, f"part int, run_id {kind}, first boolean, ways array<struct<cooldown: int, head: array<bigint>, tail: array<bigint>, halted: boolean>>")
+    begin, run, at = {}, None, None
+    for r in sorted(told.collect(), key=lambda r: r["part"]):  # a row a part
+        goes_on = at is not None
+        begin[r["part"]] = (run, at) if goes_on else None
+        now = at if goes_on and r["first"] and r["run_id"] == run else Walk()
+        way = r["ways"][now.cooldown]
+        halted = now.halted or way["halted"] or halting(now.recent, np.array(way["head"], np.int64), window, most) is not None
+        recent = [*now.recent, *way["tail"]][-(most - 1) :] if most > 1 else []
+        run, at = r["run_id"], Walk(way["cooldown"], recent, halted)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, w, fresh_part = None, None, True
+        for b in batches:
+            for lo, hi in _segments(b.column("run_id")):
+                now = b.column("run_id")[lo].as_py()
+                if fresh_part:
+                    before = begin.get(b.column("part")[lo].as_py())
+                    w = Walk(before[1].cooldown, list(before[1].recent), before[1].halted) if before is not None and before[0] == now else Walk()
+                    fresh_part = False
+                elif now != run:
+                    w = Walk()
+                run = now
+                some = b.slice(lo, hi - lo)
+                got = w.see(some.column("step").to_numpy(), some.column("bad").to_numpy(zero_copy_only=False), skip_steps, window, most)
+                yield pa.RecordBatch.from_arrays([some.column("run_id"), some.column("step"), *map(pa.array, got)], ["run_id", "step", "skipped", "fresh", "halted"])
+
+    return parts.mapInArrow(walk, f"run_id {kind}, step bigint, skipped boolean, fresh boolean, halted boolean")
 
 
 def last_known(df: DataFrame, value: str, order: str, group: list[str]) -> Column:
