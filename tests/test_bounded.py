@@ -39,3 +39,21 @@ def test_spikes_by_parts_are_those_of_a_walk(spark):
         rows = series(seed, 400, bad)
         got = telemetry.spike_events(spark.createDataFrame(rows, SCHEMA), 5.0, 4, skip, window, most, rows=23)
         assert sorted(map(tuple, got.collect()), key=str) == walked(rows, 5.0, 4, skip, window, most)
+
+
+def test_a_chain_goes_on_over_batches(spark):
+    rows = [(k % 3, k, [k, k + 1, *range(k % 17)]) for k in range(200)]
+    want = {}
+    for rank, _, t in rows:
+        a = np.array(t, np.int64)
+        want[rank] = V.chained(want.get(rank), {"input_ids": ("torch.int64", (len(a) - 1,), a[:-1].tobytes()), "labels": ("torch.int64", (len(a) - 1,), a[1:].tobytes())})
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "rank bigint, step int, tokens array<bigint>")
+        plan = V.batch_digests(df)
+        assert {r["rank"]: r["digest"] for r in plan.collect()} == {k: v.hex() for k, v in want.items()}
+        assert "MapInArrow" in plan._jdf.queryExecution().toString() and "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(key, before)
