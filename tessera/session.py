@@ -24,5 +24,10 @@ def session(name: str = "tessera", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, **options):
+    """The table as a stream of its files, be it one file or a folder of them. A pattern stands for the path, as a stream takes no single file else."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).options(**options).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

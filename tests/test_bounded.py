@@ -41,6 +41,18 @@ def test_spikes_by_parts_are_those_of_a_walk(spark):
         assert sorted(map(tuple, got.collect()), key=str) == walked(rows, 5.0, 4, skip, window, most)
 
 
+def test_spikes_of_a_stream_go_on_from_batch_to_batch(spark, tmp_path):
+    from tessera import streaming as R
+
+    rows = series(9, 300, 0.4)
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(3):
+        spark.createDataFrame(rows[k * 100 : k * 100 + 100], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = table_stream(spark, str(tmp_path), "events", maxFilesPerTrigger=1)
+    got = R.drained(R.spike_stream(stream, 5.0, 4, 3, 40, 3), "spikes")
+    assert sorted(map(tuple, got.collect()), key=str) == walked(rows, 5.0, 4, 3, 40, 3)
+
+
 def test_a_chain_goes_on_over_batches(spark):
     rows = [(k % 3, k, [k, k + 1, *range(k % 17)]) for k in range(200)]
     want = {}
