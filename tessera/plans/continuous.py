@@ -10,7 +10,7 @@ from tessera.operators.ranks import RankStream
 from tessera.operators.tree import tree_total
 from tessera.plans.corpus import SIZED
 from tessera.plans.lineage import SEQ
-from tessera.session import table as T
+from tessera.session import table as T, table_stream
 from tessera.sources import mirror, pullers, shared, text as S
 from tessera.streaming import logs, pull as P
 
@@ -80,14 +80,10 @@ def _(spark, d):
 @query("pulled_documents", r"SELECT doc_id, source, n_chars FROM documents WHERE regexp_matches(coalesce(text, ''), '[^ \t\n\x0b\f\r]')")
 def _(spark, d):
     """A pull of the table's files that is stopped after its first batch and goes on from its cursor: the kept rows, each once."""
-    schema = T(spark, d, "documents").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    folder = f"{d}/documents.parquet"
-    stream = stream.parquet(folder) if spark.read.format("binaryFile").load(folder).select("path").limit(2).count() > 1 else spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     keep = F.coalesce(F.col("text").rlike(r"[^ \t\n\x0b\f\r]"), F.lit(False))
     path = shared.fresh(spark, "pull")
-    P.pull(stream, path, "table", keep, batches=1)
-    P.pull(stream, path, "table", keep)
+    P.pull(table_stream(spark, d, "documents", maxFilesPerTrigger=1), path, "table", keep, batches=1)
+    P.pull(table_stream(spark, d, "documents", maxBytesPerTrigger=1 << 30), path, "table", keep)
     return P.rows(spark, path).select("doc_id", "source", "n_chars")
 
 
@@ -121,8 +117,9 @@ def _(spark, d):
     name = F.regexp_extract("path", r"(part=[^/]*/[^/]*)$", 1)
     manifest = shared.cut(files.select(name.alias("name"), F.sha2("content", 256).alias("digest")))
     got = mirror.verified(spark, path, manifest)
-    line = F.explode(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n"))
-    back = got.select(F.regexp_extract("name", "part=([^/]*)", 1).alias("name"), line.alias("line"))
+    lines = F.split(F.col("content").cast("string"), "\n")  # each has its end, so nothing is behind the last
+    part = F.nullif(F.regexp_extract("name", "part=([^/]*)", 1), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    back = got.select(part.alias("name"), F.explode(F.slice(lines, 1, F.size(lines) - 1)).alias("line"))
     return back.groupBy("name").agg(F.count("*").alias("pages"), F.sum(F.octet_length(F.unhex("line"))).alias("bytes"))
 
 
@@ -138,8 +135,7 @@ def _(spark, d):
 @query("logged_metrics", "SELECT event_id AS step, event_type AS kind, value FROM events")
 def _(spark, d):
     """A stream of metrics to JSON lines, whose newest batch is then written again as after a crash: each record is there once."""
-    schema = T(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("event_id").alias("step"), F.col("event_type").alias("kind"), "value")
+    stream = table_stream(spark, d, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("kind"), "value")
     path = shared.fresh(spark, "metrics")
     for _ in range(2):
         logs.lines(stream, path, "a").trigger(availableNow=True).start().awaitTermination()

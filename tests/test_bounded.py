@@ -69,3 +69,21 @@ def test_a_chain_goes_on_over_batches(spark):
         assert "MapInArrow" in plan._jdf.queryExecution().toString() and "FlatMapGroups" not in plan._jdf.queryExecution().toString()
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_folder_of_one_file_is_pulled(spark, tmp_path):
+    """It was taken for a file, of which the stream then saw nothing, and the pull waited for a first batch for ever."""
+    docs = spark.createDataFrame([(k, None if k == 3 else " " if k == 5 else f"t {k}", "en", "s", 3) for k in range(20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for n in (1, 3):
+        d = str(tmp_path / str(n))
+        docs.repartition(n).write.parquet(f"{d}/documents.parquet")
+        got = catalog.queries()["pulled_documents"](spark, d)
+        assert sorted(r.doc_id for r in got.collect()) == [k for k in range(20) if k not in (3, 5)]
+
+
+def test_pull_ends_where_there_are_fewer_batches(spark, tmp_path):
+    from tessera.streaming import pull as P
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.jsonl").write_text('{"n": 1}\n')
+    assert P.pull(P.json_lines(spark, str(tmp_path / "src")), str(tmp_path / "out"), "r", batches=4) == {"batches": 1, "scanned": 1, "kept": 1}
