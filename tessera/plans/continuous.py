@@ -107,14 +107,21 @@ def _(spark, d):
     return rows.select("vec_id", "u", draws.multinomial(w, F.col("u")).alias("drawn"))
 
 
+def mirrored(lines, path: str, most: int = 16 << 20) -> None:
+    """``lines`` (part, line) as text files ``part=<part>/file=<number>/``, each of about ``most`` bytes: a file is read whole, by one task."""
+    ways = lines.groupBy("part").agg(F.ceil(F.sum(F.octet_length("line") + 1) / most).cast("int").alias("ways"))
+    dealt = lines.alias("l").join(F.broadcast(ways.alias("w")), F.col("l.part").eqNullSafe(F.col("w.part"))).select("l.part", (F.rand(11) * F.col("ways")).cast("int").alias("file"), "line")
+    dealt.repartition("part", "file").write.partitionBy("part", "file").text(path)
+
+
 @query("verified_mirror", "SELECT 'part-' || (page_id % 8) AS name, count(*) AS pages, CAST(sum(octet_length(encode(coalesce(html, '')))) AS BIGINT) AS bytes FROM pages GROUP BY 1")
 def _(spark, d):
-    """Pages in eight files of a mirror, each read against the digest that was noted when it was written."""
+    """Pages in eight folders of a mirror, in files of bounded size, each read against the digest that was noted when it was written."""
     path = shared.fresh(spark, "mirror")
     pages = T(spark, d, "pages").select(F.concat(F.lit("part-"), (F.col("page_id") % 8).cast("string")).alias("part"), F.coalesce("html", F.lit("")).alias("html"))
-    pages.select("part", F.hex(F.encode("html", "UTF-8")).alias("line")).repartition("part").write.partitionBy("part").text(path)
-    files = mirror.binary(spark, [f"{path}/part={x['part']}" for x in pages.select("part").distinct().collect()])
-    name = F.regexp_extract("path", r"(part=[^/]*/[^/]*)$", 1)
+    mirrored(pages.select("part", F.hex(F.encode("html", "UTF-8")).alias("line")), path)
+    files = mirror.binary(spark, [path])
+    name = F.regexp_extract("path", r"(part=[^/]*/file=[^/]*/[^/]*)$", 1)
     manifest = shared.cut(files.select(name.alias("name"), F.sha2("content", 256).alias("digest")))
     got = mirror.verified(spark, path, manifest)
     lines = F.split(F.col("content").cast("string"), "\n")  # each has its end, so nothing is behind the last

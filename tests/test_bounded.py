@@ -87,3 +87,16 @@ def test_pull_ends_where_there_are_fewer_batches(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/a.jsonl").write_text('{"n": 1}\n')
     assert P.pull(P.json_lines(spark, str(tmp_path / "src")), str(tmp_path / "out"), "r", batches=4) == {"batches": 1, "scanned": 1, "kept": 1}
+
+
+def test_a_mirrors_files_are_bounded(spark, tmp_path):
+    lines = spark.createDataFrame([("part-0", "ab" * 50)] * 300 + [("part-1", "")] * 3 + [(None, "cd")], "part string, line string")
+    continuous.mirrored(lines, str(tmp_path / "m"), most=2_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "m").rglob("*.txt")]
+    assert len(sizes) > 12 and max(sizes) < 6_000 and sum(sizes) == 300 * 101 + 3 + 3
+
+
+def test_pages_without_a_byte_are_counted(spark, tmp_path):
+    spark.createDataFrame([(k, "u", "x" * 9 if k < 16 else "") for k in range(40)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.queries()["verified_mirror"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(f"part-{k}", 5, 18) for k in range(8)]
