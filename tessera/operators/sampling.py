@@ -53,22 +53,41 @@ def permutations(spark: SparkSession, shards: Mapping[str, Sequence[int]], seed:
 
     The driver lays out shards alone; each shard's documents are shuffled where it is dealt to.
     """
-    rows = []
+    names = ["source", "epoch", "shard", "first", "n", "pos"]
+    laid, rows = [], 0
     for source, epoch in wanted:
-        h, docs = stable_name_hash(source), shards[source]
-        first, at = np.concatenate(([0], np.cumsum(docs))), 0
-        for shard in np.random.default_rng(np.array([seed, h, epoch], np.uint64)).permutation(len(docs)).tolist():
-            rows.append((source, epoch, shard, int(first[shard]), int(docs[shard]), at))
-            at += int(docs[shard])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for source, epoch, shard, offset, n, pos in b.itertuples(index=False):
-                local = np.random.default_rng(np.array([seed, stable_name_hash(source), epoch, shard], np.uint64)).permutation(n)
-                yield pd.DataFrame({"source": source, "epoch": epoch, "perm_pos": pos + np.arange(n), "global_doc": local + offset})
-
-    table = spark.createDataFrame(rows, "source string, epoch int, shard int, first bigint, n bigint, pos bigint")
-    return table.repartition(max(1, min(len(rows), 64)), "source", "epoch", "shard").mapInPandas(run, "source string, epoch int, perm_pos bigint, global_doc bigint")
+        h, docs = stable_name_hash(source), np.asarray(shards[source], np.int64)
+        order = np.random.default_rng(np.array([seed, h, epoch], np.uint64)).permutation(len(docs))
+        first, n = np.cumsum(docs) - docs, docs[order]
+        laid.append(pa.Table.from_arrays([pa.array([source] * len(docs), pa.string()), pa.array(np.full(len(docs), epoch, np.int32)), pa.array(order.astype(np.int32)), pa.array(first[order]), pa.array(n), pa.array(np.cumsum(n) - n)], names))
+        rows += len(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: dict[str, int] = {}
+
+        def told(source: list, epoch: list, first: list, pos: list, local: list) -> pa.RecordBatch:
+            n = [len(x) for x in local]
+            inner = np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)
+            name = pa.array(source, pa.string()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            return pa.RecordBatch.from_arrays([name, pa.array(np.repeat(np.array(epoch, np.int32), n)), pa.array(inner + np.repeat(pos, n)), pa.array(np.concatenate(local) + np.repeat(first, n))], ["source", "epoch", "perm_pos", "global_doc"])
+
+        for b in batches:  # many small shards make one batch of rows, not one each
+            held, size = [], 0
+            for source, epoch, shard, first, n, pos in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+                h = hashes[source] if source in hashes else hashes.setdefault(source, stable_name_hash(source))
+                held.append((source, epoch, first, pos, np.random.default_rng(np.array([seed, h, epoch, shard], np.uint64)).permutation(n)))
+                size += n
+                if size >= 1 << 16:
+                    yield told(*map(list, zip(*held, strict=True)))
+                    held, size = [], 0
+            if held:
+                yield told(*map(list, zip(*held, strict=True)))
+
+    kinds = "source string, epoch int, perm_pos bigint, global_doc bigint"
+    if not rows:
+        return spark.createDataFrame([], kinds)
+    table = spark.createDataFrame(pa.concat_tables(laid))
+    return table.repartition(max(1, min(rows, 64)), "source", "epoch", "shard").mapInArrow(run, kinds)
 
 
 def epoch_permutation(spark: SparkSession, source: str, shard_docs: Sequence[int], seed: int, epoch: int) -> DataFrame:

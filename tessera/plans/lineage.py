@@ -10,6 +10,7 @@ from tessera.operators import order as O, packing as P, sampling
 from tessera.operators.stream import CanonicalStream, Position
 from tessera.plans.corpus import SIZED, manifest, sized, worded
 from tessera.session import table as T
+from tessera.sources import shared
 
 SEQ, MICRO, WORLD, MICROBATCHES = 256, 4, 4, 6
 WINDOW, PER_STEP = SEQ + 1, MICRO * MICROBATCHES
@@ -224,8 +225,9 @@ def _(spark, d):
 
 def stream(spark, d):
     """A canonical stream over the table's sources by their token shares, their documents in shards of five, and the windows its tokens fill."""
-    at = sized(spark, d).where("n_tokens > 0")
-    lengths = at.select("source", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint").alias("global_doc"), "n_tokens")
+    at = shared.cut(sized(spark, d).where("n_tokens > 0").select("source", "doc_id", "n_tokens"))  # texts are read once
+    numbered = O.prefix_sum(at.withColumn("b", F.expr("doc_id div 4096")).withColumn("one", F.lit(1)), ["b"], ["doc_id"], "one", "global_doc", group=["source"])
+    lengths = shared.cut(numbered.select("source", "global_doc", "n_tokens"))
     told = {r["source"]: r for r in lengths.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
     shards = {s: [5] * (r["docs"] // 5) + ([r["docs"] % 5] if r["docs"] % 5 else []) for s, r in sorted(told.items())}
     total = sum(r["tokens"] for r in told.values())

@@ -100,3 +100,24 @@ def test_pages_without_a_byte_are_counted(spark, tmp_path):
     spark.createDataFrame([(k, "u", "x" * 9 if k < 16 else "") for k in range(40)], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = catalog.queries()["verified_mirror"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == [(f"part-{k}", 5, 18) for k in range(8)]
+
+
+def test_permutations_of_many_small_shards(spark):
+    """Shards of no, few and many documents, in batches; as drawn shard by shard, and few batches of rows come of them."""
+    shards, seed = {"a": [5] * 40 + [0, 3], "b": [70_000, 1]}, 7
+    want = set()
+    for source, epoch in (("a", 0), ("a", 3), ("b", 1)):
+        h, first, at = sampling.stable_name_hash(source), np.concatenate(([0], np.cumsum(shards[source]))), 0
+        for k in np.random.default_rng(np.array([seed, h, epoch], np.uint64)).permutation(len(shards[source])).tolist():
+            local = np.random.default_rng(np.array([seed, h, epoch, k], np.uint64)).permutation(shards[source][k])
+            want |= {(source, epoch, at + i, int(first[k] + x)) for i, x in enumerate(local.tolist())}
+            at += shards[source][k]
+    got = sampling.permutations(spark, shards, seed, [("a", 0), ("a", 3), ("b", 1)])
+    assert set(map(tuple, got.collect())) == want and sampling.permutations(spark, shards, seed, []).count() == 0
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_a_stream_reads_its_texts_once(spark, sf_dir):
+    from tessera.plans.lineage import stream
+
+    assert "parquet" not in stream(spark, sf_dir)[0].lengths._jdf.queryExecution().toString().lower()
