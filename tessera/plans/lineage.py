@@ -225,7 +225,7 @@ def _(spark, d):
 
 def stream(spark, d):
     """A canonical stream over the table's sources by their token shares, their documents in shards of five, and the windows its tokens fill."""
-    at = shared.cut(sized(spark, d).where("n_tokens > 0").select("source", "doc_id", "n_tokens"))  # texts are read once
+    at = shared.cut(worded(spark, d).select("source", "doc_id", "n_tokens"))  # texts are read and counted once
     numbered = O.prefix_sum(at.withColumn("b", F.expr("doc_id div 4096")).withColumn("one", F.lit(1)), ["b"], ["doc_id"], "one", "global_doc", group=["source"])
     lengths = shared.cut(numbered.select("source", "global_doc", "n_tokens"))
     told = {r["source"]: r for r in lengths.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
