@@ -15,8 +15,10 @@ last, so that a common passage makes no large groups.
 
 Groups are not expanded into pairs at once. First each text meets one text alone: the one
 that its fingerprint links it to or, of those that lead its groups, the one it shares most
-with. What these links join is not compared again, and only pairs that still lie in
-different components follow. Each pair is decided by the whole sets of both texts.
+with. What these links join is not compared again. Then each text meets the nearest one of
+another component in each of its groups, then the 16 that follow, then 256, until
+nothing is left: a round makes rows by the member, not by the pair, and near copies are
+joined in the first ones. Each pair is decided by the whole sets of both texts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import _bytes
 from tessera.llm._store import cut
@@ -99,18 +101,38 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.stack((h[order], order.astype(np.uint64)))
 
 
-def bitmaps(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """(row, byte): for each of ``BITS`` bits whether an odd number of the row's shingles fall on it.
+def bitmaps(row: np.ndarray, h: np.ndarray, rows: int, bits: int = BITS) -> np.ndarray:
+    """(row, byte): for each of ``bits`` bits, a power of two, whether an odd number of the row's shingles fall on it.
 
     Two sets differ in at least as many shingles as their bitmaps do in bits.
     """
     with np.errstate(over="ignore"):
-        bit = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
-    return np.packbits(np.bincount(row * BITS + bit, minlength=rows * BITS).reshape(rows, BITS) & 1, axis=1)
+        bit = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(row * bits + bit, minlength=rows * bits).reshape(rows, bits) & 1, axis=1)
+
+
+def wide_bitmaps(row: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The bitmap of each row, of as many bits as it has shingles or up to twice as many, at least ``BITS``."""
+    head = np.cumsum(n) - n
+    return [bitmaps(row[i : i + k] * 0, h[i : i + k], 1, max(BITS, 1 << int(k - 1).bit_length())).tobytes() for i, k in zip(head, n)]
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer one folded to the length of the other."""
+    x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(x) < len(y):  # the highest bits of the product tell the bit, so neighbours fall together
+        even, odd = np.unpackbits(y).reshape(-1, 2).T
+        y = np.packbits(even ^ odd)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def can_be(apart: np.ndarray, n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles that differ in ``apart`` or more can be as similar as ``least``."""
+    return apart * (1 + least) <= (n.astype(np.int64) + m) * (1 - least) + 1e-6
 
 
 def looked_at(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """(tid, n, fp, bits, h) of every distinct text: the size of its set, its fingerprint, its bitmap and its first shingles."""
+    """(tid, n, fp, bits, wide, h) of every distinct text: the size of its set, its fingerprint, its bitmaps and its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _bytes.pieces(batches, "text"):
@@ -123,10 +145,11 @@ def looked_at(docs: DataFrame, words: int, least: float, common: np.ndarray) ->
             first = np.arange(len(row)) - head[row] < take[row]
             off = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
             bits = pa.array([x.tobytes() for x in bitmaps(row, h, b.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), bits, pa.ListArray.from_arrays(pa.array(off), pa.array(h[first].view(np.int64)))], ["tid", "n", "fp", "bits", "h"])
+            wide = pa.array(wide_bitmaps(row, h, n), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("tid"), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), bits, wide, pa.ListArray.from_arrays(pa.array(off), pa.array(h[first].view(np.int64)))], ["tid", "n", "fp", "bits", "wide", "h"])
 
-    found = docs.mapInArrow(run, "tid bigint, n int, fp bigint, bits binary, h array<bigint>")
-    return cut(found.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bits", "h")]))
+    found = docs.mapInArrow(run, "tid bigint, n int, fp bigint, bits binary, wide binary, h array<bigint>")
+    return cut(found.groupBy("tid").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bits", "wide", "h")]))
 
 
 def grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
@@ -215,46 +238,87 @@ def stars(members: DataFrame, least: float) -> DataFrame:
 
 
 def of_several_roots(members: DataFrame) -> DataFrame:
-    """The ``members(h, tid, n, root)`` of groups whose texts are not all joined yet."""
+    """The ``members(h, tid, n, was, root)`` of groups whose texts are not all joined yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in grouped(batches, ["h", "tid", "n", "root"]):
+        for columns in grouped(batches, ["h", "tid", "n", "was", "root"]):
             begin, size = _groups(columns[0])
-            keep = np.repeat(np.minimum.reduceat(columns[3], begin) != np.maximum.reduceat(columns[3], begin), size)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["h", "tid", "n", "root"])
+            keep = np.repeat(np.minimum.reduceat(columns[4], begin) != np.maximum.reduceat(columns[4], begin), size)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["h", "tid", "n", "was", "root"])
+
+    return cut(dealt(members, members.count(), "h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, was bigint, root bigint"))
+
 
-    return dealt(members, members.count(), "h").sortWithinPartitions("h").mapInArrow(run, "h bigint, tid bigint, n int, root bigint")
+def of_roots(members: DataFrame, now: DataFrame) -> DataFrame:
+    """``members`` and the root of each; a text that is joined with none is its own."""
+    return members.join(now.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
 
 
-def rest(members: DataFrame, seen: DataFrame, least: float, block: int = 128) -> DataFrame:
-    """Pairs (a, b, times they meet) of ``members`` with different roots that can be similar.
+def nearest(members: DataFrame, seen: DataFrame, lo: int, hi: int, least: float, cells: int = 1 << 19) -> DataFrame:
+    """(h, a, b): the pairs of a text and its ``lo``-th to ``hi``-th nearest in each group, and a row (h, null, null) where a group has more.
 
-    Their sizes and bitmaps allow it, and they meet in as many groups as similar texts do.
-    Pairs are looked at in blocks, and only those that pass leave the task.
+    A pair is looked at from the text that comes first by size, if the sizes and bitmaps of
+    the two allow them to be similar and they had different roots at first (``was``), so that
+    the places do not change while texts are joined; pairs joined since (``root``) are left
+    out. A group makes at most ``hi - lo`` pairs a member, and a task makes a pair of many
+    groups about once; ``h`` is null beside them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, tid, n, root, bits in grouped(batches, ["h", "tid", "n", "root", "bits"]):
+        held, rows = [], 0
+        for h, tid, n, was, root, bits in grouped(batches, ["h", "tid", "n", "was", "root", "bits"]):
             begin, size = _groups(h)
-            words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(h), -1)
-            for s, k in zip(begin, size):
-                t, m, r, w = (x[s : s + k] for x in (tid, n, root, words))  # by size
+            words, left = np.frombuffer(b"".join(bits), np.uint64).reshape(len(h), -1), np.zeros(len(begin), bool)
+            for g, (s, k) in enumerate(zip(begin, size)):
+                t, m, f, r, w = (x[s : s + k] for x in (tid, n, was, root, words))  # by size
+                block = max(1, min(128, cells // int(k)))
                 for i in range(0, k, block):
                     o = slice(i, i + block)
                     j = int(np.searchsorted(m, m[min(i + block, k) - 1] / least + 1, "right"))
-                    x, y = np.nonzero((least * m[i:j] <= m[o, None] + 1e-9) & (r[o, None] != r[i:j]) & (np.arange(len(m[o]))[:, None] < np.arange(j - i)))
-                    for lo in range(0, x.size, 1 << 18):
-                        p, q = i + x[lo : lo + (1 << 18)], i + y[lo : lo + (1 << 18)]
-                        apart = np.bitwise_count(w[p] ^ w[q]).sum(axis=1, dtype=np.int64)
-                        ok = apart * (1 + least) <= (m[p].astype(np.int64) + m[q]) * (1 - least) + 1e-6
-                        if ok.any():
-                            a, b = t[p[ok]], t[q[ok]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shared(m[p[ok]]).astype(np.int32))], ["a", "b", "need"])
+                    x, y = np.nonzero((least * m[i:j] <= m[o, None] + 1e-9) & (f[o, None] != f[i:j]) & (np.arange(len(m[o]))[:, None] < np.arange(j - i)))
+                    p, q, apart = i + x, i + y, np.zeros(x.size, np.int64)
+                    for c in range(0, x.size, 1 << 16):
+                        apart[c : c + (1 << 16)] = np.bitwise_count(w[p[c : c + (1 << 16)]] ^ w[q[c : c + (1 << 16)]]).sum(axis=1)
+                    ok = np.flatnonzero(can_be(apart, m[p], m[q], least))
+                    ok = ok[np.lexsort((apart[ok], p[ok]))]
+                    p, q = p[ok], q[ok]
+                    at, free = np.arange(p.size) - np.searchsorted(p, p), r[p] != r[q]
+                    left[g] |= bool((free & (at >= hi)).any())
+                    free &= (at >= lo) & (at < hi)
+                    if free.any():
+                        p, q = t[p[free]], t[q[free]]
+                        held.append(np.stack((np.minimum(p, q), np.maximum(p, q)), axis=1))
+                        rows += len(p)
+                    if rows >= 1 << 18:
+                        held = [np.unique(np.concatenate(held), axis=0)]
+                        if (rows := len(held[0])) >= 1 << 17:
+                            yield pairs(held[0])
+                            held, rows = [], 0
+            if left.any():
+                none = pa.nulls(int(left.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(h[begin[left]]), none, none], ["h", "a", "b"])
+        if held:
+            yield pairs(np.unique(np.concatenate(held), axis=0))
+
+    def pairs(of: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.int64()), pa.array(of[:, 0].copy()), pa.array(of[:, 1].copy())], ["h", "a", "b"])
+
+    marked = members.join(seen.select("tid", "bits"), "tid").select("h", "tid", "n", "was", "root", "bits")
+    return cut(dealt(marked, members.count(), "h").sortWithinPartitions("h", "n", "tid").mapInArrow(run, "h bigint, a bigint, b bigint"))
+
+
+def allowed(pairs: DataFrame, seen: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose bitmaps of a bit a shingle or more allow them to be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(x).to_numpy() for x in ("na", "nb"))
+            apart = np.array([differing(x, y) for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())], np.int64)
+            ok = pa.array(can_be(apart, n, m, least))
+            yield pa.RecordBatch.from_arrays([b.column(x).filter(ok) for x in ("a", "b")], ["a", "b"])
 
-    open_ = cut(of_several_roots(members))
-    marked = open_.join(seen.select("tid", "bits"), "tid").select("h", "tid", "n", "root", "bits")
-    met = dealt(marked, open_.count(), "h").sortWithinPartitions("h", "n", "tid").mapInArrow(run, "a bigint, b bigint, need int")
-    return met.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("need").alias("need")).where("times >= need").select("a", "b", "times")
+    of = lambda end: seen.select(F.col("tid").alias(end), F.col("n").alias(f"n{end}"), F.col("wide").alias(f"w{end}"))
+    return cut(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a bigint, b bigint"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
@@ -308,18 +372,17 @@ def roots(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     pairs = cut(near.unionByName(led.join(near.select("b"), "b", "left_anti").select("a", "b")))
     found = verified(pairs, docs, rows, words, least)
     now = cut(components(found))
-    left = rest(members.join(now, F.col("tid") == F.col("node"), "left").select("h", "tid", "n", F.coalesce("root", "tid").alias("root")), seen, least)
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = cut(left.join(done, ["a", "b"], "left_anti"))
-    take = 1
-    while not left.isEmpty():  # most of these pairs are joined by a few of them: the likeliest first, then four times as many
-        rank = F.row_number().over(W.partitionBy("b").orderBy(F.desc("times"), "a"))
-        ranked = cut(left.withColumn("rank", rank))
-        more = verified(ranked.where(F.col("rank") <= take).select("a", "b"), docs, rows, words, least)
-        now = cut(components(now.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-        left = ranked.where(F.col("rank") > take).drop("rank")
-        for end in ("a", "b"):
-            left = left.join(now.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        left = cut(left.where("root_a <> root_b").select("a", "b", "times"))
-        take *= 4
-    return now
+    members = of_roots(members, now).withColumn("was", F.col("root"))
+    lo, hi = 0, 1
+    while True:  # the nearest text of each first, then the 16 that follow, then 256, until no group has any left
+        open_ = of_several_roots(members.select("h", "tid", "n", "was", "root"))
+        if open_.isEmpty():
+            return now
+        met = nearest(open_, seen, lo, hi, least)
+        left = allowed(met.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), seen, least)
+        more = verified(left, docs, rows, words, least)
+        if not more.isEmpty():
+            now = cut(components(now.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        members = of_roots(open_.drop("root").join(met.where("a is null").select("h"), "h"), now)
+        lo, hi = hi, 16 * hi + 1

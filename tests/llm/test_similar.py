@@ -82,3 +82,39 @@ def test_many_copies_that_are_near_one_text_alone(spark):
     hubs = similar.stars(members, 0.8).groupBy("hub").count().orderBy(F.desc("count")).first()
     assert hubs.hub == keyed.where(F.col("text") == texts[0]).first().tid
     assert [r.doc_id for r in C.without_copies(spark, docs, None).collect()] == [0]
+
+
+def test_pairs_of_large_groups_are_made_by_the_member(spark):
+    """200 texts that meet in 30 groups: a round makes a few rows a member, and all rounds make every pair of several roots."""
+    rng = random.Random(4)
+    texts = {t: (rng.randint(90, 110), t % 40, rng.randbytes(64)) for t in range(200)}
+    seen = spark.createDataFrame([(t, bytes(i & j & 7 for i, j in zip(b, b"\7" * 64))) for t, (_, _, b) in texts.items()], "tid bigint, bits binary")
+    rows = [(h, t, n, root, root) for h in range(30) for t, (n, root, _) in texts.items()]
+    members = spark.createDataFrame(rows, "h bigint, tid bigint, n int, was bigint, root bigint").repartition(4)
+    found, lo, hi, more = [], 0, 1, 30
+    while more:
+        met = similar.nearest(members, seen, lo, hi, 0.3)
+        pairs = [(r.a, r.b) for r in met.where("h is null").collect()]
+        assert len(pairs) <= (hi - lo) * len(texts) * met.rdd.getNumPartitions() and (lo or len(pairs) >= 190)
+        more = met.where("a is null").count()
+        assert more in (0, 30)
+        found += set(pairs)
+        lo, hi = hi, 16 * hi + 1
+    bits = {r.tid: int.from_bytes(r.bits) for r in seen.collect()}
+    can = lambda a, b: (bits[a] ^ bits[b]).bit_count() * 1.3 <= (texts[a][0] + texts[b][0]) * 0.7 + 1e-6
+    want = {(a, b) for b in texts for a in range(b) if texts[a][1] != texts[b][1] and can(a, b)}
+    assert sorted(found) == sorted(want) and len(want) > 1000
+
+
+def test_wide_bitmaps_bound_how_sets_differ():
+    """Long sets keep a bit a shingle, so that those far from the limit are told apart, and folding never tells too much."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 40_000).astype(np.uint64)
+    for n, m, both in ((3000, 3000, 300), (4000, 4200, 1500), (4200, 4000, 3900), (300, 310, 290), (5000, 5000, 5000)):
+        x, y = pool[:n], pool[n - both : n - both + m]
+        (a,), (b,) = (similar.wide_bitmaps(np.zeros(len(z), np.int64), z, np.array([len(z)])) for z in (x, y))
+        apart, least = similar.differing(a, b), both / (n + m - both)
+        assert apart == similar.differing(b, a) <= n + m - 2 * both
+        assert bool(similar.can_be(np.array([apart]), np.array([n]), np.array([m]), 0.8)[0]) == (least >= 0.7)
