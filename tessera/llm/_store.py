@@ -39,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more.
+
+    By itself it waits until the driver's JVM collects, half an hour at most
+    (``spark.cleaner.periodicGC.interval``).
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a columnar table in the shared folder, read again (columns still prune)."""
     spark = df.sparkSession

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm import _bytes
-from tessera.llm._store import cut
+from tessera.llm._store import cut, swept
 from tessera.llm.simhash import components, links, majority, shingle_hashes
 
 _LAST = np.uint64(1 << 63)
@@ -370,18 +370,21 @@ def roots(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     met = stars(members, least).groupBy("tid", "n", "hub").count().where(F.col("count") > F.col("n") / 20 * HALF)
     led = met.groupBy("tid").agg(F.min_by("hub", F.struct(-F.col("count"), "hub")).alias("a")).select("a", F.col("tid").alias("b"))
     pairs = cut(near.unionByName(led.join(near.select("b"), "b", "left_anti").select("a", "b")))
-    found = verified(pairs, docs, rows, words, least)
-    now = cut(components(found))
+    swept(docs.sparkSession)
+    now = cut(components(verified(pairs, docs, rows, words, least)))
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = of_roots(members, now).withColumn("was", F.col("root"))
     lo, hi = 0, 1
-    while True:  # the nearest text of each first, then the 16 that follow, then 256, until no group has any left
+    while True:
+        swept(docs.sparkSession)
+        # the nearest text of each first, then the 16 that follow, then 256, until no group has any left
         open_ = of_several_roots(members.select("h", "tid", "n", "was", "root"))
         if open_.isEmpty():
             return now
         met = nearest(open_, seen, lo, hi, least)
         left = allowed(met.where("a is not null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), seen, least)
         more = verified(left, docs, rows, words, least)
+        swept(docs.sparkSession)
         if not more.isEmpty():
             now = cut(components(now.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
         members = of_roots(open_.drop("root").join(met.where("a is null").select("h"), "h"), now)
