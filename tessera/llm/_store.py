@@ -36,7 +36,27 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written once to the shared folder, with no lineage behind them."""
     shared_dir(df.sparkSession)
     bounded(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _plainly_sized(df.checkpoint(eager=True))
+
+
+def _plainly_sized(done: DataFrame) -> DataFrame:
+    """``done``, a table just cut, without Spark's estimate of its size where that is beyond a long.
+
+    A cut table keeps the estimate of the plan behind it, and a join's is the product of its
+    sides'. Where a loop joins what it cut before, the digits of the estimate double and more
+    each time round: after a dozen rounds such a number fills the driver. Without one Spark takes the
+    size for unknown and large, as it is told here; partitioning and order stay.
+    """
+    plan = done._jdf.queryExecution().logical()
+    try:
+        if plan.stats().sizeInBytes() < 1 << 63:
+            return done
+    except ValueError:  # more digits than Python reads at once
+        pass
+    jvm, session = done.sparkSession._jvm, done._jdf.sparkSession()
+    option = jvm.scala.Option
+    unsized = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), session, option.empty(), option.apply(plan.constraints()))
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, unsized), done.sparkSession)
 
 
 def swept(spark: SparkSession) -> None:
